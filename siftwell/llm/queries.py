@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontaminate, packing, warc
+from siftwell.llm import decontaminate, linededup, packing, simhash, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,19 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_packing": op1_packing, "op5_decontamination": op5_decontamination, "op7_warc": op7_warc}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(linededup.remove_repeated(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op4_simhash, op5_decontamination, op7_warc, op9_substrings, op10_lines)}
 ORACLE_SQL = {
     "op7_warc": """
         with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages),
