@@ -33,58 +33,91 @@ END_ID = 1
 #: Padding that a piece may leave in its slot, as a share of the piece, before it is cut.
 SLACK = 1 / 64
 #: Workers whose unfinished sequences are filled up together.
-FAN_IN = 256
+FAN_IN = 16
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 #: White space as the tokenizer's normaliser sees it; text is split there, as no token crosses it.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = re.compile(f"[{WHITE}]+")
 #: Characters at which str.split() splits and the tokenizer doesn't.
 ODD = re.compile("[\x1c-\x1f]")
+# ASCII punctuation.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters below this code point are lower-cased one by one and always composed.
+LATIN_END = "\u0250"
+
+
+class _Learned(dict):
+    """A dictionary that asks `learn` for what it lacks."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, key):
+        self[key] = value = self.learn(key)
+        return value
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in the vocabulary of a byte-level tokenizer."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer whose tokens never cross white space, one distinct word at a time."""
+    """Ids of whole texts by a tokenizer whose tokens never cross white space, one distinct word at a time.
+
+    A word of Latin letters, perhaps with ASCII punctuation at its end, is two pieces at most for
+    the tokenizer's model; any other word goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str, end_id: int, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.remembered = Tokenizer.from_file(path), end_id, remembered
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.starts, self.sizes, self.filled, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0, 0
-
-    def _learn(self, words: list[str]) -> None:
-        for word, encoding in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            got = encoding.ids
-            while self.filled + len(got) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if self.n == len(self.starts):
-                self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-            self.ids[self.filled : self.filled + len(got)] = got
-            self.starts[self.n], self.sizes[self.n] = self.filled, len(got)
-            self.known[word] = self.n
-            self.filled += len(got)
-            self.n += 1
+        self.known, self.parts = _Learned(self._learn), _Learned(self._part)
+        self.ids, self.starts, self.sizes, self.filled = np.zeros(1 << 20, np.int32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0
+
+    def _part(self, part: str) -> list[int]:
+        letters = self.letters
+        return [token.id for token in self.model.tokenize("".join([letters[b] for b in part.encode()]))]
+
+    def _learn(self, word: str) -> int:
+        core = word.rstrip(PUNCTUATION)
+        low = core.lower()
+        if low.isalpha() and max(low) < LATIN_END:
+            got = self.parts[low]
+            if len(core) < len(word):
+                got = got + self.parts[word[len(core) :]]
+        else:
+            got = self.tokenizer.encode(word, add_special_tokens=False).ids
+        n = len(self.known)
+        while self.filled + len(got) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        if n == len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.ids[self.filled : self.filled + len(got)] = got
+        self.starts[n], self.sizes[n] = self.filled, len(got)
+        self.filled += len(got)
+        return n
 
     def encode(self, text: str | None) -> np.ndarray:
-        words = text.split() if text and not ODD.search(text) else SPLIT.split(text or "")
+        words = text.split() if text and not ODD.search(text) else [w for w in SPLIT.split(text or "") if w]
         if len(self.known) > self.remembered:
             self._forget()
-        new = set(words).difference(self.known)
-        new.discard("")
-        if new:
-            self._learn(sorted(new))
-        known = self.known
-        rows = np.fromiter((known[w] for w in words if w), np.int64)
+        rows = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         sizes = self.sizes[rows]
-        total = int(sizes.sum())
-        out = np.empty(total + 1, np.int32)
         ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        out = np.empty(total + 1, np.int32)
         out[:total] = self.ids[np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(total)]
         out[total] = self.end_id
         return out

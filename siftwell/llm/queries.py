@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontaminate, linededup, packing, simhash, substrings, warc
+from siftwell.llm import decontaminate, linededup, packing, quality, secrets, simhash, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,18 @@ def packed(docs: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.col("carried").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "slots")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.judged(table(spark, sf_dir, "documents")))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -45,8 +53,28 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.remove_repeated(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_simhash, op5_decontamination, op7_warc, op9_substrings, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_quality, op4_simhash, op5_decontamination, op6_secrets, op7_warc, op9_substrings, op10_lines)}
+STOP = ", ".join(f"'{w}'" for w in sorted({form for line in quality.STOP_WORDS for w in line.split() for form in (w, w.capitalize())}))
 ORACLE_SQL = {
+    "op3_quality": f"""
+        with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+             w as (select r, doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws,
+                          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from d),
+             x as (select r, unnest(range(1, len(ws) - 6)) as i, ws from w where len(ws) >= 8),
+             y as (select r, i, count(*) over (partition by r, array_to_string(ws[i : i + 7], ' ')) as n from x),
+             z as (select r, count(distinct i + k) as n from y, (select unnest(range(8)) as k) where n > 1 group by r),
+             m as (select doc_id, len(ws) as n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) as word_chars,
+                          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+                          coalesce(z.n, 0) as n_repeat_words, len(ls) as n_lines, length(regexp_replace(t, '[^!]', '', 'g')) as n_shouts,
+                          len(list_filter(ws, lambda v: v in ({STOP}))) as n_stop_words
+                   from w left join z using (r)),
+             b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_stop_words, n_lines, n_shouts,
+               not (base_failed or n_symbols / greatest(n_words, 1) > 0.25 or n_shouts / greatest(n_words, 1) > 0.5
+                    or word_chars / greatest(n_words, 1) < 2.0 or word_chars / greatest(n_words, 1) > 40.0
+                    or n_dup_lines / greatest(n_lines, 1) > 0.5
+                    or case when n_words >= 50 then n_stop_words / n_words else 1 end < 0.01) as kept
+        from b""",
     "op7_warc": """
         with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages),
              q as (select *, min(page_id) over (partition by html) as first from p)
