@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontaminate, linededup, packing, quality, secrets, simhash, substrings, warc
+from siftwell.llm import decontaminate, linededup, packing, pii, quality, secrets, simhash, substrings, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def packed(docs: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.col("carried").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "slots")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judged(table(spark, sf_dir, "documents")))
 
@@ -45,6 +49,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -53,7 +61,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.remove_repeated(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_quality, op4_simhash, op5_decontamination, op6_secrets, op7_warc, op9_substrings, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op4_simhash, op5_decontamination, op6_secrets, op7_warc, op8_urls, op9_substrings, op10_lines)}
 STOP = ", ".join(f"'{w}'" for w in sorted({form for line in quality.STOP_WORDS for w in line.split() for form in (w, w.capitalize())}))
 ORACLE_SQL = {
     "op3_quality": f"""

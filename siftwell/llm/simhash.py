@@ -207,11 +207,16 @@ def _block_pairs(rows: DataFrame, bucket_rows: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, fp (signed long) and component_id, the smallest doc_id reachable by links; a row for each document."""
     marked = stored(fingerprints(docs), "fingerprints")
-    each = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(each.select("fp"), bucket_rows))
-    named = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(named.select("fp", "root"), "fp").join(least, "root").select("doc_id", "fp", "component_id")
+    named = _components_of(marked, bucket_rows)
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(named, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.join(named, "fp").join(least, "root").select("doc_id", "fp", "component_id")
+
+
+def _components_of(marked: DataFrame, bucket_rows: int) -> DataFrame:
+    """fp and the least fingerprint of its component, for each distinct fp."""
+    each = stored(marked.select("fp").distinct(), "distinct-fingerprints")
+    roots = components(links(each, bucket_rows))
+    return stored(each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "components")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -220,8 +225,11 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One document of each component: that with the smallest doc_id (among rows that repeat it, one of them)."""
-    found = near_duplicates(docs, bucket_rows)
-    kept = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).select(F.col("component_id").alias("doc_id"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """One row of each component: that with the smallest doc_id, of rows that repeat it the first as written."""
+    columns = docs.columns
+    rows = stored(fingerprints(docs, keep=columns).withColumn("_row", F.monotonically_increasing_id()), "marked")
+    named = _components_of(rows, bucket_rows)
+    ranked = rows.select("fp", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("place"))
+    # the first row of each fingerprint, then of each component: both aggregate before they shuffle
+    first = ranked.groupBy("fp").agg(F.min("place").alias("place")).join(named, "fp").groupBy("root").agg(F.min("place").alias("place"))
+    return rows.join(first.select("place._row"), "_row", "left_semi").select(*columns)
