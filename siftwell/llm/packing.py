@@ -22,6 +22,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,8 +41,6 @@ REMEMBERED = 800_000
 #: White space as the tokenizer's normaliser sees it; text is split there, as no token crosses it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = re.compile(f"[{WHITE}]+")
-#: Characters at which str.split() splits and the tokenizer doesn't.
-ODD = re.compile("[\x1c-\x1f]")
 # ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters below this code point are lower-cased one by one and always composed.
@@ -84,43 +83,59 @@ class WordIds:
 
     def _forget(self) -> None:
         self.known, self.parts = _Learned(self._learn), _Learned(self._part)
-        self.ids, self.starts, self.sizes, self.filled = np.zeros(1 << 20, np.int32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0
+        self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.new_ids: list[int] = []
+        self.new_sizes: list[int] = []
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> tuple[int, ...]:
         letters = self.letters
-        return [token.id for token in self.model.tokenize("".join([letters[b] for b in part.encode()]))]
+        return tuple([token.id for token in self.model.tokenize("".join([letters[b] for b in part.encode()]))])
 
     def _learn(self, word: str) -> int:
         core = word.rstrip(PUNCTUATION)
         low = core.lower()
-        if low.isalpha() and max(low) < LATIN_END:
+        if low.isalpha() and (low.isascii() or max(low) < LATIN_END):
             got = self.parts[low]
             if len(core) < len(word):
                 got = got + self.parts[word[len(core) :]]
         else:
             got = self.tokenizer.encode(word, add_special_tokens=False).ids
-        n = len(self.known)
-        while self.filled + len(got) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if n == len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.ids[self.filled : self.filled + len(got)] = got
-        self.starts[n], self.sizes[n] = self.filled, len(got)
-        self.filled += len(got)
-        return n
+        self.new_ids += got
+        self.new_sizes.append(len(got))
+        return len(self.known)
+
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in `rows`, one after the other, and how many each has."""
+        if self.new_sizes:
+            self.ids = np.concatenate([self.ids, np.array(self.new_ids, np.int32)])
+            self.sizes = np.concatenate([self.sizes, np.array(self.new_sizes, np.int64)])
+            self.starts = np.cumsum(self.sizes) - self.sizes
+            self.new_ids, self.new_sizes = [], []
+        sizes = self.sizes[rows] if len(rows) else np.zeros(0, np.int64)
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(total)] if total else np.zeros(0, np.int32), sizes
 
     def encode(self, text: str | None) -> np.ndarray:
-        words = text.split() if text and not ODD.search(text) else [w for w in SPLIT.split(text or "") if w]
+        words = [w for w in SPLIT.split(text or "") if w]
+        ids, _ = self._gather(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+        return np.append(ids, np.int32(self.end_id))
+
+    def encode_column(self, texts: pa.Array):
+        """The ids of each text of a string column, with the closing id."""
         if len(self.known) > self.remembered:
             self._forget()
-        rows = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[rows]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        out = np.empty(total + 1, np.int32)
-        out[:total] = self.ids[np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(total)]
-        out[total] = self.end_id
-        return out
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, "[\\x1c-\\x1f]").to_pylist()
+        lists = pc.utf8_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        own = np.fromiter(map(self.known.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        rows = own[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+        # leading and trailing white space gives empty words, which have no ids
+        ids, sizes = self._gather(rows)
+        edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])]
+        for k in range(len(texts)):
+            yield self.encode(texts[k].as_py()) if odd[k] else np.append(ids[edges[k] : edges[k + 1]], np.int32(self.end_id))
 
 
 def pieces_of(n: int, capacity: int = CAPACITY, slack: float = SLACK):
@@ -154,7 +169,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int =
         key = (tokenizer, end_id)
         if key not in _TOKENIZERS:
             _TOKENIZERS[key] = WordIds(tokenizer, end_id)
-        encode, part = _TOKENIZERS[key].encode, TaskContext.get().partitionId()
+        encode, part = _TOKENIZERS[key].encode_column, TaskContext.get().partitionId()
         open_: dict[int, list] = {}
         made = placed = 0
 
@@ -164,8 +179,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int =
 
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
                 for start, length, k in pieces_of(len(ids), capacity, slack):
                     piece = [part, placed, doc_id, start, length, len(ids), k, None, None, make(ids[start : start + length])]
                     placed += 1
