@@ -113,14 +113,14 @@ def _contexts(length: int):
 
     def read(batches):
         for batch in batches:
-            out = [[] for _ in range(8)]
+            out = [[] for _ in range(9)]
             for i, s, text, asked in zip(*(batch.column(c).to_pylist() for c in ("_id", "_same", "_bytes", "_asked"))):
                 for r in asked:
-                    row = (i, s, r["at"], r["first"], r["last"], r["gram"], r["open"], text[r["first"] : r["last"] + length])
+                    row = (i, s, r["at"], r["first"], r["last"], r["gram"], r["open"], r["large"], text[r["first"] : r["last"] + length])
                     for column, value in zip(out, row):
                         column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["_id", "_same", "at", "first", "last", "gram", "open", "context"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["_id", "_same", "at", "first", "last", "gram", "open", "large", "context"])
 
     return read
 
@@ -249,11 +249,12 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     whole = said.where("n > 1").select("_id", "_same", F.col("first").alias("begin"), (F.col("last") + length).alias("end"))
     asked = said.where(F.col("ranks").isNotNull() & ((F.col("n") == 1) | (F.col("pick") == place)))
     by_text = asked.groupBy("_id", "_same").agg(F.collect_list(F.struct("at", "first", "last", "gram", (F.col("n") == 1).alias("open"), (F.col("ranks") > bucket_rows).alias("large"))).alias("_asked"))
-    pulled = lambda large: rows.join(by_text.withColumn("_asked", F.filter("_asked", lambda a: a["large"] == F.lit(large))).where(F.size("_asked") > 0), ["_id", "_same"]).mapInArrow(_contexts(length), "_id long, _same long, at int, first int, last int, gram long, open boolean, context binary")
-    sorted_ = pulled(False).repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort_buckets(length), SPANS)
+    shape = "_id long, _same long, at int, first int, last int, gram long, open boolean, large boolean, context binary"
+    pulled = stored(rows.join(by_text, ["_id", "_same"]).mapInArrow(_contexts(length), shape), "contexts")
+    sorted_ = pulled.where("not large").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort_buckets(length), SPANS)
     spans = whole.unionByName(sorted_)
-    if not asked.where(F.col("ranks") > bucket_rows).isEmpty():
-        windows = stored(pulled(True).mapInArrow(_window_rows(length), "_id long, _same long, begin int, open boolean, digest binary"), "windows")
+    if not pulled.where("large").isEmpty():
+        windows = stored(pulled.where("large").mapInArrow(_window_rows(length), "_id long, _same long, begin int, open boolean, digest binary"), "windows")
         again = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
         hits = windows.where("open").join(again, "digest").select("_id", "_same", "begin", (F.col("begin") + length).alias("end"))
         spans = spans.unionByName(hits)
