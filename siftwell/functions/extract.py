@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftwell.functions.text import let
+
 SEASONS = "summer|fall|autumn|winter|spring"
 SEASON_YEAR = rf"\b({SEASONS})\b[ ,/\-_–—'’]{{0,3}}(20\d{{2}}|'?\d{{2}})\b|\b(20\d{{2}})\b[ ,/\-_–—'’]{{0,3}}({SEASONS})\b"
 SEASON_RUN = rf"((?:\b(?:{SEASONS})\b[ ,/&]{{0,3}}(?:and )?){{2,4}})(20\d{{2}}|'?\d{{2}})\b"
@@ -32,18 +34,34 @@ UNPAID = r"(?i)\b(unpaid|no\s+compensation|volunteer|pro\s+bono)\b"
 
 def salary(text: Column) -> Column:
     """struct(text, min, max, unit) of the first plausible pattern, or null."""
-    flat = F.regexp_replace(text, r"[\s ]+", " ")
     number = lambda s: F.regexp_replace(s, ",", "").try_cast("double")
-    found = []
-    for pattern, two, unit, factor in PAY_PATTERNS:
-        regex = f"(?i){pattern}"
-        low = number(F.regexp_extract(flat, regex, 1))
-        high = F.coalesce(number(F.regexp_extract(flat, regex, 2)), low) if two else low
-        least, most = PLAUSIBLE[unit]
-        a, b = F.least(low, high) * factor, F.greatest(low, high) * factor
-        one = F.struct(F.trim(F.regexp_extract(flat, regex, 0)).alias("text"), a.alias("min"), b.alias("max"), F.lit(unit).alias("unit"))
-        found.append(F.when((a >= least) & (b <= most), one))
-    return F.when(text.rlike(UNPAID), None).when(F.contains(text, F.lit("$")), F.coalesce(*found))
+
+    def first(flat):
+        found = []
+        for pattern, two, unit, factor in PAY_PATTERNS:
+            regex = f"(?i){pattern}"
+            least, most = PLAUSIBLE[unit]
+
+            def one(m, regex=regex, two=two, unit=unit, factor=factor):
+                low = number(F.regexp_extract(m, regex, 1))
+                high = F.coalesce(number(F.regexp_extract(m, regex, 2)), low) if two else low
+                return F.struct(F.trim(m).alias("text"), (F.least(low, high) * factor).alias("min"), (F.greatest(low, high) * factor).alias("max"), F.lit(unit).alias("unit"))
+
+            made = let(F.regexp_extract(flat, regex, 0), one_argument(one))
+            found.append(let(made, plausible(least, most)))
+        return F.coalesce(*found)
+
+    flat = F.regexp_replace(text, r"[\s\u00A0]+", " ")
+    return F.when(text.rlike(UNPAID), None).when(F.contains(text, F.lit("$")), let(flat, first))
+
+
+def one_argument(f):
+    """f as a function of one argument, as column lambdas are told apart by their arguments."""
+    return lambda value: f(value)
+
+
+def plausible(least: float, most: float):
+    return lambda s: F.when((s["min"] >= least) & (s["max"] <= most), s)
 
 
 def _year(raw: Column) -> Column:
@@ -72,7 +90,7 @@ def default_season(as_of: datetime.datetime) -> str:
 def season_with_default(found: Column, as_of: datetime.datetime) -> Column:
     """Tokens with the default cycle where there are none, and bare years as summers."""
     promoted = F.array_distinct(F.transform(found, lambda t: F.when(t.startswith("year-"), F.concat(F.lit("summer-"), F.substring(t, 6, 4))).otherwise(t)))
-    return F.when(F.size(found) == 0, F.array(F.lit(default_season(as_of)))).otherwise(promoted)
+    return F.when(F.size(found) == 0, F.array(F.lit(default_season(as_of)))).otherwise(F.array_sort(promoted))
 
 
 def season_index(token: Column) -> Column:
@@ -141,5 +159,6 @@ REFERENCES = [
 
 def mined_references(text: Column) -> Column:
     """array of (ats, slug) that a free text names."""
-    each = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda s, k=k: F.struct(F.lit(k).alias("ats"), F.lower(s).alias("slug"))) for k, p in REFERENCES]
+    named = lambda kind: lambda s: F.struct(F.lit(kind).alias("ats"), F.lower(s).alias("slug"))
+    each = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), named(k)) for k, p in REFERENCES]
     return F.array_distinct(F.filter(F.concat(*each), lambda r: ~r["slug"].isin("embed", "job", "jobs", "api", "careers")))

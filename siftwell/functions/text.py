@@ -38,6 +38,11 @@ TRACKING = (
 ).split()
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case alphanumeric words, without a final -ing or -s where longer than five letters."""
     words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
@@ -99,8 +104,8 @@ def decode_entities(text: Column) -> Column:
     char = lambda hexed: F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32BE")
 
     def folded(t: Column, pattern: str, before: str, to_hex) -> Column:
-        codes = F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)))
-        return F.when(F.contains(t, F.lit(before)), F.aggregate(codes, t, lambda acc, c: F.replace(acc, F.concat(F.lit(before), c, F.lit(";")), char(to_hex(c))))).otherwise(t)
+        codes = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)))
+        return let(t, lambda x: F.when(F.contains(x, F.lit(before)), F.aggregate(codes(x), x, lambda acc, c: F.replace(acc, F.concat(F.lit(before), c, F.lit(";")), char(to_hex(c))))).otherwise(x))
 
     text = folded(text, r"&#([0-9]{1,7});", "&#", lambda c: F.hex(c.cast("bigint")))
     text = folded(text, r"&#x([0-9A-Fa-f]{1,6});", "&#x", lambda c: c)
@@ -151,13 +156,19 @@ def slug_name(slug: Column) -> Column:
 
 def trimmed_description(text: Column, most: int = 2000) -> Column:
     """A description without its marketing opener and its legal tail, cut at a sentence's end near `most` characters."""
-    opener = F.left(text, F.lit(250)).rlike(r"(?i)\b(who we are|about (us|the company|the team)|our (mission|story|company)|company overview|founded in|we are a)\b")
-    heading = F.regexp_instr(text, F.lit(r"(?i)(the role|about the role|job (summary|description)|position (summary|overview)|team overview|responsibilities|what you.ll do|your role)\s*:?"))
-    start = F.when(opener & heading.between(201, 1801), heading).otherwise(1)
-    body = F.substring(text, start, F.length(text))
-    end = F.regexp_instr(body, F.lit(r"(?s)(?i:equal opportunity|eeo statement|reasonable accommodation|benefits include)|WHAT WE OFFER|COMPENSATION|BENEFITS"))
-    body = F.when(end > 300, F.rtrim(F.substring(body, F.lit(1), end - 1))).otherwise(body)
-    head = F.left(body, F.lit(most))
-    sentence = F.length(F.regexp_extract(head, r"(?s)^(.*[.!?])(\s|$)", 1))
-    capped = F.when(sentence >= most - 200, F.substring(head, F.lit(1), sentence)).otherwise(head)
-    return F.when(text.isNull() | (F.trim(text) == ""), F.lit("")).otherwise(F.when(F.length(body) > most, capped).otherwise(F.trim(body)))
+
+    def without_opener(t):
+        opener = F.left(t, F.lit(250)).rlike(r"(?i)\b(who we are|about (us|the company|the team)|our (mission|story|company)|company overview|founded in|we are a)\b")
+        heading = F.regexp_instr(t, F.lit(r"(?i)(the role|about the role|job (summary|description)|position (summary|overview)|team overview|responsibilities|what you.ll do|your role)\s*:?"))
+        return F.when(opener & heading.between(201, 1801), F.substring(t, heading, F.length(t))).otherwise(t)
+
+    def without_tail(t):
+        end = F.regexp_instr(t, F.lit(r"(?s)(?i:equal opportunity|eeo statement|reasonable accommodation|benefits include)|WHAT WE OFFER|COMPENSATION|BENEFITS"))
+        return let(end, lambda e: F.when(e > 300, F.rtrim(F.substring(t, F.lit(1), e - 1))).otherwise(F.trim(t)))
+
+    def capped(t):
+        head = F.left(t, F.lit(most))
+        sentence = F.length(F.regexp_extract(F.right(head, F.lit(200)), r"(?s)^(.*[.!?])(\s|$)", 1))
+        return F.when(F.length(t) <= most, t).when(sentence > 0, F.substring(t, F.lit(1), most - 200 + sentence)).otherwise(head)
+
+    return let(let(let(F.coalesce(text, F.lit("")), without_opener), without_tail), capped)

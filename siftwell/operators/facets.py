@@ -59,7 +59,7 @@ def tab_counts(df: DataFrame) -> DataFrame:
 
 
 def keyword_set(df: DataFrame) -> DataFrame:
-    return df.select(F.lower(F.explode("matched_keywords")).alias("keyword")).distinct()
+    return df.select(F.explode(F.transform("matched_keywords", lambda k: F.lower(k))).alias("keyword")).distinct()
 
 
 def role_counts(df: DataFrame) -> DataFrame:
@@ -107,9 +107,13 @@ def latest_by_key(df: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def digest_line(df: DataFrame, shown: int = 5) -> DataFrame:
-    """One line for an alert: how many, the first few, how many more. df: rank, title, company."""
-    top = df.where(F.col("rank") <= shown).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.concat_ws(" @ ", "title", "company").alias("item")))), lambda r: r["item"]), "; ").alias("items"))
-    return df.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(top)).select(F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " new posting: ").otherwise(" new postings: "), "items", F.when(F.col("n") > shown, F.concat(F.lit(" +"), (F.col("n") - shown).cast("string"), F.lit(" more"))).otherwise("")).alias("line"))
+    """One line for an alert: how many, the first few, how many more. df: title, company, place (what orders them)."""
+    first = df.select("place", F.concat_ws(" @ ", "title", "company").alias("item")).orderBy("place").limit(shown)
+    top = first.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "item"))), lambda r: r["item"]), "; ").alias("items"))
+    counted = df.agg(F.count(F.lit(1)).alias("n"))
+    more = F.when(F.col("n") > shown, F.concat(F.lit(" +"), (F.col("n") - shown).cast("string"), F.lit(" more"))).otherwise("")
+    # one row each
+    return counted.join(F.broadcast(top), F.lit(True)).select(F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " new posting: ").otherwise(" new postings: "), "items", more).alias("line"))
 
 
 def coverage(df: DataFrame, column: str) -> DataFrame:

@@ -35,13 +35,13 @@ PAY = [
 ]
 
 
-def _values(rows: list[str]) -> str:
-    return ", ".join(f"""({n}, '{row.replace("'", "''")}')""" for n, row in enumerate(rows))
+def _values(rows: list[str], quote: str = "''") -> str:
+    return ", ".join("({}, '{}')".format(n, row.replace("'", quote)) for n, row in enumerate(rows))
 
 
 def postings_cte(spark: bool = False) -> str:
-    """The CTEs up to `postings`. Escapes differ: Spark reads a doubled quote only in raw strings."""
-    values = (lambda rows: _values(rows).replace("''", "\\'")) if spark else _values
+    """The CTEs up to `postings`. Spark and DuckDB escape quotes differently."""
+    values = lambda rows: _values(rows, "\\'" if spark else "''")
     return f"""
     d_title(n, title) as (select * from (values {values(TITLES)}) as t(n, title)),
     d_company(n, company) as (select * from (values {values(COMPANIES)}) as t(n, company)),
