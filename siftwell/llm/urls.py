@@ -55,8 +55,11 @@ def with_rule(rows: DataFrame, rules=RULES) -> DataFrame:
 def features(buckets: int = BUCKETS, sizes=SIZES) -> Column:
     """Buckets of the character n-grams of host and path, each once."""
 
+    def bucket(text: Column, salt: int, n: int):
+        return lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n)), F.lit(salt)), F.lit(buckets)).cast("int")
+
     def grams(text: Column, salt: int) -> Column:
-        each = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i, n=n: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n)), F.lit(salt)), F.lit(buckets)).cast("int"))).otherwise(F.array().cast("array<int>")) for n in sizes]
+        each = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), bucket(text, salt, n))).otherwise(F.array().cast("array<int>")) for n in sizes]
         return F.concat(*each)
 
     return F.array_distinct(F.concat(grams(F.concat(F.lit("^"), F.col("host"), F.lit("$")), 1), grams(F.concat(F.lit("^"), F.col("path"), F.lit("$")), 2)))
