@@ -245,8 +245,9 @@ def contaminated(hits: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    found = contaminated(benchmark_hits(docs, benchmark, width, keep=docs.columns))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("_doc"))
+    found = contaminated(benchmark_hits(rows, benchmark, width, keep=["_doc"]))
+    return found.where(~F.col("contaminated")).select("_doc.*")
 
 
 def digest(hits: DataFrame) -> DataFrame:

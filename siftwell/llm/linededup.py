@@ -11,7 +11,7 @@ own bytes, so that only equal bytes ever count as repeated.
 Edge cases: null texts stay null and empty ones empty; rows with the same doc_id count as one
 document (what they share stays in each, what occurs twice within one goes); a null doc_id
 comes before all others; blank lines belong to chunks like others; an empty table gives no row. Extra
-columns are kept.
+columns are kept; n_lines, n_removed and removed_chunks replace columns of those names.
 """
 
 from __future__ import annotations
@@ -68,7 +68,9 @@ def local_view(text: bytes, least: int = LEAST, least_chars: int = LEAST_CHARS,
 def remove_repeated(docs: DataFrame, **shape) -> DataFrame:
     """docs with the repeated chunks taken out of text, and n_lines, n_removed (lines) and removed_chunks."""
     small_batches(docs.sparkSession)
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_same": same_text()})
+    columns = docs.columns
+    own = [c for c in columns if c not in ("text", "n_lines", "n_removed", "removed_chunks")]
+    rows = docs.select("text", "doc_id", F.struct(*own).alias("_doc")).withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_same": same_text()})
 
     def cut(batches, bodies):
         for batch in batches:
@@ -92,9 +94,7 @@ def remove_repeated(docs: DataFrame, **shape) -> DataFrame:
     repeated = equal.groupBy("hash").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count(F.lit(1)).alias("bodies")).where("bodies = 1 and first < last").select("hash", "first")
     gone = places.select("_id", "_same", "_chunk", "hash").join(repeated, "hash").where("_id > first").groupBy("_id", "_same").agg(F.collect_set("_chunk").alias("_gone"))
     joined = rows.join(gone, ["_id", "_same"], "left")
-    columns = docs.columns
-    own = [c for c in columns if c != "text"]
-    inner = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_lines long, n_removed long, removed_chunks long"])
+    inner = f"_doc {rows.schema['_doc'].dataType.simpleString()}, text string, n_lines long, n_removed long, removed_chunks long"
 
     def apply(batches):
         for batch in batches:
@@ -113,10 +113,10 @@ def remove_repeated(docs: DataFrame, **shape) -> DataFrame:
                 texts.append(kept)
                 for column, value in zip(counts, (n, removed, chunks_gone)):
                     column.append(value)
-            made = {"text": pa.array(texts, pa.binary()).cast(pa.string())} | {c: batch.column(c) for c in own}
-            yield pa.RecordBatch.from_arrays([made[c] for c in columns] + [pa.array(c, pa.int64()) for c in counts], names=[*columns, "n_lines", "n_removed", "removed_chunks"])
+            yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(texts, pa.binary()).cast(pa.string())] + [pa.array(c, pa.int64()) for c in counts], names=["_doc", "text", "n_lines", "n_removed", "removed_chunks"])
 
-    return joined.select(*own, bytes_, "_gone").mapInArrow(apply, inner)
+    done = joined.select("_doc", bytes_, "_gone").mapInArrow(apply, inner)
+    return done.select(*[F.col("text") if c == "text" else F.col("_doc")[c].alias(c) for c in columns if c == "text" or c in own], "n_lines", "n_removed", "removed_chunks")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -119,10 +119,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """docs with the entities' and the disclosing terms' places in text replaced or removed."""
     found = find(docs).dropDuplicates(["doc_id", "_same"])
     places_ = F.sort_array(F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))), F.col("terms")))
-    rows = docs.withColumn("_same", same_text())
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("_row"), same_text().alias("_same"))
     spans = found.select(F.col("doc_id").alias("_doc"), F.col("_same").alias("_found"), places_.alias("_places"))
     joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_same") == F.col("_found")), "left")
-    return joined.withColumn("text", redacted(F.col("text"), F.col("_places"), MARKS)).select(*docs.columns)
+    return joined.select(F.col("_row").withField("text", redacted(F.col("_row.text"), F.col("_places"), MARKS)).alias("_row")).select("_row.*")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ document breaks. Two rules are the base: too few words, too many words in repeat
 
 Edge cases: a null text counts as one without words and fails the base; so does an empty one;
 ratios are over one word at least; repeated documents are judged one by one; an empty table gives
-no row. Extra columns are kept.
+no row. `passing` keeps every column as it is; `judged` replaces columns that have the names of its
+measures and uses names that begin with an underscore.
 """
 
 from __future__ import annotations
@@ -89,7 +90,8 @@ def judged(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
 
 def passing(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """The documents that break no rule, with their own columns."""
-    return judged(docs, thresholds).where("kept").select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("_doc"))
+    return judged(rows, thresholds).where("kept").select("_doc.*")
 
 
 def digest(rows: DataFrame) -> DataFrame:

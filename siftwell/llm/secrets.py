@@ -10,7 +10,8 @@ pairs is above `margin`.
 
 Edge cases: null and empty texts have no span; without any random sample nothing is added to the base;
 repeated documents are scanned one by one; spans of different kinds may overlap; an empty table
-gives no row. Extra columns are kept.
+gives no row. Extra columns are kept; spans, and names that begin with an
+underscore, are replaced.
 """
 
 from __future__ import annotations
@@ -53,7 +54,10 @@ def labelled_samples(docs: DataFrame, most_samples: int = MOST_SAMPLES, most_doc
     found = docs.select(F.explode(base_spans(text)).alias("s")).select("s.kind", "s.value")
     secret = F.when(F.col("kind") == "assign", F.regexp_extract("value", ASSIGN, 2)).otherwise(F.col("value"))
     randoms = found.select(secret.alias("value")).where("length(value) >= 16 and value rlike '[0-9]'")
-    sample = docs.where("text is not null").orderBy(F.xxhash64("text"), "doc_id").limit(most_docs).select("text")
+    # the hash that the sample ends at is found on hashes alone
+    digests = docs.where("text is not null").select(F.xxhash64("text").alias("h"))
+    last = digests.distinct().orderBy("h").limit(most_docs).agg(F.max("h")).first()[0]
+    sample = docs.where(F.xxhash64("text") <= F.lit(last)).select("text").distinct()
     words = sample.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![^\x20\n])[A-Za-z][a-z]{5,39}(?=[\x20\n.,])"), F.lit(0))).alias("value"))
     least = lambda df: df.distinct().orderBy(F.xxhash64("value"), "value").limit(most_samples)
     return least(randoms).withColumn("random", F.lit(True)).unionByName(least(words).withColumn("random", F.lit(False)))

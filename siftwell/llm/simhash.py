@@ -15,7 +15,7 @@ its pairs.
 Edge cases: null and empty texts have the fingerprint zero and are linked like any other; a text
 of one or two words is one shingle; repeated rows share their component; a null doc_id never is
 the smallest unless a component has no other; an empty table gives no row. Extra columns are
-kept by `one_of_each`.
+kept by `one_of_each`, whatever their names.
 """
 
 from __future__ import annotations
@@ -226,10 +226,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row of each component: that with the smallest doc_id, of rows that repeat it the first as written."""
-    columns = docs.columns
-    rows = stored(fingerprints(docs, keep=columns).withColumn("_row", F.monotonically_increasing_id()), "marked")
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))
+    rows = stored(fingerprints(packed, keep=["doc_id", "_doc"]).withColumn("_row", F.monotonically_increasing_id()), "marked")
     named = _components_of(rows, bucket_rows)
     ranked = rows.select("fp", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("place"))
     # the first row of each fingerprint, then of each component: both aggregate before they shuffle
     first = ranked.groupBy("fp").agg(F.min("place").alias("place")).join(named, "fp").groupBy("root").agg(F.min("place").alias("place"))
-    return rows.join(first.select("place._row"), "_row", "left_semi").select(*columns)
+    return rows.join(first.select("place._row"), "_row", "left_semi").select("_doc.*")
