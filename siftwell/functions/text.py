@@ -97,11 +97,19 @@ def strip_tracking(url: Column) -> Column:
     return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"), clean).otherwise(plain)
 
 
+#: White space as it is stripped from texts.
+WHITE = " \t\n\x0b\x0c\r\xa0"
+
+
+def stripped(text: Column) -> Column:
+    return F.trim(text, F.lit(WHITE))
+
+
 def decode_entities(text: Column) -> Column:
     """Named, decimal and hexadecimal character references as characters."""
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&mdash;", "—"), ("&ndash;", "–"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&rdquo;", "”"), ("&ldquo;", "“"), ("&bull;", "•"), ("&hellip;", "…")):
         text = F.replace(text, F.lit(name), F.lit(char))
-    char = lambda hexed: F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32BE")
+    char = lambda hexed: F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
 
     def folded(t: Column, pattern: str, before: str, to_hex) -> Column:
         codes = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)))
@@ -117,7 +125,7 @@ def strip_html(html: Column) -> Column:
     t = decode_entities(html)
     t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
     t = F.regexp_replace(t, "<[^>]+>", " ")
-    return F.trim(decode_entities(t))
+    return stripped(decode_entities(t))
 
 
 def strip_markdown(text: Column) -> Column:
@@ -128,7 +136,7 @@ def strip_markdown(text: Column) -> Column:
     t = F.regexp_replace(t, r"(?m)^\s{0,3}#{1,6}\s+", "")
     t = F.regexp_replace(t, r"\*\*|__|`", "")
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return F.trim(t)
+    return stripped(t)
 
 
 def slugs(name: Column, website: Column | None = None) -> Column:

@@ -60,23 +60,26 @@ def batch_outcome(rows: DataFrame, most_rounds: int = 200) -> DataFrame:
     that share either with a kept row. An empty link blocks nothing.
     """
     link = F.when(F.col("stripped") == "", F.concat(F.lit("seq:"), F.col("seq").cast("string"))).otherwise(F.col("stripped"))
-    open_ = _stored(rows.select("seq", link.alias("link"), F.col("normalized_key").alias("key")))
-    settled = None
+    all_ = _stored(rows.select("seq", link.alias("link"), F.col("normalized_key").alias("key")))
+    open_, chosen = all_, None
     for _ in range(most_rounds):
         by_link, by_key = open_.groupBy("link").agg(F.min("seq").alias("first_link")), open_.groupBy("key").agg(F.min("seq").alias("first_key"))
         ranked = open_.join(by_link, "link").join(by_key, "key")
         kept = _stored(ranked.where("seq = first_link and seq = first_key").select("seq", "link", "key"))
+        chosen = kept if chosen is None else chosen.unionByName(kept)
         links, keys = kept.select("link", F.col("seq").alias("link_by")), kept.select("key", F.col("seq").alias("key_by"))
         left = open_.join(kept.select("seq"), "seq", "left_anti").join(links, "link", "left").join(keys, "key", "left")
         # a row behind a kept one of its link or key is out; one that came before it stays open
-        left = left.withColumn("outcome", F.when(F.col("link_by") < F.col("seq"), "same_link").when(F.col("key_by") < F.col("seq"), "same_key"))
-        left = _stored(left)
-        done = kept.select("seq", F.lit("keep").alias("outcome")).unionByName(left.where("outcome is not null").select("seq", "outcome"))
-        settled = done if settled is None else settled.unionByName(done)
-        open_ = left.where("outcome is null").select("seq", "link", "key")
+        out = F.coalesce(F.col("link_by") < F.col("seq"), F.lit(False)) | F.coalesce(F.col("key_by") < F.col("seq"), F.lit(False))
+        open_ = _stored(left.where(~out).select("seq", "link", "key"))
         if open_.isEmpty():
-            return settled
-    raise RuntimeError("the batch didn't settle")
+            break
+    else:
+        raise RuntimeError("the batch didn't settle")
+    # a link has one kept row at most: it explains those behind it, the key explains the rest
+    owners = chosen.select("link", F.col("seq").alias("owner"))
+    explained = all_.join(owners, "link", "left")
+    return explained.select("seq", F.when(F.col("owner") == F.col("seq"), "keep").when(F.col("owner") < F.col("seq"), "same_link").otherwise("same_key").alias("outcome"))
 
 
 REPLACED = ("seen_at", "score", "score_label", "matched_keywords")
