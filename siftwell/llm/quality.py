@@ -41,6 +41,9 @@ THRESHOLDS = [
 BASE = ("too_few_words", "repeated_windows")
 
 
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_shouts", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words"]
+
+
 def _blank(text: Column) -> Column:
     return F.translate(text, WHITE, " " * len(WHITE))
 
@@ -73,7 +76,10 @@ def measured(docs: DataFrame) -> DataFrame:
     same = lambda j, k: F.get(F.col("_sorted"), j)["s"] == F.coalesce(F.get(F.col("_sorted"), k)["s"], F.lit(""))
     places = F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), F.size("_sorted") - 1), lambda j: same(j, j + 1) | ((j > 0) & same(j, F.greatest(j - 1, F.lit(0))))), lambda j: F.get(F.col("_sorted"), j)["i"]))
     covered = F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(i, a["end"])).alias("n"), (i + WINDOW).alias("end")))["n"]
-    return rows.withColumn("n_repeat_words", F.when(F.col("_again"), covered).otherwise(0).cast("long")).drop("_again", "_sorted")
+    rows = rows.withColumn("n_repeat_words", F.when(F.col("_again"), covered).otherwise(0).cast("long"))
+    # as a generated row, the measures are computed once: a filter on them isn't pushed into their expressions
+    own = [c for c in docs.columns if c not in MEASURES]
+    return rows.select(*own, F.inline(F.array(F.struct(*MEASURES))))
 
 
 def broken_rule(thresholds=THRESHOLDS) -> Column:
