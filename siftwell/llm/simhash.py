@@ -175,10 +175,9 @@ def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     if large is None:
         return out
     # the 48 bits outside the band, in four parts of 12, of which one must agree
-    k = F.expr("key div 65536")
     rest = F.expr("case key div 65536 when 0 then shiftrightunsigned(fp, 16) when 1 then (shiftrightunsigned(fp, 32) * 65536) | (fp & 65535) when 2 then (shiftrightunsigned(fp, 48) * 4294967296) | (fp & 4294967295) else fp & 281474976710655 end")
     parts = F.array(*[(F.lit(p) * 4096 + F.shiftrightunsigned("rest", 12 * p).bitwiseAND(F.lit(4095))).cast("long") for p in range(4)])
-    finer = large.withColumn("rest", rest).select("fp", (F.col("key") * 16384 + F.explode(parts)).alias("key"))
+    finer = large.withColumn("rest", rest).select("fp", "key", F.explode(parts).alias("part")).select("fp", (F.col("key") * 16384 + F.col("part")).alias("key"))
     finer, huge = _without_large(finer, bucket_rows)
     out = out.unionByName(_run(finer))
     if huge is not None:
