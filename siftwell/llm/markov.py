@@ -22,16 +22,21 @@ def _pairs(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: state(i) * STATES + state(i + 1))
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
-    """log P(next | this, random) - log P(next | this, ordinary) for each pair. samples: value, random (boolean)."""
+def train(samples: DataFrame, smoothing: float = 0.5, backing: float = 5.0) -> list[float]:
+    """log P(next | this, random) - log P(next | this, ordinary) for each pair. samples: value, random (boolean).
+
+    A pair's probability backs off to that of its second character, weighted like `backing` pairs.
+    """
     rows = samples.where(F.length("value") > 1).select("random", F.explode(_pairs(F.col("value"))).alias("pair"))
-    counts: dict[bool, list[float]] = {kind: [smoothing] * (STATES * STATES) for kind in (True, False)}
+    counts = {kind: [0.0] * (STATES * STATES) for kind in (True, False)}
     for r in rows.groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).collect():  # at most 2 * STATES ** 2 rows
         counts[r["random"]][r["pair"]] += r["n"]
 
     def logs(c: list[float]) -> list[float]:
+        whole = sum(c) + smoothing * STATES
+        alone = [(sum(c[b::STATES]) + smoothing) / whole for b in range(STATES)]
         totals = [sum(c[a * STATES : (a + 1) * STATES]) for a in range(STATES)]
-        return [math.log(n / totals[k // STATES]) for k, n in enumerate(c)]
+        return [math.log((n + backing * alone[k % STATES]) / (totals[k // STATES] + backing)) for k, n in enumerate(c)]
 
     return [round(a - b, 4) for a, b in zip(logs(counts[True]), logs(counts[False]))]
 

