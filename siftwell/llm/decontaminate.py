@@ -180,13 +180,10 @@ HITS = "n_words long, n_hit long, n_items long, item_ids array<string>"
 RAW = "n_words long, runs array<struct<first:int,n:int>>, item_ids array<string>"
 
 
-def _passes(benchmark: DataFrame, limit: int):
-    """The benchmark's rows, at most about `limit` bytes of text at a time."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-int(size) // limit))
-    for k in range(n):
-        part = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield n, [tuple(r) for r in part.select("item_id", "text").toLocalIterator()]
+def _items(benchmark: DataFrame, k: int, passes: int) -> list:
+    """The benchmark's rows of pass k, of a size that has been checked."""
+    part = benchmark if passes == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+    return [tuple(r) for r in part.select("item_id", "text").toLocalIterator()]
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: list[str] | None = None, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -199,14 +196,14 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, ke
     spark = docs.sparkSession
     small_batches(spark)
     keep = keep or ["doc_id"]
-    passes = list(_passes(benchmark, pass_bytes))
-    if len(passes) == 1:
-        return _one_pass(docs, passes[0][1], width, keep, merge=False)
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
-    docs = stored(docs.select("_row", "text", *[c for c in keep if c != "text"]), "decontaminate")
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    passes = max(1, -(-int(size) // pass_bytes))
+    if passes == 1:
+        return _one_pass(docs, _items(benchmark, 0, 1), width, keep, merge=False)
+    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()).select("_row", "text", *[c for c in keep if c != "text"]), "decontaminate")
     parts = None
-    for _, rows in passes:
-        part = _one_pass(docs, rows, width, ["_row"], merge=True)
+    for k in range(passes):  # written before the next part of the benchmark is read
+        part = stored(_one_pass(docs, _items(benchmark, k, passes), width, ["_row"], merge=True), "hits")
         parts = part if parts is None else parts.unionByName(part)
     merged = parts.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
     start = F.array_sort("runs")
