@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.text import let
 
+# Season words and pay patterns.
 SEASONS = "summer|fall|autumn|winter|spring"
 SEASON_YEAR = rf"\b({SEASONS})\b[ ,/\-_–—'’]{{0,3}}(20\d{{2}}|'?\d{{2}})\b|\b(20\d{{2}})\b[ ,/\-_–—'’]{{0,3}}({SEASONS})\b"
 SEASON_RUN = rf"((?:\b(?:{SEASONS})\b[ ,/&]{{0,3}}(?:and )?){{2,4}})(20\d{{2}}|'?\d{{2}})\b"
