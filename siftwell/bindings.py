@@ -775,3 +775,61 @@ def t5_stream_of_changes(spark, sf):
     store = state.VersionedTable(spark, f"{folder}/store")
     jobs.into_store(feed, store, f"{folder}/checkpoint", jobs.patch_merge(postings(spark, sf))).awaitTermination()
     return store.read().select("seq", "applied")
+
+
+# --- more payloads and joins ------------------------------------------------------------------
+
+
+@query(f"{R} select cast(seq as varchar) as job_id, title, company from p where source = 'Linkedin' and seq % 16 = 5")
+def s12_yc(spark, sf):
+    jobs_ = listed(id=F.col("seq"), title=F.col("title"), jobType=F.when(F.col("seq") % 16 == 5, "Intern").otherwise("Fulltime"), location=F.col("location"), salaryRange=F.col("pay"), companyName=F.col("company"), oneLiner=F.lit("a & b"), url=F.col("link"))
+    escaped = F.replace(F.replace(F.to_json(F.struct(F.struct(jobs_.alias("jobs")).alias("props"))), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+    return payloads.yc(landed(spark, sf, "Linkedin", F.concat(F.lit('<div data-page="'), escaped, F.lit('"></div>')))).select("job_id", "title", "company")
+
+
+@query(f"{R} select seq, title as role, '$25/hr' as pay, location as card_location from p where source = 'Handshake'")
+def s15_cards(spark, sf):
+    rows = postings(spark, sf).where("source = 'Handshake'")
+    made = rows.select("seq", "company", F.concat("company", F.lit(" "), "title", F.lit(" $25/hr · Internship · x")).alias("label"), F.concat(F.lit("Promoted∙"), "location", F.lit("∙3wk ago")).alias("footer"))
+    return payloads.cards(made).select("seq", "role", "pay", "card_location")
+
+
+@query(f"{R} select seq, case when seq % 4 = 3 then 'Detail ' || cast(seq as varchar) else company end as company from p where source = 'Handshake'")
+def s15a_card_companies(spark, sf):
+    rows = postings(spark, sf).where("source = 'Handshake'").withColumn("job_id", F.col("seq").cast("string"))
+    cards_ = rows.withColumn("company", F.when(F.col("seq") % 4 != 3, F.col("company")))
+    details = rows.select("job_id", F.concat(F.lit("Detail "), "job_id").alias("company"))
+    return payloads.with_company(cards_, details).select("seq", "company")
+
+
+@query(f"{R} select seq, case seq % 3 when 0 then 'plain' when 1 then pay || chr(10) || chr(10) || 'Needs' || chr(10) || title end as description from p")
+def s16_descriptions(spark, sf):
+    third = F.col("seq") % 3
+    rows = postings(spark, sf).select("seq", F.when(third == 0, " plain ").alias("plain"), F.when(third < 2, F.concat(F.lit("<p>"), "pay", F.lit("</p>"))).alias("html"), F.when(third < 2, F.array(F.struct(F.lit("Needs").alias("text"), F.concat(F.lit("<li>"), "title", F.lit("</li>")).alias("content")))).alias("lists"))
+    return payloads.assembled_description(rows).select("seq", "description")
+
+
+@query(f"{R}, f as (select link, 'https://direct.example/' || cast(min(seq) as varchar) as resolved from p where stored group by 1) select seq, coalesce(f.resolved, p.link) as link from p left join f on f.link = p.link")
+def s17_resolved_links(spark, sf):
+    rows = postings(spark, sf).withColumn("description", F.lit(None).cast("string"))
+    fetched = rows.where("stored").groupBy("link").agg(F.concat(F.lit("https://direct.example/"), F.min("seq").cast("string")).alias("resolved")).withColumn("description", F.lit("text"))
+    return payloads.with_fetched(rows, fetched).select("seq", "link")
+
+
+@query(f"{E} select seq, role_points, company_points, location_points, score from e where id in (select 'p' || cast(c_custkey as varchar) from customer)")
+def j15_score_lookup(spark, sf):
+    ids = table(spark, sf, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("id"))
+    return enriched(spark, sf).join(ids, "id", "left_semi").select("seq", "role_points", "company_points", "location_points", "score")
+
+
+@query(f"""{R} select seq, 'update' as action, 'https://t' || cast(seq % 5 as varchar) || '.wd5.myworkdayjobs.com/' || case when seq % 7 <= 3 then 'S' || cast(seq % 7 as varchar) else 'G' || cast(seq % 5 as varchar) end || '/job/' || cast(seq as varchar) as link
+    from p where source = 'Workday' and seq % 3 = 0""")
+def j10_m10_repair_plan(spark, sf):
+    text_of = lambda n: (F.col("seq") % n).cast("string")
+    rows = postings(spark, sf).where("source = 'Workday'").withColumn("host", F.concat(F.lit("t"), text_of(5), F.lit(".wd5.myworkdayjobs.com")))
+    bad = rows.select(F.col("seq").alias("id"), "title", "company", "host", F.concat(F.lit("s"), text_of(7)).alias("slug"), F.concat(F.lit("https://"), "host", F.lit("/wrong/job/"), F.col("seq").cast("string")).alias("link"))
+    good = rows.select("host", F.concat(F.lit("G"), text_of(5)).alias("board"))
+    targets = rows.where("seq % 7 <= 3").select(F.concat(F.lit("s"), text_of(7)).alias("slug"), F.lit("no such company").alias("name"), F.concat(F.lit("S"), text_of(7)).alias("board")).distinct()
+    board = F.when(F.col("seq") % 7 <= 3, F.concat(F.lit("S"), text_of(7))).otherwise(F.concat(F.lit("G"), text_of(5)))
+    checks_ = rows.select(F.concat(F.lit("https://"), "host", F.lit("/"), board, F.lit("/job/"), F.col("seq").cast("string")).alias("link"), F.when(F.col("seq") % 3 == 0, 200).otherwise(404).alias("status"))
+    return state.repair_plan(bad, good, targets, postings(spark, sf), checks_).select(F.col("id").alias("seq"), "action", "link")
