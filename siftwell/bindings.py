@@ -833,3 +833,45 @@ def j10_m10_repair_plan(spark, sf):
     board = F.when(F.col("seq") % 7 <= 3, F.concat(F.lit("S"), text_of(7))).otherwise(F.concat(F.lit("G"), text_of(5)))
     checks_ = rows.select(F.concat(F.lit("https://"), "host", F.lit("/"), board, F.lit("/job/"), F.col("seq").cast("string")).alias("link"), F.when(F.col("seq") % 3 == 0, 200).otherwise(404).alias("status"))
     return state.repair_plan(bad, good, targets, postings(spark, sf), checks_).select(F.col("id").alias("seq"), "action", "link")
+
+
+@query(f"{R} select source, param, n from (select source, 'jobFamilyGroup' as param, count(*) filter ({O.intern('title')}) as n from p where seq % 2 = 0 group by 1 union all select source, 'workerSubType', count(*) filter ({O.intern('title')}) from p where seq % 2 = 1 group by 1) where n > 0")
+def s7_intern_facets(spark, sf):
+    """A facets response for each source, made from its titles; the number of ids kept for each parameter."""
+    param = F.when(F.col("seq") % 2 == 0, "jobFamilyGroup").otherwise("workerSubType")
+    values = postings(spark, sf).groupBy("source", param.alias("facetParameter")).agg(F.collect_list(F.struct(F.col("title").alias("descriptor"), F.col("seq").cast("string").alias("id"))).alias("values"))
+    body = values.groupBy("source").agg(F.to_json(F.struct(F.collect_list(F.struct("facetParameter", "values")).alias("facets"))).alias("body"))
+    found = payloads.intern_facets(body.withColumnRenamed("source", "target_slug"))
+    return found.select(F.col("target_slug").alias("source"), F.explode("facets").alias("param", "ids")).select("source", "param", F.size("ids").cast("long").alias("n"))
+
+
+@query(f"{E} select id, title, company, score from e where not stored and location_class <> 'non_us' and score >= 75 and not exists(select 1 from (select 'p' || cast(event_id as varchar) as id, {STATUS} as status from events) k where k.id = e.id and status in (404, 410)) order by score desc, id, seq limit 10")
+def s22_alert_outbox(spark, sf):
+    """The rows that an alert would carry: the alert filter, then live links, then the best ten."""
+    rows = enriched(spark, sf).where("not stored").where(rules.alert_filter(rules.FilterSpec(least_score=75)))
+    return state.live_links(rows, checks(spark, sf)).orderBy(F.desc("score"), "id", "seq").limit(10).select("id", "title", "company", "score")
+
+
+@query(f"{R} select count(*) as n from p where id in (select 'p' || cast(c_custkey as varchar) from customer)")
+def s23_backup(spark, sf):
+    """The rows that a plan touches, written before it is applied and read again."""
+    folder = scratch(spark)
+    plan = table(spark, sf, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("id"))
+    state.backup(postings(spark, sf), plan, folder)
+    return spark.read.parquet(folder).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def x14_cleaned_descriptions(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.strip_markdown(F.coalesce("text", F.lit(""))).alias("cleaned"))
+
+
+def _decoded(c: str) -> str:
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
+        c = f"replace({c}, '{name}', '{char}')"
+    return c
+
+
+@query("select page_id, trim(" + _decoded("regexp_replace(regexp_replace(" + _decoded("html") + ", '(?i)<br\\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g')") + ", ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) as plain from pages")
+def x6_stripped_html(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.strip_html(F.col("html")).alias("plain"))
