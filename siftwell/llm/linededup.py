@@ -1,9 +1,11 @@
 """Line dedup over content-defined chunks of lines.
 
 A text is cut into lines at "\\n". A rolling hash over the hashes of `window` lines chooses the
-boundaries: a chunk ends after a line where it is 0 modulo `spread`, once it has `least` lines,
-or at `most` lines, so that boundaries move along with inserted or removed lines. A chunk of at least
-`least` lines with at least `least_chars` characters that occurs again, in another document or
+boundaries: a chunk ends after a line where it is 0 modulo `spread`, or at `most` lines, once it
+has `least` lines and `least_chars` bytes that aren't all white space, so that boundaries move
+along with inserted or removed lines. What is left at the end and is smaller than that joins the
+chunk before it, so that an equal text goes as a whole. A chunk of at least `least` lines with at
+least `least_chars` bytes that occurs again, in another document or
 in the same one, is removed everywhere but in its first place: the document with the smallest
 doc_id, and there its first occurrence. Chunks are grouped by a 128-bit hash together with their
 own bytes, so that only equal bytes ever count as repeated.
@@ -29,20 +31,22 @@ MASK = (1 << 64) - 1
 STEP = 0x9E3779B97F4A7C15
 
 
-def chunks_of(lines: list[bytes], window: int = WINDOW, spread: int = SPREAD, least: int = LEAST, most: int = MOST):
-    """(first line, end line) of the chunks."""
+def chunks_of(lines: list[bytes], window: int = WINDOW, spread: int = SPREAD, least: int = LEAST, most: int = MOST, least_chars: int = LEAST_CHARS):
+    """(first line, end line) of the chunks; all may be removed, but for the one of a text that is too small as a whole."""
     hashes = [xxhash.xxh3_64_intdigest(line) for line in lines]
     drop = pow(STEP, window, 1 << 64)
-    rolling, first, out = 0, 0, []
+    rolling, first, n_bytes, solid, out = 0, 0, -1, False, []
     for i, h in enumerate(hashes):
         rolling = (rolling * STEP + h) & MASK
         if i >= window:
             rolling = (rolling - hashes[i - window] * drop) & MASK
-        size = i + 1 - first
-        if size >= most or size >= least and (rolling >> 32) % spread == 0:
+        size, n_bytes, solid = i + 1 - first, n_bytes + 1 + len(lines[i]), solid or lines[i].strip() != b""
+        if size >= least and n_bytes >= least_chars and solid and (size >= most or (rolling >> 32) % spread == 0):
             out.append((first, i + 1))
-            first = i + 1
+            first, n_bytes, solid = i + 1, -1, False
     if first < len(lines):
+        if out and not (len(lines) - first >= least and n_bytes >= least_chars and solid):
+            first = out.pop()[0]
         out.append((first, len(lines)))
     return out
 
@@ -56,7 +60,7 @@ def local_view(text: bytes, least: int = LEAST, least_chars: int = LEAST_CHARS,
         at += len(line) + 1
     starts.append(at)
     seen = set()
-    for a, b in chunks_of(lines, least=least, **shape):
+    for a, b in chunks_of(lines, least=least, least_chars=least_chars, **shape):
         lo, hi = starts[a], starts[b] - 1
         body = text[lo:hi]
         long = b - a >= least and len(body) >= least_chars and body.strip() != b""

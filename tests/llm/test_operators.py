@@ -300,6 +300,17 @@ def test_line_chunks_resist_shifts(spark):
     assert got[0]["text"] == a and got[1]["n_removed"] >= 20 and all(f"own {n} " in got[1]["text"] for n in range(7)) and got[1]["text"].endswith("an end")
 
 
+def test_line_dedup_leaves_no_rest_of_a_copy(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    line = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(rnd.choice([0, 3, 12, 30, 90])))
+    whole = ["\n".join([f"the head of text {n} is over forty characters long"] + [line() for _ in range(rnd.randint(1, 30))]) for n in range(60)]
+    got = {r["doc_id"]: r for r in linededup.remove_repeated(docs(spark, whole + whole)).collect()}
+    assert not any(got[n]["text"] or got[n]["n_removed"] < got[n]["n_lines"] for n in range(60, 120))
+    assert {r["doc_id"] for r in corpus_pipeline.line_dedup(spark, docs(spark, whole + whole), SMALL).collect()} == set(range(60))
+
+
 def test_line_dedup_edges(spark):
     df = odd(spark)
     got = linededup.remove_repeated(df)
