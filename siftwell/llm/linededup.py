@@ -1,16 +1,19 @@
 """Line dedup over content-defined chunks of lines.
 
-A text is cut into lines at "\\n". A rolling hash over the hashes of `window` lines chooses the
-boundaries: a chunk ends after a line where it is 0 modulo `spread`, or at `most` lines, once it
-has `least` lines and `least_chars` bytes that aren't all white space, so that boundaries move
-along with inserted or removed lines. What is left at the end and is smaller than that joins the
-chunk before it, so that an equal text goes as a whole. A chunk of at least `least` lines with at
-least `least_chars` bytes that occurs again, in another document or
-in the same one, is removed everywhere but in its first place: the document with the smallest
-doc_id, and there its first occurrence. Chunks are grouped by a 128-bit hash together with their
-own bytes, so that only equal bytes ever count as repeated.
-
-Edge cases: null texts stay null and empty ones empty; rows with the same doc_id count as one
+A text is cut into lines at "\\n". A chunk ends once it has `least` lines and `least_chars` bytes that
+aren't all white space: at a line that has `least_chars` bytes by itself, before such a line, where
+a rolling hash over the hashes of `window` lines is 0 modulo `spread`, or at `most` lines. So a long
+line is a chunk of its own (with the few short ones before it, if there are any), runs of short
+lines are cut by the rolling hash, and boundaries depend on the lines beside them only: a shared
+passage of any number of lines meets its like at any offset, but for short lines at its edges. What
+is left at the end and is too small joins the chunk before it, so that an equal text goes as a
+whole. A chunk that occurs again, in another document or in the same one, is removed everywhere but
+in its first place: the document with the smallest doc_id, and there its first occurrence. Chunks
+are grouped by a 128-bit hash together with their own bytes, so that only equal bytes ever count as
+repeated.
+
+Edge cases: null texts stay null and empty ones empty; a text of under `least_chars` bytes is never
+removed; rows with the same doc_id count as one
 document (what they share stays in each, what occurs twice within one goes); a null doc_id
 comes before all others; blank lines belong to chunks like others; an empty table gives no row. Extra
 columns are kept; n_lines, n_removed and removed_chunks replace columns of those names.
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import same_text, small_batches
 
-WINDOW, SPREAD, LEAST, MOST, LEAST_CHARS = 2, 3, 2, 12, 40
+WINDOW, SPREAD, LEAST, MOST, LEAST_CHARS = 2, 3, 1, 12, 40
 MASK = (1 << 64) - 1
 STEP = 0x9E3779B97F4A7C15
 
@@ -41,7 +44,8 @@ def chunks_of(lines: list[bytes], window: int = WINDOW, spread: int = SPREAD, le
         if i >= window:
             rolling = (rolling - hashes[i - window] * drop) & MASK
         size, n_bytes, solid = i + 1 - first, n_bytes + 1 + len(lines[i]), solid or lines[i].strip() != b""
-        if size >= least and n_bytes >= least_chars and solid and (size >= most or (rolling >> 32) % spread == 0):
+        by_long = len(lines[i]) >= least_chars or i + 1 < len(lines) and len(lines[i + 1]) >= least_chars
+        if size >= least and n_bytes >= least_chars and solid and (by_long or size >= most or (rolling >> 32) % spread == 0):
             out.append((first, i + 1))
             first, n_bytes, solid = i + 1, -1, False
     if first < len(lines):
@@ -89,7 +93,7 @@ def remove_repeated(docs: DataFrame, **shape) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], names=["_id", "_same", "_chunk", "hash", "body"])
 
     bytes_ = F.col("text").cast("binary").alias("_bytes")
-    several = rows.where("text is not null and instr(text, '\\n') > 0").select("_id", "_same", bytes_)
+    several = rows.where("text <> ''").select("_id", "_same", bytes_)
     shape_ = "_id long, _same long, _chunk int, hash binary, body binary"
     chunks = several.mapInArrow(lambda b: cut(b, True), shape_)
     places = several.mapInArrow(lambda b: cut(b, False), shape_)
@@ -105,7 +109,7 @@ def remove_repeated(docs: DataFrame, **shape) -> DataFrame:
             texts, counts = [], [[], [], []]
             for text, gone in zip(batch.column("_bytes").to_pylist(), batch.column("_gone").to_pylist()):
                 kept, removed, chunks_gone, n = text, 0, 0, 0 if text is None else text.count(b"\n") + 1
-                if text is not None and n > 1:
+                if text:
                     gone = set(gone or ())
                     left = []
                     for number, (a, b, lo, hi, _, again) in enumerate(local_view(text, **shape)):

@@ -311,6 +311,19 @@ def test_line_dedup_leaves_no_rest_of_a_copy(spark):
     assert {r["doc_id"] for r in corpus_pipeline.line_dedup(spark, docs(spark, whole + whole), SMALL).collect()} == set(range(60))
 
 
+def test_line_dedup_finds_short_passages_at_any_offset(spark):
+    rnd = random.Random(6)
+    line = lambda: " ".join(rnd.choice(["river", "stone", "garden", "window", "paper", "market"]) + str(rnd.randint(0, 99)) for _ in range(rnd.randint(20, 60)))
+    passages = [[line() for _ in range(2 + n % 3)] for n in range(30)]
+    held = ["\n".join([line() for _ in range(rnd.randint(0, 6))] + p + [line() for _ in range(rnd.randint(0, 6))]) for p in passages]
+    own = [([line() for _ in range(rnd.randint(0, 6))], [line() for _ in range(rnd.randint(0, 6))]) for _ in passages]
+    lone = line()
+    texts = held + ["\n".join(a + p + b) for p, (a, b) in zip(passages, own)] + [lone, f"{line()}\n{lone}\n{line()}", lone]
+    got = [r["text"] for r in linededup.remove_repeated(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got[:30] == held and got[30:60] == ["\n".join(a + b) for a, b in own]
+    assert got[60] == lone and lone not in got[61] and got[61].count("\n") == 1 and got[62] == ""
+
+
 def test_line_dedup_edges(spark):
     df = odd(spark)
     got = linededup.remove_repeated(df)
