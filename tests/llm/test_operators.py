@@ -14,7 +14,7 @@ from conftest import SMALL, rows_of
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siftwell.llm import common, decontaminate, graph, linededup, markov, packing, pii, quality, queries, secrets, simhash, substrings, urls, warc
+from siftwell.llm import common, decontaminate, graph, linededup, markov, nearsets, packing, pii, quality, queries, secrets, simhash, substrings, urls, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 DOC = "doc_id long, text string"
@@ -235,6 +235,52 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def jaccard(a, b):
+    sets = []
+    for text in (a, b):
+        w = text.lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("stars", [0, 1, 2])
+def test_near_dedup_reaches_similarity(spark, stars):
+    import corpus_pipeline
+
+    rnd = random.Random(7)
+    texts = []
+    for n in range(40):
+        w = [f"w{rnd.randint(0, 9999)}" for _ in range(rnd.randint(40, 400))]
+        texts.append(" ".join(w))
+        for _ in range(12 if n == 0 else 2):  # copies with edits, of 0.5 to 1
+            for k in rnd.sample(range(len(w)), rnd.randint(1, 1 + len(w) // 40)):
+                w[k] = f"v{rnd.randint(0, 9999)}"
+            texts.append(" ".join(w))
+    parent = list(range(len(texts)))
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if jaccard(texts[a], texts[b]) >= 0.8:
+                p, q = root(a), root(b)
+                parent[max(p, q)] = min(p, q)
+    want = {n for n in range(len(texts)) if root(n) == n}
+    assert 40 < len(want) < len(texts) - 30
+    df = docs(spark, texts)
+    assert {r["doc_id"] for r in nearsets.one_of_each(df, stars).collect()} == want
+    if stars == 2:
+        assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, SMALL).collect()} == want
+
+
+def test_near_dedup_edges(spark):
+    df = odd(spark)
+    one = nearsets.one_of_each(df)
+    assert one.columns == df.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in one.collect()) == [(False, 1), (False, 1), (False, 2), (False, 4), (True, 0)]
+    assert nearsets.one_of_each(df.limit(0)).count() == 0
+
+
 # --- substrings, lines -------------------------------------------------------------------------
 
 
