@@ -83,6 +83,22 @@ ORACLE_SQL = {
                     or n_dup_lines / greatest(n_lines, 1) > 0.5
                     or case when n_words >= 50 then n_stop_words / n_words else 1 end < 0.01) as kept
         from b""",
+    "op9_substrings": """
+        with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
+             w as (select r, unnest(range(octet_length(b) - 399)) as s, b from d where octet_length(b) >= 400),
+             h as (select r, s, sha256(b[s + 1 : s + 400]) as x from w),
+             g as (select r, s from h where x in (select x from h group by x having count(*) > 1)),
+             i as (select r, s, case when s <= lag(s) over (partition by r order by s) + 400 then 0 else 1 end as new from g),
+             n as (select r, s, sum(new) over (partition by r order by s rows unbounded preceding) as k from i),
+             gone as (select r, min(s) as a, max(s) + 400 as z from n group by r, k),
+             cuts as (select r, coalesce(lag(z) over (partition by r order by a), 0) as a, a as z from gone
+                      union all select r, max(z), (select octet_length(b) from d where d.r = gone.r) from gone group by r),
+             kept as (select r, string_agg(hex(b[a + 1 : z]), '' order by a) as k from cuts join d using (r) group by r),
+             removed as (select r, sum(z - a) as n, count(*) as spans from gone group by r),
+             o as (select doc_id, octet_length(b) as n_bytes, coalesce(n, 0) as n_removed, coalesce(spans, 0) as n_spans,
+                          case when k is null then b else unhex(k) end as kept
+                   from d left join kept using (r) left join removed using (r))
+        select doc_id, n_bytes, n_removed, n_spans, sha256(kept) as kept_sha256, n_bytes - n_removed as n_kept, try(decode(kept)) as text from o""",
     "op7_warc": """
         with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages),
              q as (select *, min(page_id) over (partition by html) as first from p)

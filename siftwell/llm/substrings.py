@@ -1,42 +1,43 @@
-"""Exact removal of repeated byte strings by blockwise suffix sorting over a cover sample.
+"""Exact removal of repeated byte strings by blockwise suffix sorting with a difference-cover sample.
 
 A byte goes if a string of `length` (400) bytes that covers it also starts at another place.
 Whether the string at s repeats is a matter of the suffix at s and its neighbours in suffix
-order; suffixes are never sorted all at once:
-
-* Cover sample. In each window of `length` bytes the least hash among its `gram`-byte strings
-  picks a sample position. Equal windows pick the same position, so any two places with equal
-  windows have a pair of sample positions at equal distance: what a difference cover gives by
-  residues, at about 2 / (length - gram) of all positions. Windows with the same sample form a run.
-* Ranks. The bytes that a sample's run spans are its context; its 128-bit digest is the rank by
-  which long ties are resolved. Where a rank occurs twice, all windows of the runs repeat and
-  no byte is compared; one context stands for all of its rank.
-* Buckets. Samples with the same `gram` bytes are a bucket of suffixes. Buckets with one rank
-  are done. In the others the contexts are sorted, a bucket at a time, by what follows the
-  sample and by what precedes it, backwards; a window that begins d bytes before its sample
-  repeats if some other context shares d bytes to the left and length - d to the right.
-* A bucket of over `bucket_rows` ranks isn't sorted in one task: its windows are counted by
-  their 128-bit digests, which aggregates before the shuffle.
-
-Edge cases: null and empty texts have no bytes; texts shorter than `length` keep all; matches
-never cross documents, but the document itself counts; rows that repeat a text and doc_id are
-places of their own; an empty table gives no row. Extra columns are ignored.
+order to a depth of `length` bytes; suffixes are never sorted all at once:
+
+* Dealing. In each window of `length` bytes the least hash among its `gram`-byte strings is its
+  anchor. Equal windows have equal anchors at equal distance, so the suffixes that can tie meet in one
+  bucket, that of the anchor's bytes; what stands alone in its bucket can't repeat and is
+  left out. Windows in a row with the same anchor form a run; its bytes are its context.
+* Copies. Runs with the same context (by a 128-bit BLAKE2 digest) repeat as a whole; one of them stands for all,
+  so that a passage that is copied often is one context in its bucket.
+* Sorting. Each bucket's contexts are a text whose suffixes are sorted blockwise with a
+  difference-cover sample (`coversort`): the sample's suffixes are ranked first, long ties are
+  resolved by their ranks. A task takes buckets up to `SORT_BYTES` at a time.
+* A bucket of over `bucket_rows` contexts is split by more of its bytes, on either side of the anchor,
+  until its parts are small enough to be sorted. A part that has one window left in which all of its rows agree is
+  counted by that window's bytes. All of this is exact; no size changes the result.
+
+Edge cases: null and empty texts have no bytes; texts shorter than `length` keep all; very long texts are
+read in overlapping slices; matches never cross documents, but the document itself counts; equal windows
+tie whatever their documents, and all of them go; rows that repeat a text and doc_id are
+places of their own; an empty table gives no row. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import byte_view, row_slices, same_text, small_batches, stored
+from siftwell.llm.coversort import repeated_windows
 
-LENGTH, GRAM = 400, 32
-BUCKET_ROWS = 4096
-#: Ranks of a bucket up to which its contexts are compared pair by pair.
-FEW = 24
+LENGTH, GRAM = 400, 64
+#: Contexts of a bucket, and bytes of several buckets, that are sorted together.
+BUCKET_ROWS, SORT_BYTES = 4096, 2 << 20
 SLICE_BYTES = 2 << 20
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -44,11 +45,15 @@ FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1656
 def samples(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """Runs of windows with the same sample, over the rows data[begins:ends]: (sample, first window, last window, gram hash)."""
     n = len(data)
-    assert gram % 8 == 0 and gram <= 32 and n < 1 << 24
+    assert gram % 8 == 0 and (gram <= 32 or gram % 32 == 0) and n < 1 << 24
     padded = np.concatenate([data, np.zeros(gram + 8, np.uint8)])
-    mixed = np.zeros(n, np.uint64)
-    for k in range(gram // 8):
-        mixed += np.ndarray(n, "<u8", padded.data, 8 * k, (1,)) * FACTORS[k]
+    few = np.zeros(n + max(0, gram - 32), np.uint64)
+    for k in range(min(gram, 32) // 8):
+        few += np.ndarray(len(few), "<u8", padded.data, 8 * k, (1,)) * FACTORS[k]
+    mixed = few[:n].copy()
+    for k in range(1, gram // 32):  # longer strings by the sums of their parts
+        mixed *= FACTORS[0]
+        mixed += few[32 * k : 32 * k + n]
     mixed ^= mixed >> np.uint64(29)
     mixed *= FACTORS[1]
     mixed ^= mixed >> np.uint64(32)
@@ -88,7 +93,7 @@ def _sample_rows(length: int, gram: int):
                     if not len(runs):
                         continue
                     raw = part.tobytes()
-                    ranks = [xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(runs[:, 1].tolist(), (runs[:, 2] + length).tolist())]
+                    ranks = [blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(runs[:, 1].tolist(), (runs[:, 2] + length).tolist())]
                     row = a + np.searchsorted(offsets[a : b + 1] - lo, runs[:, 1], "right") - 1 if base is None else np.full(len(runs), a)
                     local = runs + (lo - offsets[row])[:, None]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(same[row]), *(pa.array(local[:, k].astype(np.int32)) for k in range(3)), pa.array(grams), pa.array(ranks, pa.binary())], names=["_id", "_same", "at", "first", "last", "gram", "rank"])
@@ -113,128 +118,78 @@ def _contexts(length: int):
 
     def read(batches):
         for batch in batches:
-            out = [[] for _ in range(9)]
+            out = [[] for _ in range(8)]
             for i, s, text, asked in zip(*(batch.column(c).to_pylist() for c in ("_id", "_same", "_bytes", "_asked"))):
                 for r in asked:
-                    row = (i, s, r["at"], r["first"], r["last"], r["gram"], r["open"], r["large"], text[r["first"] : r["last"] + length])
+                    row = (i, s, r["at"], r["first"], r["last"], r["gram"], r["open"], text[r["first"] : r["last"] + length])
                     for column, value in zip(out, row):
                         column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["_id", "_same", "at", "first", "last", "gram", "open", "large", "context"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["_id", "_same", "at", "first", "last", "key", "open", "context"])
 
     return read
 
 
-def _shared(a: bytes, b: bytes) -> int:
-    """Length of the common prefix."""
-    n = min(len(a), len(b))
-    x = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
-    return n - (x.bit_length() + 7) // 8
-
-
-def _order(strings: list[bytes]):
-    """Suffix order of the strings, and what each shares with the one before it."""
-    order = sorted(range(len(strings)), key=strings.__getitem__)
-    return order, [0] + [_shared(strings[x], strings[y]) for x, y in zip(order, order[1:])]
-
-
-def repeated_windows(contexts: list[tuple[bytes, int, int]], length: int = LENGTH, few: int = FEW) -> list[list[tuple[int, int]]]:
-    """For each (context, sample's place in it, windows of its run): ranges (from, to) of distances d before the sample
-    at which the window repeats in another of the contexts."""
-    left = [c[:at][::-1] for c, at, _ in contexts]
-    right = [c[at:] for c, at, _ in contexts]
-    spans = [(at - runs + 1, at) for _, at, runs in contexts]
-    order, common = _order(right)
-    out: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    if len(contexts) <= few:
-        for x in range(len(order)):
-            i, ahead = order[x], length
-            for y in range(x + 1, len(order)):
-                ahead = min(ahead, common[y])
-                j = order[y]
-                lo = max(length - ahead, spans[i][0], spans[j][0])
-                hi = min(spans[i][1], spans[j][1])
-                if hi >= lo and (hi := min(hi, _shared(left[i], left[j]))) >= lo:
-                    out[i].append((lo, hi))
-                    out[j].append((lo, hi))
-        return out
-    backwards, before = _order(left)
-    lows, highs = np.array([s[0] for s in spans]), np.array([s[1] for s in spans])
-    n = len(contexts)
-    place_r, place_l = np.empty(n, np.int64), np.empty(n, np.int64)
-    place_r[order], place_l[backwards] = np.arange(n), np.arange(n)
-    common, before = np.array(common), np.array(before)
-    for d in range(int(lows.min()), int(highs.max()) + 1):
-        own = np.flatnonzero((lows <= d) & (d <= highs))
-        if len(own) < 2:
-            continue
-        code = np.cumsum(common < length - d)[place_r[own]] * (n + 1) + np.cumsum(before < d)[place_l[own]]
-        _, which, counts = np.unique(code, return_inverse=True, return_counts=True)
-        for i in own[counts[which] > 1].tolist():
-            if out[i] and out[i][-1][1] == d - 1:
-                out[i][-1] = (out[i][-1][0], d)
-            else:
-                out[i].append((d, d))
-    return out
-
-
 SPANS = "_id long, _same long, begin int, end int"
 
 
-def _spans_batch(rows):
-    columns = list(zip(*rows))
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["_id", "_same", "begin", "end"])
-
-
 def _sort_buckets(length: int):
-    """Runs over rows that come bucket by bucket."""
-
-    def solve(bucket, out):
-        for row, ranges in zip(bucket, repeated_windows([(c, at - first, last - first + 1) for _, _, at, first, last, _, c in bucket], length)):
-            if row[5]:
-                out += [(row[0], row[1], row[2] - hi, row[2] - lo + length) for lo, hi in ranges]
+    """Spans of the repeated windows of rows that come bucket by bucket; whole buckets are sorted together."""
+
+    def solve(rows):
+        ends = np.cumsum([len(r[-1]) for r in rows])
+        begins = np.concatenate([[0], ends[:-1]])
+        again = repeated_windows(np.frombuffer(b"".join(r[-1] for r in rows), np.uint8), begins, ends, length)
+        marks = np.diff(np.concatenate([[0], again.view(np.int8), [0]]))
+        # a run of places ends with its string at the latest, as the last places of a string are no windows
+        starts, stops = np.flatnonzero(marks == 1), np.flatnonzero(marks == -1)
+        row = np.searchsorted(ends, starts, "right")
+        ids, same, first, open_ = (np.array([r[k] for r in rows]) for k in range(4))
+        shift = first[row] - begins[row]
+        keep = open_[row]
+        columns = [pa.array(ids[row][keep]), pa.array(same[row][keep]), pa.array((starts + shift)[keep].astype(np.int32)), pa.array((stops - 1 + length + shift)[keep].astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["_id", "_same", "begin", "end"])
 
     def read(batches):
-        bucket, gram, out = [], None, []
+        rows, key, size = [], None, 0
         for batch in batches:
-            for i, s, at, first, last, g, open_, c in zip(*(batch.column(x).to_pylist() for x in ("_id", "_same", "at", "first", "last", "gram", "open", "context"))):
-                if g != gram and bucket:
-                    solve(bucket, out)
-                    bucket = []
-                gram = g
-                bucket.append((i, s, at, first, last, open_, c))
-            if len(out) > 20_000:
-                yield _spans_batch(out)
-                out = []
-        if bucket:
-            solve(bucket, out)
-        if out:
-            yield _spans_batch(out)
+            for i, s, first, open_, k, c in zip(*(batch.column(x).to_pylist() for x in ("_id", "_same", "first", "open", "key", "context"))):
+                if k != key and size >= SORT_BYTES:
+                    yield solve(rows)
+                    rows, size = [], 0
+                key = k
+                rows.append((i, s, first, open_, c))
+                size += len(c)
+        if rows:
+            yield solve(rows)
 
     return read
 
 
-def _window_rows(length: int):
-    """Each window of the contexts with its digest."""
+def _without_large(rows: DataFrame, bucket_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows in buckets of 2 to bucket_rows contexts, and those in larger ones (None if there are none)."""
+    sizes = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(f"size > {bucket_rows}").select("key"), "large-buckets")
+    if sizes.isEmpty():
+        return rows, None
+    return rows.join(sizes, "key", "left_anti"), rows.join(sizes, "key", "left_semi")
 
-    def read(batches):
-        for batch in batches:
-            rows = []
-            for i, s, first, last, open_, c in zip(*(batch.column(x).to_pylist() for x in ("_id", "_same", "first", "last", "open", "context"))):
-                rows += [(i, s, first + k, open_, xxhash.xxh3_128_digest(c[k : k + length])) for k in range(last - first + 1)]
-                if len(rows) > 50_000:
-                    yield _windows_batch(rows)
-                    rows = []
-            if rows:
-                yield _windows_batch(rows)
 
-    return read
+def _split(rows: DataFrame, length: int) -> DataFrame:
+    """Each bucket as two: windows that begin at most m bytes before the anchor, and those that begin further off.
+
+    The first share their bytes from `low` before the anchor on to `length` - m behind, the others those from m + 1 before it to
+    `length` - `high` behind; rows that differ there part. A row goes where it has windows.
+    """
+    m = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    nearest, furthest, place = F.col("at") - F.col("last"), F.col("at") - F.col("first"), F.col("at") - F.col("first")
 
+    def part(low, high, number):
+        some = (F.greatest(nearest, low) <= F.least(furthest, high)) & (low <= high)
+        piece = F.substring(F.col("context"), place - low + 1, low + length - high)
+        return F.when(some, F.struct(low.alias("low"), high.alias("high"), F.xxhash64("key", F.lit(number), piece).alias("key")))
 
-def _windows_batch(rows):
-    columns = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()])], names=["_id", "_same", "begin", "open", "digest"])
+    parts = F.array_compact(F.array(part(F.col("low"), m, 0), part(m + 1, F.col("high"), 1)))
+    return rows.withColumn("_part", F.explode(parts)).withColumns({c: F.col(f"_part.{c}") for c in ("low", "high", "key")}).drop("_part")
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -244,20 +199,28 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     ranks = found.groupBy("gram", "rank").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("pick"))
     several = ranks.groupBy("gram").agg(F.count(F.lit(1)).alias("ranks")).where("ranks > 1")
     marked = ranks.join(several, "gram", "left").where("n > 1 or ranks > 1").select("rank", "n", "pick", "ranks")
-    # the ranks that say something, on each sample; a sample that is alone in its bucket says nothing
+    # the contexts that say something, on each run; a run that is alone in its bucket says nothing
     said = stored(found.join(marked, "rank"), "ranks")
     whole = said.where("n > 1").select("_id", "_same", F.col("first").alias("begin"), (F.col("last") + length).alias("end"))
     asked = said.where(F.col("ranks").isNotNull() & ((F.col("n") == 1) | (F.col("pick") == place)))
-    by_text = asked.groupBy("_id", "_same").agg(F.collect_list(F.struct("at", "first", "last", "gram", (F.col("n") == 1).alias("open"), (F.col("ranks") > bucket_rows).alias("large"))).alias("_asked"))
-    shape = "_id long, _same long, at int, first int, last int, gram long, open boolean, large boolean, context binary"
+    by_text = asked.groupBy("_id", "_same").agg(F.collect_list(F.struct("at", "first", "last", "gram", (F.col("n") == 1).alias("open"))).alias("_asked"))
+    shape = "_id long, _same long, at int, first int, last int, key long, open boolean, context binary"
     pulled = stored(rows.join(by_text, ["_id", "_same"]).mapInArrow(_contexts(length), shape), "contexts")
-    sorted_ = pulled.where("not large").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort_buckets(length), SPANS)
-    spans = whole.unionByName(sorted_)
-    if not pulled.where("large").isEmpty():
-        windows = stored(pulled.where("large").mapInArrow(_window_rows(length), "_id long, _same long, begin int, open boolean, digest binary"), "windows")
-        again = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-        hits = windows.where("open").join(again, "digest").select("_id", "_same", "begin", (F.col("begin") + length).alias("end"))
-        spans = spans.unionByName(hits)
+    left, large = _without_large(pulled.withColumns({"low": F.lit(0), "high": F.lit(length - gram)}), bucket_rows)
+    small = left.select("_id", "_same", "first", "open", "key", "context")
+    counted = None
+    while large is not None:  # at most once for each halving of the distance
+        parts = stored(_split(large, length), "split-buckets")
+        done = parts.where("low = high")
+        left, large = _without_large(parts.where("low < high"), bucket_rows)
+        small = small.unionByName(left.select("_id", "_same", "first", "open", "key", "context"))
+        window = F.substring(F.col("context"), F.col("at") - F.col("first") - F.col("low") + 1, F.lit(length))
+        ends = done.select("_id", "_same", (F.col("at") - F.col("low")).alias("begin"), "open", window.alias("window"))
+        counted = ends if counted is None else counted.unionByName(ends)
+    spans = whole.unionByName(small.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_buckets(length), SPANS))
+    if counted is not None:
+        again = counted.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
+        spans = spans.unionByName(counted.where("open").join(again, "window").select("_id", "_same", "begin", (F.col("begin") + length).alias("end")))
     return spans
 
 
@@ -293,5 +256,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns."""
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, and what is left: its bytes, and the text (a character that a cut parts shows as U+FFFD)."""
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), text.alias("text"))
