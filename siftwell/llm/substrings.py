@@ -151,15 +151,18 @@ def _sort_buckets(length: int):
         return pa.RecordBatch.from_arrays(columns, names=["_id", "_same", "begin", "end"])
 
     def read(batches):
-        rows, key, size = [], None, 0
+        # a split bucket's context is in both parts, but only once in a text
+        rows, held, key, size = [], set(), None, 0
         for batch in batches:
             for i, s, first, open_, k, c in zip(*(batch.column(x).to_pylist() for x in ("_id", "_same", "first", "open", "key", "context"))):
                 if k != key and size >= SORT_BYTES:
                     yield solve(rows)
-                    rows, size = [], 0
+                    rows, held, size = [], set(), 0
                 key = k
-                rows.append((i, s, first, open_, c))
-                size += len(c)
+                if (i, s, first) not in held:
+                    held.add((i, s, first))
+                    rows.append((i, s, first, open_, c))
+                    size += len(c)
         if rows:
             yield solve(rows)
 
