@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.spans import let
+
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 #: States: 0 for any other character, then those of the alphabet.
 STATES = len(ALPHABET) + 1
@@ -18,8 +20,8 @@ STATES = len(ALPHABET) + 1
 
 def _pairs(text: Column) -> Column:
     """Numbers of the character pairs of a string."""
-    state = lambda i: F.instr(F.lit(ALPHABET), F.substring(text, i, F.lit(1)))
-    return F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: state(i) * STATES + state(i + 1))
+    states = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    return let(states, lambda s: F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), lambda a, b: a * STATES + b))
 
 
 def train(samples: DataFrame, smoothing: float = 0.5, backing: float = 5.0) -> list[float]:

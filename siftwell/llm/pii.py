@@ -1,7 +1,7 @@
 """Personal data: four patterns, and the terms around them that give an entity away, by column functions alone.
 
-The patterns' finds are the protected entities. The terms within `window` words on either side of
-an entity are counted over the whole corpus: how often a term stands by an entity, in how many
+The patterns' finds are the protected entities. The last `WINDOW` terms before and the first
+`WINDOW` terms behind an entity, however far off, are counted over the whole corpus: how often a term stands by an entity, in how many
 different contexts, and how often at all. With p(e) the share of an entity among all words and
 p(e | t) the share of a term's places that stand by it, a term discloses the part
     1 + log p(e | t) / -log p(e)
@@ -9,9 +9,10 @@ of the entity's information (its pointwise mutual information with the term over
 information content). From `generalise` on, with at least `least_contexts` different contexts, the term
 is generalised where it stands by that entity, from `remove` on it is removed.
 
-Edge cases: null and empty texts have no span; an entity that has no repeated context gets no terms; exact
-copies of a passage are one context; rows that repeat a doc_id and text get the same spans; an
-empty table gives no row. Extra columns are ignored.
+Edge cases: null and empty texts have no span; very long texts are read whole, in time that grows with
+their length and the number of their spans; an entity that has no repeated context gets no terms; exact
+copies of a passage are one context; of terms that tie at a threshold all are taken; rows that repeat a doc_id and
+text get the same spans; an empty table gives no row. Extra columns are ignored by `find`, kept by `sanitise`.
 """
 
 from __future__ import annotations
@@ -20,19 +21,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import same_text, stored
-from siftwell.llm.spans import count_of, listed, of_kind, places, redacted
+from siftwell.llm.spans import count_of, let, listed, of_kind, places, redacted, running_sums
 
 # the start of a local part is where no character of it stands before, or where the last match ended
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+# possessive groups are matched in a loop, greedy ones by recursion, a level for each label of a domain
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+# a match begins where a run of digits does
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 OCTET = "^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 # whole runs of digits with single blanks or hyphens, of 16 to 19 digits
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity, and the characters in which they are looked for.
-WINDOW, REACH = 4, 60
+#: Words on either side of an entity.
+WINDOW = 4
 GENERALISE, REMOVE, LEAST_CONTEXTS = 0.85, 0.95, 3
 #: What takes the place of a span when a text is sanitised.
 MARKS = {k: f"[{k.upper()}]" for k in KINDS} | {"generalised": "[TERM]", "removed": ""}
@@ -60,26 +63,40 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[of_kind(k, f, n) for n, (k, f) in enumerate(zip(KINDS, found))])
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Terms around a span: array of (term, start, end), at most `window` on either side, none cut by the reach."""
-    since = F.greatest(F.lit(0), span["start"] - REACH)
-    until = F.least(F.length(text), span["end"] + REACH)
-    left = F.substring(text, since + 1, span["start"] - since)
-    right = F.substring(text, span["end"] + 1, until - span["end"])
-    whole_left = lambda p: (p["start"] > 0) | (since == 0)
-    whole_right = lambda p: (p["end"] < F.length(right)) | (until == F.length(text))
-    moved = lambda p, by: F.struct(F.lower(p["value"]).alias("term"), (p["start"] + by).alias("start"), (p["end"] + by).alias("end"))
-    before = F.filter(places(left, TERM), whole_left)
-    after = F.filter(places(right, TERM), whole_right)
-    before = F.slice(F.reverse(before), 1, WINDOW)
-    return F.concat(F.transform(before, lambda p: moved(p, since)), F.transform(F.slice(after, 1, WINDOW), lambda p: moved(p, span["end"])))
+def _near(text: Column, spans: Column) -> Column:
+    """For each span the terms around it: array of (term, start, end), the last `WINDOW` before it and the first `WINDOW` behind it.
+
+    Terms and the ends of spans are sorted by place once; the number of terms before an end tells which ones are next to it.
+    """
+
+    def around(terms):
+        place = lambda at, term, side, k: F.struct(at.alias("at"), term.alias("term"), side.alias("side"), k.alias("k"))
+        none, one = F.lit(0), F.lit(1)
+        ends = (F.transform(spans, lambda s, k: place(s["start"], none, none, k)), F.transform(spans, lambda s, k: place(s["end"], none, one, k)))
+        marks = F.sort_array(F.concat(F.transform(terms, lambda t: place(t["start"], one, none, none)), *ends))
+
+        def counted(marks):
+            n = let(F.transform(marks, lambda m: m["term"]), lambda t: F.zip_with(marks, running_sums(t), lambda m, n: F.struct(m["side"].alias("side"), m["k"].alias("k"), n.alias("n"), m["term"].alias("term"))))
+            return F.sort_array(F.filter(n, lambda m: m["term"] == 0))
+
+        def picked(order):
+            before = lambda s, n: F.filter(F.slice(terms, F.greatest(n - WINDOW, F.lit(0)) + 1, F.least(n, F.lit(WINDOW + 1))), lambda t: t["end"] <= s["start"])
+            last = lambda b: F.slice(b, F.greatest(F.size(b) - WINDOW, F.lit(0)) + 1, F.lit(WINDOW))
+            behind = lambda n: F.slice(terms, n + 1, F.lit(WINDOW))
+            both = lambda s, k: F.concat(let(before(s, F.get(order, k)["n"]), last), behind(F.get(order, F.size(spans) + k)["n"]))
+            return F.transform(spans, both)
+
+        return let(let(marks, counted), picked)
+
+    found = F.transform(places(text, TERM), lambda p: F.struct(F.lower(p["value"]).alias("term"), p["start"].alias("start"), p["end"].alias("end")))
+    return let(found, around)
 
 
 def entities(docs: DataFrame) -> DataFrame:
     """doc_id, _same, _spans (rank, start, end, kind, value) and _near (the terms around each span)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", same_text().alias("_same"), text.alias("_text"), base_spans(text).alias("_spans"))
-    near = F.when(F.size("_spans") > 0, F.transform("_spans", lambda s: _near(F.col("_text"), s)))
+    near = F.when(F.size("_spans") > 0, _near(F.col("_text"), F.col("_spans")))
     return rows.select("doc_id", "_same", "_spans", near.alias("_near"))
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontaminate, linededup, packing, pii, quality, secrets, simhash, substrings, urls, warc
+from siftwell.llm import decontaminate, linededup, packing, pii, quality, secrets, simhash, sql, substrings, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,48 +62,4 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op4_simhash, op5_decontamination, op6_secrets, op7_warc, op8_urls, op9_substrings, op10_lines)}
-STOP = ", ".join(f"'{w}'" for w in sorted({form for line in quality.STOP_WORDS for w in line.split() for form in (w, w.capitalize())}))
-ORACLE_SQL = {
-    "op3_quality": f"""
-        with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
-             w as (select r, doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws,
-                          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from d),
-             x as (select r, unnest(range(1, len(ws) - 6)) as i, ws from w where len(ws) >= 8),
-             y as (select r, i, count(*) over (partition by r, array_to_string(ws[i : i + 7], ' ')) as n from x),
-             z as (select r, count(distinct i + k) as n from y, (select unnest(range(8)) as k) where n > 1 group by r),
-             m as (select doc_id, len(ws) as n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) as word_chars,
-                          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
-                          coalesce(z.n, 0) as n_repeat_words, len(ls) as n_lines, length(regexp_replace(t, '[^!]', '', 'g')) as n_shouts,
-                          len(list_filter(ws, lambda v: v in ({STOP}))) as n_stop_words
-                   from w left join z using (r)),
-             b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
-        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_stop_words, n_lines, n_shouts,
-               not (base_failed or n_symbols / greatest(n_words, 1) > 0.25 or n_shouts / greatest(n_words, 1) > 0.5
-                    or word_chars / greatest(n_words, 1) < 2.0 or word_chars / greatest(n_words, 1) > 40.0
-                    or n_dup_lines / greatest(n_lines, 1) > 0.5
-                    or case when n_words >= 50 then n_stop_words / n_words else 1 end < 0.01) as kept
-        from b""",
-    "op9_substrings": """
-        with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
-             w as (select r, unnest(range(octet_length(b) - 399)) as s, b from d where octet_length(b) >= 400),
-             h as (select r, s, sha256(b[s + 1 : s + 400]) as x from w),
-             g as (select r, s from h where x in (select x from h group by x having count(*) > 1)),
-             i as (select r, s, case when s <= lag(s) over (partition by r order by s) + 400 then 0 else 1 end as new from g),
-             n as (select r, s, sum(new) over (partition by r order by s rows unbounded preceding) as k from i),
-             gone as (select r, min(s) as a, max(s) + 400 as z from n group by r, k),
-             cuts as (select r, coalesce(lag(z) over (partition by r order by a), 0) as a, a as z from gone
-                      union all select r, max(z), (select octet_length(b) from d where d.r = gone.r) from gone group by r),
-             kept as (select r, string_agg(hex(b[a + 1 : z]), '' order by a) as k from cuts join d using (r) group by r),
-             removed as (select r, sum(z - a) as n, count(*) as spans from gone group by r),
-             o as (select doc_id, octet_length(b) as n_bytes, coalesce(n, 0) as n_removed, coalesce(spans, 0) as n_spans,
-                          case when k is null then b else unhex(k) end as kept
-                   from d left join kept using (r) left join removed using (r))
-        select doc_id, n_bytes, n_removed, n_spans, sha256(kept) as kept_sha256, n_bytes - n_removed as n_kept, try(decode(kept)) as text from o""",
-    "op7_warc": """
-        with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages),
-             q as (select *, min(page_id) over (partition by html) as first from p)
-        select page_id, n as payload_bytes, sha256(html) as payload_digest,
-               case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
-               case when n >= 100 and page_id <> first then first end as refers_to
-        from q""",
-}
+ORACLE_SQL = sql.ORACLE_SQL

@@ -1,17 +1,17 @@
 """Secret scans: three patterns, and strings that a Markov model finds random, by column functions alone.
 
-The labelled samples come from the corpus: values that the patterns find are random strings, the
-plain words of `most_docs` whole documents are ordinary identifiers. Both sides are bounded
-by `most_samples` distinct strings. Documents and strings are taken by least hash, so that
+The labelled samples come from the corpus: values that the patterns find are random strings; the
+plain words of `most_docs` whole documents, and identifiers made of two words in a row and a number, are ordinary ones.
+Both sides are bounded by `most_samples` distinct strings. Documents and strings are taken by least hash, so that
 repeated runs train on the same ones.
 A candidate is a run of `least_length` or more characters of [A-Za-z0-9+/_=-] with letters and
 digits, outside the base spans; it is a secret where the mean log-likelihood ratio over its
 pairs is above `margin`.
 
 Edge cases: null and empty texts have no span; without any random sample nothing is added to the base;
-repeated documents are scanned one by one; spans of different kinds may overlap; an empty table
-gives no row. Extra columns are kept; spans, and names that begin with an
-underscore, are replaced.
+very long texts and runs are read whole; repeated documents are scanned one by one; spans of different kinds may overlap, those
+that begin together come in the order of the kinds; a ratio that equals the margin is no secret; an empty table
+gives no row. Extra columns are kept, whatever their names; a column `spans` is replaced.
 """
 
 from __future__ import annotations
@@ -49,30 +49,36 @@ def _sorted(spans: Column) -> Column:
 
 
 def labelled_samples(docs: DataFrame, most_samples: int = MOST_SAMPLES, most_docs: int = MOST_DOCS) -> DataFrame:
-    """value, random: what the patterns find and plain words, at most `most_samples` distinct strings of each."""
+    """value, random: what the patterns find, and plain words and the identifiers made of them; at most `most_samples` distinct strings of each."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(F.explode(base_spans(text)).alias("s")).select("s.kind", "s.value")
     secret = F.when(F.col("kind") == "assign", F.regexp_extract("value", ASSIGN, 2)).otherwise(F.col("value"))
     randoms = found.select(secret.alias("value")).where("length(value) >= 16 and value rlike '[0-9]'")
     # the hash that the sample ends at is found on hashes alone
-    digests = docs.where("text is not null").select(F.xxhash64("text").alias("h"))
+    digests = docs.where("text is not null").select(F.md5("text").alias("h"))
     last = digests.distinct().orderBy("h").limit(most_docs).agg(F.max("h")).first()[0]
-    sample = docs.where(F.xxhash64("text") <= F.lit(last)).select("text").distinct()
-    words = sample.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![^\x20\n])[A-Za-z][a-z]{5,39}(?=[\x20\n.,])"), F.lit(0))).alias("value"))
-    least = lambda df: df.distinct().orderBy(F.xxhash64("value"), "value").limit(most_samples)
-    return least(randoms).withColumn("random", F.lit(True)).unionByName(least(words).withColumn("random", F.lit(False)))
+    sample = docs.where(F.md5("text") <= F.lit(last)).select("text").distinct()
+    words = sample.select(F.regexp_extract_all("text", F.lit(r"(?<![^\x20\n])[A-Za-z][a-z]{5,39}(?=[\x20\n.,])"), F.lit(0)).alias("words"))
+    # word_next_12: the number is the word's place
+    names = F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    named = F.transform(names, lambda p, i: F.concat_ws("_", p["a"], p["b"], (i % 100).cast("string")))
+    ordinary = words.select(F.explode(F.concat("words", named)).alias("value"))
+    least = lambda df: df.distinct().orderBy(F.md5("value"), "value").limit(most_samples)
+    return least(randoms).withColumn("random", F.lit(True)).unionByName(least(ordinary).withColumn("random", F.lit(False)))
 
 
 def scan(docs: DataFrame, most_samples: int = MOST_SAMPLES, margin: float = MARGIN) -> DataFrame:
     """docs with spans (start, rank, end, kind, value: by start, then kind) of both the patterns and the model."""
     weights = markov.train(labelled_samples(docs, most_samples))
+    own = [c for c in docs.columns if c != "spans"]
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({"_base": base_spans(text), "_runs": places(text, RUN)})
+    rows = docs.select(F.struct(*own).alias("_doc"), base_spans(text).alias("_base"), places(text, RUN).alias("_runs"))
     outside = lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
     mixed = lambda r: F.regexp_like(r["value"], F.lit("[A-Za-z]")) & F.regexp_like(r["value"], F.lit("[0-9]"))
     added = F.when(F.size("_runs") == 0, F.array().cast("array<struct<start:int,end:int,value:string>>")).otherwise(F.filter("_runs", lambda r: mixed(r) & outside(r) & (markov.ratio(r["value"], weights) > margin)))
-    rows = rows.withColumn("_added", added)
-    return rows.withColumn("spans", _sorted(F.concat("_base", F.transform(of_kind("markov", F.col("_added"), 3), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))))).drop("_base", "_runs", "_added")
+    rows = rows.select("_doc", "_base", added.alias("_added"))
+    model = F.transform(of_kind("markov", F.col("_added"), 3), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
+    return rows.select(*[F.col("_doc")[c].alias(c) for c in own], _sorted(F.concat("_base", model)).alias("spans"))
 
 
 def masked(scanned: DataFrame) -> DataFrame:

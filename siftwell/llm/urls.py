@@ -2,23 +2,27 @@
 
 A rule (host, path) fits its host and all subdomains where the url's path starts with the
 rule's path; the longest one decides. What no rule decides, the model does. Its labelled table
-is bounded by `most_labels` distinct urls, taken by least hash; each of `rounds` rounds of gradient
+is bounded by `most_labels` distinct urls, taken by least MD5; each of `rounds` rounds of gradient
 descent is an aggregation over it that gives at most `buckets` sums.
 
 Edge cases: a null url or one without "://" has an empty host and path, fits no rule and is judged by
 the model's intercept; without labelled urls of both kinds the model allows everything; repeated
-urls are judged alike; an empty table gives no row. Extra columns are kept.
+urls are judged alike; very long urls are read whole; of rules that fit equally long the first listed decides; log-odds of 0
+allow; an empty table gives no row. Extra columns are kept, whatever their names; those named host, path, rule, score and
+verdict are replaced.
 """
 
 from __future__ import annotations
 
 import math
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import stored
+from siftwell.llm.spans import let
 
 #: (verdict, host, path)
 RULES = [
@@ -28,7 +32,7 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-BUCKETS, SIZES = 1024, (3, 4)
+BUCKETS, SIZES, PRIME = 1024, (3, 4), 1_000_003
 MOST_LABELS, ROUNDS, RATE, DECAY = 2_000, 16, 2.0, 1e-4
 
 
@@ -36,9 +40,8 @@ def with_parts(rows: DataFrame) -> DataFrame:
     """rows with host and path."""
     at = F.instr("url", "://")
     rest = F.when(F.col("url").isNotNull() & (at > 0), F.substring("url", at + 3, F.length("url"))).otherwise(F.lit(""))
-    rows = rows.withColumn("_rest", rest)
-    host = F.translate(F.regexp_extract("_rest", r"^[^/?#]*", 0), string.ascii_uppercase, string.ascii_lowercase)
-    return rows.withColumns({"host": host, "path": F.regexp_extract("_rest", r"^[^/?#]*([^?#]*)", 1)}).drop("_rest")
+    host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), string.ascii_uppercase, string.ascii_lowercase)
+    return rows.withColumns({"host": host, "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)})
 
 
 def _fits(host: str, path: str) -> Column:
@@ -52,23 +55,27 @@ def with_rule(rows: DataFrame, rules=RULES) -> DataFrame:
     return rows.withColumns({"rule": pick(lambda v, h, p: h + p), "rule_verdict": pick(lambda v, h, p: v)})
 
 
-def features(buckets: int = BUCKETS, sizes=SIZES) -> Column:
-    """Buckets of the character n-grams of host and path, each once."""
-
-    def bucket(text: Column, salt: int, n: int):
-        return lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n)), F.lit(salt)), F.lit(buckets)).cast("int")
+def features(host: Column, path: Column, buckets: int = BUCKETS, sizes=SIZES) -> Column:
+    """Buckets of the character n-grams of host and path, each once: their code points as digits to the base 131, modulo a prime."""
 
     def grams(text: Column, salt: int) -> Column:
-        each = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), bucket(text, salt, n))).otherwise(F.array().cast("array<int>")) for n in sizes]
-        return F.concat(*each)
+        def of(codes):
+            def one(n: int):
+                number = lambda i: reduce(lambda h, k: h * 131 + F.get(codes, i + k), range(n), F.lit(salt).cast("long"))
+                some = F.sequence(F.lit(0), F.size(codes) - n)
+                return F.when(F.size(codes) >= n, F.transform(some, lambda i: (number(i) % PRIME % buckets).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+            return F.concat(*[one(n) for n in sizes])
+
+        return let(F.transform(F.filter(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: c != ""), lambda c: F.ascii(c)), of)
 
-    return F.array_distinct(F.concat(grams(F.concat(F.lit("^"), F.col("host"), F.lit("$")), 1), grams(F.concat(F.lit("^"), F.col("path"), F.lit("$")), 2)))
+    return F.array_distinct(F.concat(grams(host, 1), grams(path, 2)))
 
 
 def labelled(pages: DataFrame, rules=RULES, most_labels: int = MOST_LABELS) -> DataFrame:
     """url, blocked: distinct urls that a rule decides, at most `most_labels` of them."""
     rows = with_rule(with_parts(pages.select("url").where("url is not null")), rules).where("rule is not null")
-    return rows.select("url", (F.col("rule_verdict") == "block").alias("blocked")).distinct().orderBy(F.xxhash64("url"), "url").limit(most_labels)
+    return rows.select("url", (F.col("rule_verdict") == "block").alias("blocked")).distinct().orderBy(F.md5("url"), "url").limit(most_labels)
 
 
 def score(weights: list[float], bias: float) -> Column:
@@ -79,7 +86,7 @@ def score(weights: list[float], bias: float) -> Column:
 
 def fit(labels: DataFrame, buckets: int = BUCKETS, rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY) -> tuple[list[float], float]:
     """Weights and intercept of a logistic regression. labels: url, blocked."""
-    rows = stored(with_parts(labels).select(features(buckets).alias("_features"), F.col("blocked").cast("double").alias("y")), "labelled-urls")
+    rows = stored(with_parts(labels).select(features(F.col("host"), F.col("path"), buckets).alias("_features"), F.col("blocked").cast("double").alias("y")), "labelled-urls")
     n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     if not 0 < positive < n:
         return [0.0] * buckets, -1.0
@@ -96,9 +103,14 @@ def fit(labels: DataFrame, buckets: int = BUCKETS, rounds: int = ROUNDS, rate: f
     return weights, bias
 
 
+RESULTS = ("host", "path", "rule", "score", "verdict")
+
+
 def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> DataFrame:
     """pages with host, path, rule, score (log-odds of blocking) and verdict."""
     weights, bias = fit(labelled(pages, rules) if labels is None else labels)
-    rows = with_rule(with_parts(pages), rules).withColumn("_features", features())
-    rows = rows.withColumn("score", score(weights, bias))
-    return rows.withColumn("verdict", F.coalesce("rule_verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))).drop("_features", "rule_verdict")
+    own = [c for c in pages.columns if c not in RESULTS]
+    rows = with_rule(with_parts(pages.select(F.struct(*own).alias("_page"), "url")), rules)
+    rows = rows.withColumn("_features", features(F.col("host"), F.col("path"))).withColumn("score", score(weights, bias))
+    verdict = F.coalesce("rule_verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return rows.select(*[F.col("_page")[c].alias(c) for c in own], "host", "path", "rule", "score", verdict.alias("verdict"))

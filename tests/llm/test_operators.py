@@ -476,7 +476,7 @@ def test_url_model_on_held_out_labels(spark):
     rnd = random.Random(8)
     row = lambda n: (f"http://{rnd.choice(['spam', 'casino', 'win']) if n % 2 else rnd.choice(['news', 'library', 'school'])}{rnd.randint(0, 999)}.example/{rnd.randint(0, 99)}", bool(n % 2))
     weights, bias = urls.fit(spark.createDataFrame([row(n) for n in range(400)], "url string, blocked boolean"))
-    held = urls.with_parts(spark.createDataFrame([row(n) for n in range(100)], "url string, blocked boolean")).withColumn("_features", urls.features())
+    held = urls.with_parts(spark.createDataFrame([row(n) for n in range(100)], "url string, blocked boolean")).withColumn("_features", urls.features(F.col("host"), F.col("path")))
     assert held.where((urls.score(weights, bias) > 0) == F.col("blocked")).count() >= 97
 
 
