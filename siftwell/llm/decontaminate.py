@@ -12,17 +12,19 @@ position, moves by its own shift and stops at its own end.
 
 Edge cases: a null or empty text has no words, is not contaminated and hits no item; a null
 benchmark text or one without words has no window; an item shorter than `width` is one
-window; repeated documents are judged one by one and repeated items each count; an empty
-benchmark leaves every document clean. Extra columns are kept by `decontaminate`, dropped by
+window; very long texts are searched whole; repeated documents are judged one by one, repeated items each count and
+share their tables; a share that equals the limit is contaminated; an empty benchmark leaves every document clean. Extra columns are kept by `decontaminate`, dropped by
 `benchmark_hits`.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ WIDTH = 13
 #: Normalised bytes searched at a time in a worker.
 SLICE_BYTES = 2 << 20
 #: Bytes of benchmark text that one broadcast holds; a larger benchmark is searched in several passes.
-PASS_BYTES = 32 << 20
+PASS_BYTES = 8 << 20
 
 SPACE, BREAK = 32, 10
 FOLD = np.full(256, SPACE, np.uint8)
@@ -48,36 +50,26 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(FOLD_TABLE).split()
 
 
-def windows_of(text: str | None, width: int = WIDTH) -> set[bytes]:
-    words = words_of(text)
-    if not words:
-        return set()
-    return {b" " + b" ".join(words[i : i + width]) + b" " for i in range(max(1, len(words) - width + 1))}
-
-
 class WuManber:
-    """Tables for one group of patterns whose shortest has `reach` bytes."""
+    """Tables for one group of patterns text[starts:ends], whose shortest has `reach` bytes."""
 
-    def __init__(self, patterns: list[tuple[bytes, int]]):
-        self.reach = min(len(p) for p, _ in patterns)
+    def __init__(self, text: bytes, starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray):
+        self.text = text
+        self.reach = int((ends - starts).min())
         self.block = min(8, self.reach)
-        self.mask = np.uint64((1 << 8 * self.block) - 1)
-        heads = np.frombuffer(b"".join(p[: self.reach] for p, _ in patterns), np.uint8).reshape(len(patterns), -1)
+        ends_at = _ends_at(np.frombuffer(text, np.uint8))
         spans = self.reach - self.block + 1
-        self.bits = int(min(22, max(12, np.ceil(np.log2(4 * len(patterns) * spans + 1)))))
-        self.shift = np.full(1 << self.bits, spans, np.int64)
+        self.bits = int(min(22, max(12, np.ceil(np.log2(4 * len(starts) * spans + 1)))))
+        self.shift = np.full(1 << self.bits, spans, np.int32)
         for end in range(self.block - 1, self.reach):  # later ends shift less
-            keys = self._keys(heads[:, end - self.block + 1 : end + 1])
-            self.shift[self._slot(keys)] = self.reach - 1 - end
-        keys = self._keys(heads[:, spans - 1 :])
+            self.shift[self._slot(self._keys(ends_at, starts + end))] = self.reach - 1 - end
+        keys = self._keys(ends_at, starts + self.reach - 1)
         order = np.argsort(keys, kind="stable")
-        self.suffix = keys[order]
-        self.members = [patterns[i] for i in order]
+        self.suffix, self.starts, self.ends, self.numbers = keys[order], starts[order], ends[order], numbers[order]
 
-    def _keys(self, blocks: np.ndarray) -> np.ndarray:
-        wide = np.zeros((len(blocks), 8), np.uint8)
-        wide[:, 8 - self.block :] = blocks
-        return (wide.view("<u8").ravel() >> np.uint64(8 * (8 - self.block))) & self.mask
+    def _keys(self, ends_at: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The blocks that end at some places."""
+        return ends_at[at] >> np.uint64(8 * (8 - self.block)) if self.block < 8 else ends_at[at]
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -86,16 +78,14 @@ class WuManber:
         """Calls found(start, pattern number) for each occurrence in text, whose bytes are raw."""
         if len(text) < self.reach:
             return
-        padded = np.concatenate([np.zeros(8, np.uint8), text])
-        ends_at = np.ndarray(len(text), "<u8", padded.data, 1, (1,))  # the 8 bytes that end at each position
-        drop = np.uint64(8 * (8 - self.block))
+        ends_at = _ends_at(text)
         lanes = int(np.clip(len(text) // 256, 1, 8192))
         edges = np.linspace(self.reach - 1, len(text), lanes + 1).astype(np.int64)
         at, end = edges[:-1].copy(), edges[1:]
         live = at < end
         at, end = at[live], end[live]
         while len(at):
-            keys = ends_at[at] >> drop if self.block < 8 else ends_at[at]
+            keys = self._keys(ends_at, at)
             step = self.shift[self._slot(keys)]
             stop = step == 0
             if stop.any():
@@ -111,26 +101,68 @@ class WuManber:
         for k in np.flatnonzero(hi > lo):
             start = int(at[k]) - self.reach + 1
             for m in range(lo[k], hi[k]):
-                pattern, number = self.members[m]
-                if raw.startswith(pattern, start):
-                    found(start, number)
+                if raw.startswith(self.text[self.starts[m] : self.ends[m]], start):
+                    found(start, int(self.numbers[m]))
+
+
+def _ends_at(text: np.ndarray) -> np.ndarray:
+    """The 8 bytes that end at each place, as a word whose top bytes are the last ones."""
+    return np.ndarray(len(text), "<u8", np.concatenate([np.zeros(8, np.uint8), text]).data, 1, (1,))
 
 
 class Benchmark:
-    """Windows of the items, and search tables by length of the windows."""
+    """Distinct windows of the items, as places in one joined text, their items, and search tables by length of the windows."""
 
-    def __init__(self, items: list[tuple[object, str | None]], width: int = WIDTH):
-        owners: dict[bytes, set] = defaultdict(set)
+    def __init__(self, items: list[tuple[list[str], str | None]], width: int = WIDTH):
+        self.ids = [ids for ids, _ in items]
+        pieces, begins, ends, owners, words, base = [], [], [], [], [], 0
         for number, (_, text) in enumerate(items):
-            for w in windows_of(text, width):
-                owners[w].add(number)
-        self.ids = [str(i) for i, _ in items]
-        self.owners = list(owners.values())
-        self.words = [w.count(b" ") - 1 for w in owners]
-        groups = defaultdict(list)
-        for number, w in enumerate(owners):
-            groups[len(w).bit_length()].append((w, number))
-        self.tables = [WuManber(g) for g in groups.values()]
+            found = words_of(text)
+            if not found:
+                continue
+            piece = b" " + b" ".join(found) + b" "
+            spaces = np.flatnonzero(np.frombuffer(piece, np.uint8) == SPACE)
+            n, size = max(1, len(found) - width + 1), min(width, len(found))
+            begins.append(base + spaces[:n])
+            ends.append(base + spaces[size : size + n] + 1)
+            owners.append(np.full(n, number, np.int32))
+            words.append(np.full(n, size, np.int32))
+            pieces.append(piece)
+            base += len(piece)
+        self.tables: list[WuManber] = []
+        if not pieces:
+            return
+        text = b"".join(pieces)
+        begins, ends, owners, words = map(np.concatenate, (begins, ends, owners, words))
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(begins.tolist(), ends.tolist())), np.uint64, len(begins))
+        order = np.argsort(hashes, kind="stable")
+        begins, ends, owners, words, hashes = begins[order], ends[order], owners[order], words[order], hashes[order]
+        new = np.append(True, hashes[1:] != hashes[:-1])
+        for k in np.flatnonzero(~new).tolist():  # equal hashes are held against the bytes
+            new[k] = text[begins[k] : ends[k]] != text[begins[k - 1] : ends[k - 1]]
+        first = np.flatnonzero(new)
+        self.owners, self.offsets, self.words = owners, np.append(first, len(owners)), words[first].tolist()
+        starts, stops = begins[first], ends[first]
+        # by bit length, so that a short window doesn't shorten the shifts of all
+        group = np.frexp((stops - starts).astype(float))[1]
+        for g in np.unique(group):
+            own = np.flatnonzero(group == g)
+            self.tables.append(WuManber(text, starts[own], stops[own], own))
+
+    def items_of(self, windows) -> np.ndarray:
+        """Numbers of the items that have one of the windows."""
+        return np.unique(np.concatenate([self.owners[self.offsets[w] : self.offsets[w + 1]] for w in windows])) if windows else np.zeros(0, np.int32)
+
+
+_held: dict[str, Benchmark] = {}
+
+
+def tables_of(key: str, items, width: int) -> Benchmark:
+    """The tables of a pass, built once in each Python worker; those of the pass before are let go."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = Benchmark(items.value, width)
+    return _held[key]
 
 
 def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,18 +185,18 @@ def judge(data: np.ndarray, offsets: np.ndarray, bench: Benchmark):
         before = spaces[begins]
         counts = np.diff(np.append(before, spaces[-1])) - 1
         runs: dict[int, list] = defaultdict(list)
-        items: dict[int, set] = defaultdict(set)
+        windows: dict[int, set] = defaultdict(set)
         raw = text.tobytes()
 
         def found(start: int, number: int) -> None:
             row = int(np.searchsorted(begins, start, "right")) - 1
             runs[row].append((int(spaces[start] - before[row]) - 1, bench.words[number]))
-            items[row] |= bench.owners[number]
+            windows[row].add(number)
 
         for table in bench.tables:
             table.search(text, raw, found)
         for row in range(last - first):
-            yield int(counts[row]), runs.get(row, ()), items.get(row, ())
+            yield int(counts[row]), runs.get(row, ()), bench.items_of(windows.get(row, ()))
 
 
 def covered(runs) -> int:
@@ -180,10 +212,24 @@ HITS = "n_words long, n_hit long, n_items long, item_ids array<string>"
 RAW = "n_words long, runs array<struct<first:int,n:int>>, item_ids array<string>"
 
 
-def _items(benchmark: DataFrame, k: int, passes: int) -> list:
-    """The benchmark's rows of pass k, of a size that has been checked."""
-    part = benchmark if passes == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-    return [tuple(r) for r in part.select("item_id", "text").toLocalIterator()]
+def _of_pass(texts: DataFrame, k: int, passes: int) -> list:
+    """ids and text of the benchmark's texts in pass k, of a size that has been checked."""
+    part = texts if passes == 1 else texts.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
+    return [tuple(r) for r in part.select("ids", "text").toLocalIterator()]
+
+
+def _passes(texts: DataFrame, pass_bytes: int) -> int:
+    """How many passes hold at most `pass_bytes` each, by a hash of the text; a text that is larger by itself is a pass of its own size."""
+    size = F.octet_length("text") + F.aggregate("ids", F.lit(0), lambda a, i: a + F.length(i) + 8)
+    sizes = texts.select("text", size.cast("long").alias("size"))
+    total, largest = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    passes = max(1, -(-int(total) // pass_bytes))
+    while passes > 1:
+        fullest = sizes.groupBy(F.pmod(F.xxhash64("text"), F.lit(passes))).agg(F.sum("size").alias("size")).agg(F.max("size")).first()[0]
+        if fullest <= max(pass_bytes, largest):
+            break
+        passes += -(-passes // 4)
+    return passes
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: list[str] | None = None, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -196,14 +242,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, ke
     spark = docs.sparkSession
     small_batches(spark)
     keep = keep or ["doc_id"]
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    passes = max(1, -(-int(size) // pass_bytes))
+    # items that repeat a text share it
+    texts = stored(benchmark.where("text is not null").groupBy("text").agg(F.collect_list(F.coalesce(F.col("item_id").cast("string"), F.lit("None"))).alias("ids")), "benchmark")
+    passes = _passes(texts, pass_bytes)
     if passes == 1:
-        return _one_pass(docs, _items(benchmark, 0, 1), width, keep, merge=False)
+        return _one_pass(docs, _of_pass(texts, 0, 1), width, keep, merge=False)
     docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()).select("_row", "text", *[c for c in keep if c != "text"]), "decontaminate")
     parts = None
     for k in range(passes):  # written before the next part of the benchmark is read
-        part = stored(_one_pass(docs, _items(benchmark, k, passes), width, ["_row"], merge=True), "hits")
+        part = stored(_one_pass(docs, _of_pass(texts, k, passes), width, ["_row"], merge=True), "hits")
         parts = part if parts is None else parts.unionByName(part)
     merged = parts.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
     start = F.array_sort("runs")
@@ -215,14 +262,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, ke
 def _one_pass(docs: DataFrame, rows: list, width: int, keep: list[str], merge: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(rows)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [RAW if merge else HITS])
+    key = uuid.uuid4().hex
     names = [*keep, "n_words", *(["runs"] if merge else ["n_hit", "n_items"]), "item_ids"]
 
     def search(batches):
-        bench = Benchmark(shared.value, width)
+        bench = tables_of(key, shared, width)
         for batch in batches:
             data, offsets = byte_view(batch.column("_bytes"))
             found = list(judge(data, offsets, bench))
-            ids = [sorted(bench.ids[i] for i in owners) for _, _, owners in found]
+            ids = [sorted(i for owner in owners.tolist() for i in bench.ids[owner]) for _, _, owners in found]
             words = pa.array([n for n, _, _ in found], pa.int64())
             if merge:
                 more = [words, pa.array([[{"first": a, "n": n} for a, n in r] for _, r, _ in found], pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())])))]

@@ -23,16 +23,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link; root is the least node of its component. edges: u, v."""
     edges = stored(edges.where("u <> v").select("u", "v").distinct(), "links")
     seen = None
-    for _ in range(most_rounds):
+    while True:  # each round halves the longest chain at least
         edges = stored(_star(_star(edges, large=True), large=False), "links")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components didn't settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
