@@ -1,76 +1,102 @@
 """Line dedup over content-defined chunks of lines.
 
-A text is cut into lines at "\\n". A chunk ends once it has `least` lines and `least_chars` bytes that
-aren't all white space: at a line that has `least_chars` bytes by itself, before such a line, where
-a rolling hash over the hashes of `window` lines is 0 modulo `spread`, or at `most` lines. So a long
-line is a chunk of its own (with the few short ones before it, if there are any), runs of short
-lines are cut by the rolling hash, and boundaries depend on the lines beside them only: a shared
-passage of any number of lines meets its like at any offset, but for short lines at its edges. What
-is left at the end and is too small joins the chunk before it, so that an equal text goes as a
-whole. A chunk that occurs again, in another document or in the same one, is removed everywhere but
-in its first place: the document with the smallest doc_id, and there its first occurrence. Chunks
-are grouped by a 128-bit hash together with their own bytes, so that only equal bytes ever count as
-repeated.
-
-Edge cases: null texts stay null and empty ones empty; a text of under `least_chars` bytes is never
-removed; rows with the same doc_id count as one
-document (what they share stays in each, what occurs twice within one goes); a null doc_id
-comes before all others; blank lines belong to chunks like others; an empty table gives no row. Extra
-columns are kept; n_lines, n_removed and removed_chunks replace columns of those names.
+A text is cut into lines at "\\n". A line of `long_line` (40) bytes or more is a chunk of its own. Runs of shorter lines
+are cut by a rolling hash over the hashes of two lines: a chunk begins before a line where the hash of the line
+and its next is 0 modulo `spread`, and ends behind a line where the hash of the line before and itself is. So a
+passage's own lines choose both of its cuts, wherever it stands. One such cut misses many short
+passages, so there are `layers` of chunks, each cut by its own rolling hash; a whole text is a
+chunk too, so that an equal text goes as a whole. A chunk of short lines counts if two of them
+aren't blank, a whole text also if it has a long line.
+
+A chunk that occurs again, in another document or in the same one, is removed everywhere but in its first place: the
+document with the smallest doc_id, and there its first occurrence. What is removed always has an earlier copy, so the
+first copy of every line stays. Chunks that share a 128-bit hash are candidates; the bytes of the candidates are
+then compared in groups, and only equal bytes count as repeated.
+
+Edge cases: null texts stay null and empty ones empty; very long texts are read whole; a short line by itself is never
+removed; rows with the same doc_id count as one document (what they share stays in each, what occurs twice within one
+goes); a null doc_id comes before all others; blank lines belong to chunks like others; an empty table gives no
+row. Extra columns are kept; n_lines, n_removed and removed_chunks replace columns of those names. doc_id is a number.
 """
 
 from __future__ import annotations
 
-
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import same_text, small_batches
-
-WINDOW, SPREAD, LEAST, MOST, LEAST_CHARS = 2, 3, 1, 12, 40
-MASK = (1 << 64) - 1
-STEP = 0x9E3779B97F4A7C15
-
-
-def chunks_of(lines: list[bytes], window: int = WINDOW, spread: int = SPREAD, least: int = LEAST, most: int = MOST, least_chars: int = LEAST_CHARS):
-    """(first line, end line) of the chunks; all may be removed, but for the one of a text that is too small as a whole."""
-    hashes = [xxhash.xxh3_64_intdigest(line) for line in lines]
-    drop = pow(STEP, window, 1 << 64)
-    rolling, first, n_bytes, solid, out = 0, 0, -1, False, []
-    for i, h in enumerate(hashes):
-        rolling = (rolling * STEP + h) & MASK
-        if i >= window:
-            rolling = (rolling - hashes[i - window] * drop) & MASK
-        size, n_bytes, solid = i + 1 - first, n_bytes + 1 + len(lines[i]), solid or lines[i].strip() != b""
-        by_long = len(lines[i]) >= least_chars or i + 1 < len(lines) and len(lines[i + 1]) >= least_chars
-        if size >= least and n_bytes >= least_chars and solid and (by_long or size >= most or (rolling >> 32) % spread == 0):
-            out.append((first, i + 1))
-            first, n_bytes, solid = i + 1, -1, False
-    if first < len(lines):
-        if out and not (len(lines) - first >= least and n_bytes >= least_chars and solid):
-            first = out.pop()[0]
-        out.append((first, len(lines)))
+from siftwell.llm.common import same_text, small_batches, stored
+
+LONG_LINE, SPREAD, LAYERS = 40, 3, 8
+FACTOR = 0x9E3779B97F4A7C15
+STEP = np.uint64(FACTOR)
+FIRST = -(1 << 63)
+
+
+def chunks_of(texts: list[bytes], long_line: int = LONG_LINE, spread: int = SPREAD, layers: int = LAYERS):
+    """For each text its chunks in order, each once: (first line, end line, first byte, end byte)."""
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+    if not texts:
+        return out
+    joined = b"\n".join(texts)
+    ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 10), len(joined))
+    starts = np.append(0, ends[:-1] + 1)
+    n = len(starts)
+    begin_of = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    doc = np.searchsorted(begin_of, starts, "right") - 1
+    # rows of empty texts have a line of their own, as "" has
+    lines = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, n)
+    long = ends - starts >= long_line
+    filled = np.append(0, np.cumsum(np.fromiter((line.strip() != b"" for line in lines), np.int64, n)))
+    head = np.append(True, doc[1:] != doc[:-1])
+    tail = np.append(head[1:], True)
+    own = np.flatnonzero(long & (filled[1:] > filled[:-1]))
+    ranges = [np.stack([own, own + 1])]
+    if not long.all():
+        pair = hashes * STEP + np.append(hashes[1:], np.uint64(0))  # the hash of each line and its next
+        for layer in range(layers):
+            mixed = (pair ^ (pair >> np.uint64(31))) * np.uint64(FACTOR * (2 * layer + 1) % (1 << 64))
+            cut = (mixed >> np.uint64(33)) % np.uint64(spread) == 0
+            other = (mixed >> np.uint64(12)) % np.uint64(spread) == 0
+            before = head | long | (cut & ~tail)  # a chunk begins with this line
+            behind = tail | long
+            behind[1:] |= other[:-1] & ~head[1:]  # a chunk ends with this line
+            before[1:] |= behind[:-1]
+            a = np.flatnonzero(before)
+            ranges.append(np.stack([a, np.append(a[1:], n)]))
+        short = np.concatenate(ranges[1:], axis=1)
+        a = np.flatnonzero(head)
+        whole = np.stack([a, np.append(a[1:], n)])
+        some = np.append(0, np.cumsum(long & (filled[1:] > filled[:-1])))
+        ranges = [ranges[0], short[:, filled[short[1]] - filled[short[0]] > 1], whole[:, (filled[whole[1]] - filled[whole[0]] > 1) | (some[whole[1]] > some[whole[0]])]]
+    a, b = np.concatenate(ranges, axis=1)
+    a, b = np.divmod(np.unique(a * (n + 1) + b), n + 1)
+    base = np.flatnonzero(head)[doc[a]]
+    for d, x, y, lo, hi in zip(doc[a].tolist(), (a - base).tolist(), (b - base).tolist(), (starts[a] - begin_of[doc[a]]).tolist(), (ends[b - 1] - begin_of[doc[a]]).tolist()):
+        out[d].append((x, y, lo, hi))
     return out
 
 
-def local_view(text: bytes, least: int = LEAST, least_chars: int = LEAST_CHARS, **shape):
-    """For each chunk: (first line, end line, first byte, end byte, may be removed, repeats an earlier one of the text)."""
-    lines = text.split(b"\n")
-    at, starts = 0, []
-    for line in lines:
-        starts.append(at)
-        at += len(line) + 1
-    starts.append(at)
-    seen = set()
-    for a, b in chunks_of(lines, least=least, least_chars=least_chars, **shape):
-        lo, hi = starts[a], starts[b] - 1
-        body = text[lo:hi]
-        long = b - a >= least and len(body) >= least_chars and body.strip() != b""
-        yield a, b, lo, hi, long, long and body in seen
-        if long:
-            seen.add(body)
+def _hashed(texts: list[bytes], **shape):
+    """For each text its chunks with their hashes: (first line, end line, first byte, end byte, hash)."""
+    return [[(*c, xxhash.xxh3_128_digest(text[c[2] : c[3]])) for c in found] for text, found in zip(texts, chunks_of(texts, **shape))]
+
+
+def cut_text(text: bytes, chunks, gone: set[bytes]) -> tuple[bytes, int, int]:
+    """What is left of a text, the lines removed and the chunks removed: those in `gone`, and what repeats an earlier chunk of the text."""
+    seen, marks, count = {}, None, 0
+    for a, b, lo, hi, h in chunks:
+        x, y = seen.setdefault(h, (lo, hi))
+        if h in gone or x < lo and text[lo:hi] == text[x:y]:
+            marks = marks if marks is not None else bytearray(text.count(b"\n") + 1)
+            marks[a:b] = b"\1" * (b - a)
+            count += 1
+    if not count:
+        return text, 0, 0
+    return b"\n".join(line for line, m in zip(text.split(b"\n"), marks) if not m), sum(marks), count
 
 
 def remove_repeated(docs: DataFrame, **shape) -> DataFrame:
@@ -78,52 +104,54 @@ def remove_repeated(docs: DataFrame, **shape) -> DataFrame:
     small_batches(docs.sparkSession)
     columns = docs.columns
     own = [c for c in columns if c not in ("text", "n_lines", "n_removed", "removed_chunks")]
-    rows = docs.select("text", "doc_id", F.struct(*own).alias("_doc")).withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_same": same_text()})
+    rows = docs.select(F.struct(*own).alias("_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("_id"), same_text().alias("_same"), F.col("text").cast("binary").alias("_bytes"))
 
-    def cut(batches, bodies):
+    def places(batches):
         for batch in batches:
             ids, same, texts = (batch.column(c).to_pylist() for c in ("_id", "_same", "_bytes"))
-            out = [[], [], [], [], []]
-            for i, s, text in zip(ids, same, texts):
-                for number, (_, _, lo, hi, long, again) in enumerate(local_view(text, **shape)):
-                    if long and not again:
-                        body = text[lo:hi]
-                        for column, value in zip(out, (i, s, number, xxhash.xxh3_128_digest(body), body if bodies else None)):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], names=["_id", "_same", "_chunk", "hash", "body"])
+            each = [{c[4] for c in found} for found in _hashed(texts, **shape)]
+            sizes = [len(e) for e in each]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(x, np.int64), sizes)) for x in (ids, same)] + [pa.array([h for e in each for h in e], pa.binary())], names=["_id", "_same", "hash"])
 
-    bytes_ = F.col("text").cast("binary").alias("_bytes")
-    several = rows.where("text <> ''").select("_id", "_same", bytes_)
-    shape_ = "_id long, _same long, _chunk int, hash binary, body binary"
-    chunks = several.mapInArrow(lambda b: cut(b, True), shape_)
-    places = several.mapInArrow(lambda b: cut(b, False), shape_)
+    def bodies(batches):
+        for batch in batches:
+            out = [[], [], []]
+            texts = batch.column("_bytes").to_pylist()
+            for i, text, asked, found in zip(batch.column("_id").to_pylist(), texts, batch.column("_asked").to_pylist(), _hashed(texts, **shape)):
+                asked = set(asked)
+                for _, _, lo, hi, h in found:
+                    if h in asked:
+                        asked.discard(h)
+                        for column, value in zip(out, (i, h, text[lo:hi])):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["_id", "hash", "body"])
+
+    some = rows.where("octet_length(_bytes) > 0")
+    found = stored(some.select("_id", "_same", "_bytes").mapInArrow(places, "_id long, _same long, hash binary"), "chunk-places")
+    shared = found.groupBy("hash").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").select("hash")
+    asked = found.join(shared, "hash").groupBy("_id", "_same").agg(F.collect_list("hash").alias("_asked"))
+    joined = stored(rows.join(asked, ["_id", "_same"], "left"), "line-candidates")
+    held = joined.where("_asked is not null")
     # equal bytes meet in one group; a hash that stands for different bytes, should there be one, is left alone
-    equal = chunks.groupBy("hash", "body").agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
+    equal = held.select("_id", "_bytes", "_asked").mapInArrow(bodies, "_id long, hash binary, body binary").groupBy("hash", "body").agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
     repeated = equal.groupBy("hash").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count(F.lit(1)).alias("bodies")).where("bodies = 1 and first < last").select("hash", "first")
-    gone = places.select("_id", "_same", "_chunk", "hash").join(repeated, "hash").where("_id > first").groupBy("_id", "_same").agg(F.collect_set("_chunk").alias("_gone"))
-    joined = rows.join(gone, ["_id", "_same"], "left")
+    gone = held.select("_id", "_same", F.explode("_asked").alias("hash")).join(repeated, "hash").where("_id > first").groupBy("_id", "_same").agg(F.collect_set("hash").alias("_gone"))
+    none = F.lit(None).cast("array<binary>").alias("_gone")
+    both = held.join(gone, ["_id", "_same"], "left").select("_doc", "_bytes", "_gone").unionByName(joined.where("_asked is null").select("_doc", "_bytes", none))
     inner = f"_doc {rows.schema['_doc'].dataType.simpleString()}, text string, n_lines long, n_removed long, removed_chunks long"
 
     def apply(batches):
         for batch in batches:
-            texts, counts = [], [[], [], []]
-            for text, gone in zip(batch.column("_bytes").to_pylist(), batch.column("_gone").to_pylist()):
-                kept, removed, chunks_gone, n = text, 0, 0, 0 if text is None else text.count(b"\n") + 1
-                if text:
-                    gone = set(gone or ())
-                    left = []
-                    for number, (a, b, lo, hi, _, again) in enumerate(local_view(text, **shape)):
-                        if again or number in gone:
-                            removed, chunks_gone = removed + b - a, chunks_gone + 1
-                        else:
-                            left.append(text[lo:hi])
-                    kept = b"\n".join(left) if chunks_gone else text
-                texts.append(kept)
-                for column, value in zip(counts, (n, removed, chunks_gone)):
+            texts = batch.column("_bytes").to_pylist()
+            chunks = _hashed([t or b"" for t in texts], **shape)
+            out = [[], [], [], []]
+            for text, found, gone in zip(texts, chunks, batch.column("_gone").to_pylist()):
+                kept, removed, count = cut_text(text, found, set(gone or ())) if text else (text, 0, 0)
+                for column, value in zip(out, (kept, 0 if text is None else text.count(b"\n") + 1, removed, count)):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(texts, pa.binary()).cast(pa.string())] + [pa.array(c, pa.int64()) for c in counts], names=["_doc", "text", "n_lines", "n_removed", "removed_chunks"])
+            yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(out[0], pa.binary()).cast(pa.string())] + [pa.array(c, pa.int64()) for c in out[1:]], names=["_doc", "text", "n_lines", "n_removed", "removed_chunks"])
 
-    done = joined.select("_doc", bytes_, "_gone").mapInArrow(apply, inner)
+    done = both.mapInArrow(apply, inner)
     return done.select(*[F.col("text") if c == "text" else F.col("_doc")[c].alias(c) for c in columns if c == "text" or c in own], "n_lines", "n_removed", "removed_chunks")
 
 
