@@ -48,6 +48,38 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _decoded(c: str) -> str:
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
+        c = f"replace({c}, '{name}', '{char}')"
+    return c
+
+
+def _at(t: str, pattern: str) -> str:
+    """Place of the first match, 0 without one."""
+    return f"case when regexp_matches({t}, {O.quoted(pattern)}) then length(regexp_extract({t}, {O.quoted('(?s)^(.*?)(?:' + pattern + ')')}, 1)) + 1 else 0 end"
+
+
+def _trimmed(source: str, columns: str) -> str:
+    """CTEs that trim description t of a table and give `columns` and after."""
+    opener = r"(?i)\b(who we are|about (us|the company|the team)|our (mission|story|company)|company overview|founded in|we are a)\b"
+    heading = r"(?i:the role|about the role|job summary|job description|position summary|position overview|team overview|responsibilities|what you.ll do|your role)"
+    tail = r"(?i:equal opportunity|eeo statement|reasonable accommodation|benefits include)|WHAT WE OFFER|COMPENSATION|BENEFITS"
+    return f"""t1 as (select {columns}, t, {_at('t', heading)} as h, regexp_matches(left(t, 250), {O.quoted(opener)}) as o from {source}),
+        t2 as (select {columns}, case when o and h between 201 and 1801 then substring(t, h) else t end as t from t1),
+        t3 as (select {columns}, t, {_at('t', tail)} as e from t2),
+        t4 as (select {columns}, case when e > 300 then rtrim(left(t, e - 1)) else trim(t) end as t from t3),
+        t5 as (select {columns}, t, length(regexp_extract(right(left(t, 2000), 200), '(?s)^(.*[.!?])(\\s|$)', 1)) as n from t4),
+        trimmed as (select {columns}, case when length(t) <= 2000 then t when n > 0 then left(t, 1800 + n) else left(t, 2000) end as after from t5)"""
+
+
+def _plain(c: str) -> str:
+    """Text without markdown."""
+    c = _decoded(c)
+    for pattern, to in ((r"\\([\\`*_{}\[\]()#+\-.!|>~&])", "\\1"), (r"!?\[([^\]]*)\]\([^)]*\)", "\\1"), (r"(?m)^\s{0,3}#{1,6}\s+", ""), (r"\*\*|__|`", ""), (r"[ \t]+", " ")):
+        c = f"regexp_replace({c}, {O.quoted(pattern)}, {O.quoted(to)}, 'g')"
+    return f"trim(regexp_replace({c}, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.top_new(postings(spark, sf).where("not stored and not archived"), AS_OF)
 
@@ -345,10 +377,11 @@ def m6_a22_rescored(spark, sf):
     return facets.change_report(before, rows, "score_label")
 
 
-@query(f"""{E}, r as (select *, row_number() over (partition by normalized_key order by (applied or hidden) desc, score desc, seen_at desc, id, seq) as rn, count(*) over (partition by normalized_key) as n from e where normalized_key not like '%::' and id = 'p' || cast(seq as varchar))
+@query(f"""{E}, u as (select id, max(seq) as seq from e group by id), r as (select *, row_number() over (partition by normalized_key order by (applied or hidden) desc, score desc, seen_at desc, id, seq) as rn, count(*) over (partition by normalized_key) as n from e where normalized_key not like '%::' and id in (select id from u where u.seq = e.seq))
     select id, normalized_key, case when rn = 1 then 'keep' else 'delete' end as action from r where n > 1""")
 def m7_w2_collapse_plan(spark, sf):
-    return dedup.collapse_plan(enriched(spark, sf).where("id = concat('p', cast(seq as string))"))
+    # one row of each id, the last, as the store has it
+    return dedup.collapse_plan(dedup.first_seen(enriched(spark, sf), ["id"], last=True))
 
 
 @query("select page_id as id, url as before, after from (select page_id, url, " + O.stripped("url") + " as after from pages) where url <> after")
@@ -356,7 +389,9 @@ def m8_x5_link_plan(spark, sf):
     return state.link_plan(table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("link")))
 
 
-@query()
+@query("with s as (select doc_id as id, text as before, " + _plain("coalesce(text, '')") + " as t, source from documents), " + _trimmed("s", "id, before, source") + """,
+    a as (select *, case when upper(source) = 'TEST' then 'delete' when before is null then null when length(after) < 50 then 'clear' when after <> before then 'update' end as action from trimmed)
+    select id, action, case when action = 'update' then after end as after from a where action is not null""")
 def m9_description_plan(spark, sf):
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("description"), "source", F.lit("x").alias("company"))
     return state.description_plan(rows)
@@ -475,10 +510,10 @@ def a19_merged_state(spark, sf):
     return dedup.merged_state(enriched(spark, sf)).withColumn("applied_at", F.col("applied_at").cast("string"))
 
 
-@query("with f as (select p_brand as strategy, 'lever' as ats, 's' || cast(p_size as varchar) as slug from part), k as (select distinct 's' || cast(s_suppkey as varchar) as slug from supplier where s_suppkey <= 20) select strategy, count(*) as raw, count(distinct slug) as unique_found, count(distinct case when slug not in (select slug from k) then slug end) as new_found from f group by 1")
+@query("with f as (select p_brand as strategy, 'lever' as ats, 's' || cast(p_size as varchar) as slug from part), k as (select distinct 's' || cast(s_suppkey as varchar) as slug from supplier) select strategy, count(*) as raw, count(distinct slug) as unique_found, count(distinct case when slug not in (select slug from k) then slug end) as new_found from f group by 1")
 def a20_strategy_yield(spark, sf):
     found = table(spark, sf, "part").select(F.col("p_brand").alias("strategy"), F.lit("lever").alias("ats"), F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("slug"))
-    return facets.strategy_yield(found, table(spark, sf, "supplier").where("s_suppkey <= 20").select(F.lit("lever").alias("ats"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("slug")))
+    return facets.strategy_yield(found, table(spark, sf, "supplier").select(F.lit("lever").alias("ats"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("slug")))
 
 
 @query(f"{R} select case when year(posted_at) < 2022 then '<2015' else cast(year(posted_at) - 7 as varchar) end as bucket, count(*) as n from p group by 1")
@@ -514,9 +549,14 @@ def w5_snapshot_changes(spark, sf):
     return facets.snapshot_changes(snaps).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query(f"{E} select seq, score from (select seq, score from e where not archived order by score desc, seq limit 50)")
+@query(f"{E} select seq, score from e where not archived")
 def o1_by_score(spark, sf):
-    return enriched(spark, sf).where("not archived").select("seq", "score").orderBy(F.desc("score"), "seq").limit(50)
+    return enriched(spark, sf).where("not archived").select("seq", "score").orderBy(F.desc("score"), "seq")
+
+
+@query(f"{R} select seq, cast(posted_at as varchar) as posted_at from p where not archived")
+def o1_newest(spark, sf):
+    return postings(spark, sf).where("not archived").orderBy(F.desc("posted_at"), "seq").select("seq", when("posted_at"))
 
 
 @query(f"{R} select seq from (select seq from p order by posted_at desc, seq limit 50 offset 100)")
@@ -535,7 +575,7 @@ def o5_season_order(spark, sf):
     return postings(spark, sf).select(F.explode(extract.season_tokens(F.col("title"))).alias("token")).distinct().select("token", extract.season_sort_key(F.col("token")).alias("sort_key"))
 
 
-@query()
+@query(f"{E} select seq, score_label from (select seq, score_label, row_number() over (partition by score_label order by md5(id || '7'), id, seq) as rn from e) where rn <= 20")
 def o6_sample_by_label(spark, sf):
     return facets.sample_by(enriched(spark, sf), "score_label", 20).select("seq", "score_label")
 
@@ -588,8 +628,8 @@ PAY = O.salary("pay")
 
 @query(f"{R} select seq, {PAY[0]} as pay_text, {PAY[1]} as pay_min, {PAY[2]} as pay_max, {PAY[3]} as pay_unit from p")
 def x7_salary(spark, sf):
-    rows = postings(spark, sf).select("seq", extract.salary(F.col("pay")).alias("s"))
-    return rows.select("seq", F.col("s.text").alias("pay_text"), F.col("s.min").alias("pay_min"), F.col("s.max").alias("pay_max"), F.col("s.unit").alias("pay_unit"))
+    # as a generated row the salary is worked out once, not for each of its fields
+    return postings(spark, sf).select("seq", F.inline(F.array(extract.salary(F.col("pay")))).alias("pay_text", "pay_min", "pay_max", "pay_unit"))
 
 
 @query(f"{E} select seq, array_to_string(tokens, ',') as tokens, array_to_string(season, ',') as season from e")
@@ -617,7 +657,7 @@ def x12_linkedin_ids(spark, sf):
     return postings(spark, sf).select("seq", extract.linkedin_id(url).alias("linkedin_id"))
 
 
-@query()
+@query("with s as (select doc_id, coalesce(text, '') as t from documents), " + _trimmed("s", "doc_id") + " select doc_id, after as description from trimmed")
 def x13_trimmed_descriptions(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.trimmed_description(F.col("text")).alias("description"))
 
@@ -704,11 +744,11 @@ def s13_scraped(spark, sf):
     return payloads.scraped(rows).select("seq", "title")
 
 
-@query(f"{R} select seq, case when seq % 2 = 0 then link else 'https://boards.greenhouse.io/x/jobs/' || cast(seq as varchar) end as link from p where seq % 8 = 4")
+@query(f"{R} select seq, case when seq % 3 = 0 then 'https://boards.greenhouse.io/x/jobs/' || cast(seq as varchar) else link end as link from p where source = 'SimplifyJobs'")
 def s14_table_rows(spark, sf):
-    rows = postings(spark, sf).where("seq % 8 = 4 or seq % 8 = 3").where("source = 'SimplifyJobs'")
+    rows = postings(spark, sf).where("source = 'SimplifyJobs'")
     cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
-    links = F.concat(F.lit('<a href="'), F.col("link"), F.lit('">A</a>'), F.when(F.col("seq") % 2 == 1, F.concat(F.lit('<a href="https://boards.greenhouse.io/x/jobs/'), F.col("seq").cast("string"), F.lit('">B</a>'))).otherwise(""))
+    links = F.concat(F.lit('<a href="'), F.col("link"), F.lit('">A</a>'), F.when(F.col("seq") % 3 == 0, F.concat(F.lit('<a href="https://boards.greenhouse.io/x/jobs/'), F.col("seq").cast("string"), F.lit('">B</a>'))).otherwise(""))
     tr = F.concat(F.lit("<tr>"), cell(F.col("seq").cast("string")), cell(F.col("title")), cell(F.col("location")), cell(links), cell(F.lit("1d")), F.lit("</tr>"))
     page = rows.groupBy("source", (F.col("seq") % 97).cast("string").alias("target_slug")).agg(F.concat(F.lit("<table><tr><th>Company</th></tr>"), F.array_join(F.collect_list(tr), ""), F.lit("</table>")).alias("body")).withColumn("fetched_at", F.lit(AS_OF))
     return payloads.table_rows(page).select(F.col("company").cast("long").alias("seq"), "link")
@@ -718,12 +758,7 @@ def s14_table_rows(spark, sf):
 
 
 def scratch(spark) -> str:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="siftwell-")
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{dedup.shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query(f"{R}, u as (select *, row_number() over (partition by id order by stored, seq desc) as rn from p) select id, seq from u where rn = 1")
@@ -861,17 +896,11 @@ def s23_backup(spark, sf):
     return spark.read.parquet(folder).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("select doc_id, " + _plain("coalesce(text, '')") + " as cleaned from documents")
 def x14_cleaned_descriptions(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.strip_markdown(F.coalesce("text", F.lit(""))).alias("cleaned"))
 
 
-def _decoded(c: str) -> str:
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
-        c = f"replace({c}, '{name}', '{char}')"
-    return c
-
-
 @query("select page_id, trim(" + _decoded("regexp_replace(regexp_replace(" + _decoded("html") + ", '(?i)<br\\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g')") + ", ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) as plain from pages")
 def x6_stripped_html(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.strip_html(F.col("html")).alias("plain"))

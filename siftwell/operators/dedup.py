@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import canonical_company, normalized_key, strip_tracking
@@ -38,21 +39,25 @@ def known_keys(incoming: DataFrame, store: DataFrame) -> DataFrame:
     return incoming.join(key_owners(store), "normalized_key")
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """df written once to the session's shared folder, so that rounds don't stack up lineage; without one, checkpointed in place."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a new folder on a single machine, an error on a cluster."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftwell-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """df written once to the session's shared folder, so that rounds don't stack up lineage."""
+    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def batch_outcome(rows: DataFrame, most_rounds: int = 200) -> DataFrame:
+def batch_outcome(rows: DataFrame) -> DataFrame:
     """For new rows (seq, stripped, normalized_key): outcome keep, same_link or same_key, in arrival order.
 
     A kept row blocks its link and its key for later rows; a dropped row blocks neither. Each
@@ -62,7 +67,7 @@ def batch_outcome(rows: DataFrame, most_rounds: int = 200) -> DataFrame:
     link = F.when(F.col("stripped") == "", F.concat(F.lit("seq:"), F.col("seq").cast("string"))).otherwise(F.col("stripped"))
     all_ = _stored(rows.select("seq", link.alias("link"), F.col("normalized_key").alias("key")))
     open_, chosen = all_, None
-    for _ in range(most_rounds):
+    while True:  # the first open row is kept in each round, so this ends
         by_link, by_key = open_.groupBy("link").agg(F.min("seq").alias("first_link")), open_.groupBy("key").agg(F.min("seq").alias("first_key"))
         ranked = open_.join(by_link, "link").join(by_key, "key")
         kept = _stored(ranked.where("seq = first_link and seq = first_key").select("seq", "link", "key"))
@@ -74,8 +79,6 @@ def batch_outcome(rows: DataFrame, most_rounds: int = 200) -> DataFrame:
         open_ = _stored(left.where(~out).select("seq", "link", "key"))
         if open_.isEmpty():
             break
-    else:
-        raise RuntimeError("the batch didn't settle")
     # a link has one kept row at most: it explains those behind it, the key explains the rest
     owners = chosen.select("link", F.col("seq").alias("owner"))
     explained = all_.join(owners, "link", "left")

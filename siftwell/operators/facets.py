@@ -159,7 +159,8 @@ def page_numbers(df: DataFrame, group: str, order: list, size: int) -> DataFrame
 
 def sample_by(df: DataFrame, label: str, n: int, seed: int = 7) -> DataFrame:
     """n rows of each label, the same ones for the same seed."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    more = [c for c in ("seq",) if c in df.columns]
+    order = Window.partitionBy(label).orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(str(seed)))), "id", *more)
     return df.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).drop("_rank")
 
 
