@@ -267,14 +267,40 @@ def j3_known_keys(spark, sf):
     return dedup.known_keys(inc, st).select("seq", "owner_id")
 
 
-@query()
+def _greedy(free: str) -> str:
+    """CTEs that settle the rows (seq, link, key) of a table in arrival order, one after the other: settled(seq, outcome).
+
+    Only rows that share a link or a key with another one are walked through; the state are the kept links and keys.
+    """
+    return f"""f as (select seq, case when link = '' then 'seq:' || seq else link end as link, key from {free}),
+        m as (select *, count(*) over (partition by link) > 1 or count(*) over (partition by key) > 1 as met from f),
+        o as (select *, row_number() over (order by seq) as n from m where met),
+        g as (select cast(0 as bigint) as n, cast(null as bigint) as seq, cast(null as varchar) as outcome, cast([] as varchar[]) as links, cast([] as varchar[]) as keys
+              union all
+              select o.n, o.seq, case when list_contains(links, link) then 'same_link' when list_contains(keys, key) then 'same_key' else 'keep' end,
+                     case when list_contains(links, link) or list_contains(keys, key) then links else list_append(links, link) end,
+                     case when list_contains(links, link) or list_contains(keys, key) then keys else list_append(keys, key) end
+              from g join o on o.n = g.n + 1),
+        settled as (select seq, outcome from g where n > 0 union all select seq, 'keep' from m where not met)"""
+
+
+K_ALL = "with recursive " + K.removeprefix("with ")
+
+
+@query(f"{K_ALL}, free as (select seq, stripped as link, normalized_key as key from inc), {_greedy('free')} select * from settled")
 def j4_batch_outcome(spark, sf):
     """Greedy over two keys in arrival order; tested against a sequential version."""
     _, inc = split(spark, sf)
     return dedup.batch_outcome(inc)
 
 
-@query()
+@query(f"""{K_ALL}, owner as (select distinct normalized_key from st where not archived), w as (
+        select seq, stripped as link, normalized_key as key,
+               case when exclusion_reason is not null then exclusion_reason when exists(select 1 from st where st.id = inc.id) then 'refresh'
+                    when stripped <> '' and exists(select 1 from st where st.stripped = inc.stripped and not st.archived) then 'known_link'
+                    when normalized_key in (select normalized_key from owner) then 'known_key' end as outcome from inc),
+    free as (select seq, link, key from w where outcome is null), {_greedy('free')}
+    select seq, outcome from w where outcome is not null union all select * from settled""")
 def j1_j4_ingest_outcomes(spark, sf):
     st, inc = split(spark, sf, whole=True)
     return ingest.ingest(st, inc, AS_OF)[0]
@@ -478,7 +504,7 @@ def a13_length_histogram(spark, sf):
     return facets.length_histogram(table(spark, sf, "documents"))
 
 
-@query("select user_id, arg_max(event_id, ts) as event_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as ts from events group by 1")
+@query("select user_id, arg_max(event_id, (ts, event_id)) as event_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as ts from events group by 1")
 def a14_latest_by_key(spark, sf):
     return facets.latest_by_key(events(spark, sf).select("user_id", "event_id", "ts"), "user_id", "ts").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
@@ -904,3 +930,83 @@ def x14_cleaned_descriptions(spark, sf):
 @query("select page_id, trim(" + _decoded("regexp_replace(regexp_replace(" + _decoded("html") + ", '(?i)<br\\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g')") + ", ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) as plain from pages")
 def x6_stripped_html(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.strip_html(F.col("html")).alias("plain"))
+
+
+# --- targets, full write path, re-appearance ----------------------------------------------------
+
+
+@query(f"""{R}, u as (select *, 'team' || cast(seq % 97 as varchar) as team from p),
+    t as (select distinct case s_suppkey % 3 when 0 then 'greenhouse' when 1 then 'lever' else 'ashby' end as ats, 'team' || cast(s_suppkey % 90 as varchar) as slug from supplier)
+    select seq, t.ats, t.slug as target_slug, cast(seq as varchar) as job_id
+    from u left join t on t.slug = u.team and t.ats = case seq % 3 when 0 then 'greenhouse' when 1 then 'lever' else 'ashby' end where seq % 5 <> 0""")
+def j6_attached_targets(spark, sf):
+    """Links to three boards, every fifth without a job, against targets that are listed in two spellings."""
+    n, team = F.col("seq").cast("string"), F.concat(F.lit("team"), (F.col("seq") % 97).cast("string"))
+    job = lambda front, between: F.concat(F.lit(front), team, F.when(F.col("seq") % 5 == 0, "").otherwise(F.concat(F.lit(between), n)))
+    link = F.when(F.col("seq") % 3 == 0, job("https://boards.greenhouse.io/", "/jobs/")).when(F.col("seq") % 3 == 1, job("https://jobs.lever.co/", "/")).otherwise(job("https://jobs.ashbyhq.com/", "/"))
+    made = table(spark, sf, "supplier").withColumn("ats", F.when(F.col("s_suppkey") % 3 == 0, "greenhouse").when(F.col("s_suppkey") % 3 == 1, "lever").otherwise("ashby"))
+    slug = F.concat(F.lit("team"), (F.col("s_suppkey") % 90).cast("string"))
+    targets = made.select("ats", slug.alias("slug"), F.col("s_suppkey").alias("ord")).unionByName(made.select("ats", F.upper(slug).alias("slug"), (F.col("s_suppkey") + 1_000_000_000).alias("ord")))
+    return state.attached_targets(postings(spark, sf).select("seq", link.alias("link")), targets).drop("link")
+
+
+@query(f"{R} select seq, title, cast(seq as varchar) as job_id, 'https://careers-x.icims.com/jobs/' || cast(seq as varchar) || '/job' as link from p where {O.intern('title')}")
+def s8_icims(spark, sf):
+    """Career pages of list items, as many a page as one order hundred has, flattened to postings."""
+    n = F.col("seq").cast("string")
+    escaped = F.replace(F.col("title"), F.lit("&"), F.lit("&amp;"))
+    item = F.concat(F.lit('<li class="row"><a href="https://careers-x.icims.com/jobs/'), n, F.lit('/job"><h3>'), escaped, F.lit("</h3></a><p>x</p></li>"))
+    pages = postings(spark, sf).groupBy(F.floor(F.col("seq") / 100).cast("string").alias("target_slug")).agg(F.concat(F.lit("<ul><li>no link</li>"), F.array_join(F.collect_list(item), ""), F.lit("</ul>")).alias("body"))
+    found = payloads.icims(pages.withColumns({"source": F.lit("icims"), "fetched_at": F.lit(AS_OF)}))
+    return found.select(F.col("job_id").cast("long").alias("seq"), "title", "job_id", "link")
+
+
+LANDED_PAY = "case when seq % 7 = 0 then '$50/hr' end"
+UNPARSED = O.in_list(ingest.UNPARSED)
+READ_PAY = O.salary("read")
+
+
+@query(f"""{R}, d as (select *, {LANDED_PAY} as own, title || ' ' || pay as read from p)
+    select seq, case when own is not null or source in {UNPARSED} then null else {READ_PAY[0]} end as read_text, case when own is not null or source in {UNPARSED} then null else {READ_PAY[1]} end as read_min,
+           own as salary_text, pay as description from d""")
+def p3_x7a_described(spark, sf):
+    """The enrichment with descriptions: a landed salary wins, one source is never read, the rest by title and description."""
+    rows = postings(spark, sf).withColumns({"description": F.col("pay"), "salary_text": F.when(F.col("seq") % 7 == 0, "$50/hr")})
+    done = ingest.enriched(rows, AS_OF, described="description")
+    return done.select("seq", "salary_text", "description", F.inline(F.array("salary")).alias("read_text", "read_min", "_most", "_unit")).drop("_most", "_unit")
+
+
+@query(f"""{R}, a as (select *, archived or seen_at < {O.AS_OF} - interval 30 day as aged from p), c as (select distinct id from p where seq % 4 = 0)
+    select seq, aged, case when c.id is not null and failed_check_count = 0 then false else aged end as archived from a left join c using (id)""")
+def t4_age_out_and_return(spark, sf):
+    """Rows not seen for 30 days are archived; those that a late batch brings again are active, unless checks of their link failed."""
+    rows = postings(spark, sf).select("id", "seq", "title", "seen_at", "archived", "failed_check_count")
+    aged = state.archived_by_age(rows, AS_OF)
+    late = rows.where("seq % 4 = 0").withColumn("seen_at", F.lit(AS_OF))
+    back = dedup.backfill(aged, late).select("seq", "archived")
+    return aged.select("seq", F.col("archived").alias("aged")).join(back, "seq")
+
+
+@query(f"{R} select seq, archived or id in (select 'p' || cast(c_custkey as varchar) from customer) as archived from p")
+def m4_archived_by_ids(spark, sf):
+    ids = table(spark, sf, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("id"))
+    return state.archived_by_ids(postings(spark, sf), ids).select("seq", "archived")
+
+
+@query(f"{E}, u as (select distinct token from (select unnest(tokens) as token from e)) select token, case when starts_with(token, 'year-') then split_part(token, '-', 2) else upper(token[1]) || substring(split_part(token, '-', 1), 2) || ' ' || split_part(token, '-', 2) end as label from u")
+def x10_season_labels(spark, sf):
+    tokens = postings(spark, sf).select(F.explode(extract.season_tokens(F.col("title"))).alias("token")).distinct()
+    return tokens.select("token", text.season_label(F.col("token")).alias("label"))
+
+
+@query("""with d as (select event_type as source, ts from events), w as (select source, cast(date_trunc('day', ts) as timestamp) - k * interval 1 day as b from d, (select unnest(range(7)) as k))
+    select source, cast(b as varchar) as "start", cast(b + interval 7 day as varchar) as "end", count(*) as n from w group by source, b""")
+def t6_stream_of_activity(spark, sf):
+    """The sliding windows as a stream: all of the event file in one batch, the whole state written at its end."""
+    folder = scratch(spark)
+    stream = jobs.file_stream(spark, sf, table(spark, sf, "events").schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = jobs.sliding_activity(stream)
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/windows/batch={number}")
+    rows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{folder}/windows").groupBy("source", "start", "end").agg(F.max_by("n", "batch").alias("n"))
+    return last.select("source", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n")

@@ -50,7 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """df written once to the session's shared folder, so that rounds don't stack up lineage."""
     path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -65,18 +65,18 @@ def batch_outcome(rows: DataFrame) -> DataFrame:
     that share either with a kept row. An empty link blocks nothing.
     """
     link = F.when(F.col("stripped") == "", F.concat(F.lit("seq:"), F.col("seq").cast("string"))).otherwise(F.col("stripped"))
-    all_ = _stored(rows.select("seq", link.alias("link"), F.col("normalized_key").alias("key")))
+    all_ = stored(rows.select("seq", link.alias("link"), F.col("normalized_key").alias("key")))
     open_, chosen = all_, None
     while True:  # the first open row is kept in each round, so this ends
         by_link, by_key = open_.groupBy("link").agg(F.min("seq").alias("first_link")), open_.groupBy("key").agg(F.min("seq").alias("first_key"))
         ranked = open_.join(by_link, "link").join(by_key, "key")
-        kept = _stored(ranked.where("seq = first_link and seq = first_key").select("seq", "link", "key"))
+        kept = stored(ranked.where("seq = first_link and seq = first_key").select("seq", "link", "key"))
         chosen = kept if chosen is None else chosen.unionByName(kept)
         links, keys = kept.select("link", F.col("seq").alias("link_by")), kept.select("key", F.col("seq").alias("key_by"))
         left = open_.join(kept.select("seq"), "seq", "left_anti").join(links, "link", "left").join(keys, "key", "left")
         # a row behind a kept one of its link or key is out; one that came before it stays open
         out = F.coalesce(F.col("link_by") < F.col("seq"), F.lit(False)) | F.coalesce(F.col("key_by") < F.col("seq"), F.lit(False))
-        open_ = _stored(left.where(~out).select("seq", "link", "key"))
+        open_ = stored(left.where(~out).select("seq", "link", "key"))
         if open_.isEmpty():
             break
     # a link has one kept row at most: it explains those behind it, the key explains the rest

@@ -102,8 +102,8 @@ def length_histogram(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def latest_by_key(df: DataFrame, key: str, at: str) -> DataFrame:
-    """The newest row of each key."""
-    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.col(at)).alias("_row")).select("_row.*")
+    """The newest row of each key; of equal times that with the greatest other columns."""
+    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(at, *[c for c in df.columns if c not in (key, at)])).alias("_row")).select("_row.*")
 
 
 def digest_line(df: DataFrame, shown: int = 5) -> DataFrame:

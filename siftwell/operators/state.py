@@ -62,10 +62,16 @@ def merged_defaults(state: DataFrame, defaults: DataFrame, key: str = "key") ->
     return joined.select(key, F.coalesce("s.value", "d.value").alias("value"))
 
 
+def newest_first(df: DataFrame, at: str) -> Column:
+    """What the newest row is told by: its time, then event_id where there is one, then the other columns, so that equal times give one answer."""
+    more = [c for c in ("event_id", "status", "value") if c in df.columns]
+    return F.struct(at, *more)
+
+
 def patched(store: DataFrame, changes: DataFrame) -> DataFrame:
     """Store with the latest valid change (id, field, value, ts) of each field applied."""
     fields = ["applied", "hidden", "archived"]
-    latest = changes.where(F.col("field").isin(fields)).groupBy("id", "field").agg(F.max_by("value", "ts").alias("value"))
+    latest = changes.where(F.col("field").isin(fields)).groupBy("id", "field").agg(F.max_by("value", newest_first(changes, "ts")).alias("value"))
     wide = latest.groupBy("id").agg(*[F.max(F.when(F.col("field") == f, F.col("value") == "true")).alias(f"_{f}") for f in fields])
     joined = store.join(wide, "id", "left")
     return joined.withColumns({f: F.coalesce(f"_{f}", f) for f in fields if f in store.columns}).select(*store.columns)
@@ -94,7 +100,7 @@ def disappeared(store: DataFrame, scan: DataFrame) -> DataFrame:
 
 def checked_links(store: DataFrame, checks: DataFrame) -> DataFrame:
     """Store after link checks (id, status, checked_at): dead and aggregator links are archived, good ones reset."""
-    new = checks.groupBy("id").agg(F.max_by("status", "checked_at").alias("_status"), F.max("checked_at").alias("_at"))
+    new = checks.groupBy("id").agg(F.max_by("status", newest_first(checks, "checked_at")).alias("_status"), F.max("checked_at").alias("_at"))
     joined = store.join(new, "id", "left")
     verdict = F.when(F.col("_status").isNull(), None).when(aggregator_link(F.col("link")), "aggregator").otherwise(link_verdict(F.col("_status")))
     joined = joined.withColumn("_verdict", verdict)
@@ -115,7 +121,7 @@ def due_for_check(store: DataFrame, history: DataFrame, source: str, as_of: date
 
 def live_links(rows: DataFrame, checks: DataFrame) -> DataFrame:
     """Rows whose link isn't known to be gone; an unchecked link passes, an empty one doesn't."""
-    last = checks.groupBy("id").agg(F.max_by("status", "checked_at").alias("_status"))
+    last = checks.groupBy("id").agg(F.max_by("status", newest_first(checks, "checked_at")).alias("_status"))
     return rows.join(last, "id", "left").where(~F.coalesce(F.col("_status").isin(404, 410), F.lit(False)) & (F.coalesce("link", F.lit("")) != "")).drop("_status")
 
 
@@ -174,6 +180,18 @@ def discovered_targets(known: DataFrame, found: DataFrame, denied: DataFrame) ->
     return joined.select("slug", F.coalesce("ats", "_ats").alias("ats"), F.coalesce("board", "_board").alias("board"), status.alias("status"))
 
 
+def attached_targets(listings: DataFrame, targets: DataFrame) -> DataFrame:
+    """Listings (link) with the ats, target_slug and job_id of the target that their board address names.
+
+    Of several targets with the same board and slug the first in configuration order (ord) counts; a listing whose address
+    names no job id is dropped, one whose board isn't a target keeps nulls. targets: ats, slug, ord.
+    """
+    first = targets.groupBy(F.col("ats").alias("_ats"), F.lower("slug").alias("_key")).agg(F.min_by("slug", "ord").alias("target_slug"))
+    rows = listings.withColumn("_a", extract.board_address(F.col("link"))).where("_a.job_id is not null and _a.job_id <> ''")
+    joined = rows.join(first, (F.col("_a.ats") == F.col("_ats")) & (F.lower("_a.slug") == F.col("_key")), "left")
+    return joined.select(*listings.columns, F.col("_ats").alias("ats"), "target_slug", F.col("_a.job_id").alias("job_id"))
+
+
 def new_candidates(mined: DataFrame, known: DataFrame) -> DataFrame:
     return mined.select("ats", "slug").distinct().join(known.select("ats", "slug").distinct(), ["ats", "slug"], "left_anti")
 

@@ -27,7 +27,8 @@ def enriched(df: DataFrame, as_of: datetime.datetime, described: str | None = No
 
 def ingest(store: DataFrame, incoming: DataFrame, as_of: datetime.datetime) -> tuple[DataFrame, DataFrame]:
     """(outcomes: seq, outcome; store after the batch). Both sides are enriched."""
-    passed = rules.hard_filtered(incoming, as_of)
+    # both sides are worked out once, not in every branch that uses them
+    store, passed = dedup.stored(store), dedup.stored(rules.hard_filtered(incoming, as_of))
     refreshed, new = dedup.known_ids(passed.where("passed"), store)
     linked = dedup.unseen_links(new, store)
     owned = dedup.known_keys(linked, store)
