@@ -81,7 +81,8 @@ def season_tokens(title: Column) -> Column:
     runs = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(SEASON_RUN), F.lit(0)), lambda m: F.transform(F.regexp_extract_all(m, F.lit(f"({SEASONS})"), F.lit(1)), lambda s: F.concat(_season(s), F.lit("-"), _year(F.regexp_extract(m, r"(20\d{2}|'?\d{2})$", 1))))))
     both = F.array_sort(F.array_distinct(F.concat(pairs, runs)))
     year = F.regexp_extract(t, r"\b(202\d)\b", 1)
-    return F.when(F.size(both) > 0, both).when(year != "", F.array(F.concat(F.lit("year-"), year))).otherwise(F.array().cast("array<string>"))
+    bare = F.when(year != "", F.array(F.concat(F.lit("year-"), year))).otherwise(F.array().cast("array<string>"))
+    return let(both, lambda b: F.when(F.size(b) > 0, b).otherwise(bare))
 
 
 def default_season(as_of: datetime.datetime) -> str:
@@ -90,8 +91,8 @@ def default_season(as_of: datetime.datetime) -> str:
 
 def season_with_default(found: Column, as_of: datetime.datetime) -> Column:
     """Tokens with the default cycle where there are none, and bare years as summers."""
-    promoted = F.array_distinct(F.transform(found, lambda t: F.when(t.startswith("year-"), F.concat(F.lit("summer-"), F.substring(t, 6, 4))).otherwise(t)))
-    return F.when(F.size(found) == 0, F.array(F.lit(default_season(as_of)))).otherwise(F.array_sort(promoted))
+    promoted = lambda tokens: F.array_distinct(F.transform(tokens, lambda t: F.when(t.startswith("year-"), F.concat(F.lit("summer-"), F.substring(t, 6, 4))).otherwise(t)))
+    return let(found, lambda f: F.when(F.size(f) == 0, F.array(F.lit(default_season(as_of)))).otherwise(F.array_sort(promoted(f))))
 
 
 def season_index(token: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.functions.text import let
+
 # Names and codes by which locations are recognised.
 US_NAMES = ["us", "usa", "u.s.", "u.s.a.", "united states", "united states of america"]
 STATE_CODES = (
@@ -49,24 +51,29 @@ def location_class(location: Column, countries=COUNTRIES) -> Column:
     """us, non_us or unknown."""
     codes = [c for two, three, _ in countries for c in (two, three)]
     names = [n for _, _, all_ in countries for n in all_.split("|")]
-    text = F.trim(F.lower(F.coalesce(location, F.lit(""))))
-    parts = F.filter(F.transform(F.split(text, "[,\\-|·/]"), lambda p: F.trim(p)), lambda p: p != "")
-    words = F.filter(F.flatten(F.transform(parts, lambda p: F.split(p, r"\s+"))), lambda w: w != "")
     some = lambda array, values: F.exists(array, lambda x: x.isin(values))
-    inside = lambda values: text.rlike("|".join(v.replace(".", "\\.") for v in values))
-    first, second, n = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.size(parts)
-    leading = (n >= 2) & first.isin(codes) & (some(F.slice(parts, 2, 100), FOREIGN_CITIES) | ((n >= 3) & (F.length(first) <= 3) & (F.length(second) <= 3)))
-    return (
-        F.when(text == "", "unknown")
-        .when(some(parts, US_NAMES + STATE_NAMES) | some(words, US_NAMES + STATE_NAMES) | text.rlike(r"(?<![a-z0-9_])united states(?![a-z0-9_])"), "us")
-        .when((n >= 3) & F.element_at(parts, -1).isin(codes), "non_us")
-        .when(leading, "non_us")
-        .when(some(parts, STATE_CODES), "us")
-        .when(some(parts, codes + names), "non_us")
-        .when(some(parts, US_CITIES) | some(words, US_CITIES) | inside([c for c in US_CITIES if len(c) >= 5]), "us")
-        .when(inside([c for c in names if len(c) >= 5]) | inside(FOREIGN_CITIES), "non_us")
-        .otherwise("unknown")
-    )
+
+    def steps(text, parts, words):
+        inside = lambda values: text.rlike("|".join(v.replace(".", "\\.") for v in values))
+        first, second, n = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.size(parts)
+        leading = (n >= 2) & first.isin(codes) & (some(F.slice(parts, 2, 100), FOREIGN_CITIES) | ((n >= 3) & (F.length(first) <= 3) & (F.length(second) <= 3)))
+        return (
+            F.when(text == "", "unknown")
+            .when(some(parts, US_NAMES + STATE_NAMES) | some(words, US_NAMES + STATE_NAMES) | text.rlike(r"(?<![a-z0-9_])united states(?![a-z0-9_])"), "us")
+            .when((n >= 3) & F.element_at(parts, -1).isin(codes), "non_us")
+            .when(leading, "non_us")
+            .when(some(parts, STATE_CODES), "us")
+            .when(some(parts, codes + names), "non_us")
+            .when(some(parts, US_CITIES) | some(words, US_CITIES) | inside([c for c in US_CITIES if len(c) >= 5]), "us")
+            .when(inside([c for c in names if len(c) >= 5]) | inside(FOREIGN_CITIES), "non_us")
+            .otherwise("unknown")
+        )
+
+    # text, parts and words are worked out once for all steps
+    parts_of = lambda text: F.filter(F.transform(F.split(text, "[,\\-|·/]"), lambda p: F.trim(p)), lambda p: p != "")
+    words_of = lambda parts: F.filter(F.flatten(F.transform(parts, lambda p: F.split(p, r"\s+"))), lambda w: w != "")
+    text = F.trim(F.lower(F.coalesce(location, F.lit(""))))
+    return let(text, lambda t: let(parts_of(t), lambda p: let(words_of(p), lambda w: steps(t, p, w))))
 
 
 def with_location_class(df: DataFrame) -> DataFrame:

@@ -68,7 +68,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived postings: five broadcast dimensions of fixed size on one scan of orders."""
-    # a small file is one split; three narrow columns are dealt out before the costly expressions
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").repartition("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    # a few splits of a small file are dealt out to all cores before the costly expressions; by a number of
+    # partitions, as adaptive execution would join them again. A table with splits enough isn't shuffled.
+    cores = spark.sparkContext.defaultParallelism
+    if orders.rdd.getNumPartitions() < cores:
+        orders = orders.repartition(cores, "o_orderkey")
     text = postings_cte(spark=True).replace("from orders)", "from {orders})")
     return spark.sql(f"with {text} select * from postings", orders=orders)
