@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontaminate, linededup, packing, pii, quality, secrets, simhash, sql, substrings, urls, warc
+from siftwell.llm import bpe, decontaminate, linededup, packing, pii, quality, secrets, simhash, sql, substrings, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,5 +61,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.remove_repeated(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op4_simhash, op5_decontamination, op6_secrets, op7_warc, op8_urls, op9_substrings, op10_lines)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), tokenizer), tokenizer)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op4_simhash, op5_decontamination, op6_secrets, op7_warc, op8_urls, op9_substrings, op10_lines, op11_bpe)}
 ORACLE_SQL = sql.ORACLE_SQL
