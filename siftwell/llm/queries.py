@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import bpe, decontaminate, linededup, packing, phrases, pii, quality, secrets, simhash, sql, substrings, urls, warc
+from siftwell.llm import bpe, decontaminate, linededup, negatives, packing, phrases, pii, quality, secrets, simhash, sql, substrings, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +66,15 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), tokenizer), tokenizer)
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op4_simhash, op5_decontamination, op6_secrets, op7_warc, op8_urls, op9_substrings, op10_lines, op11_bpe, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op4_simhash, op5_decontamination, op6_secrets, op7_warc, op8_urls, op9_substrings, op10_lines, op11_bpe, op12_negatives, op13_phrases)}
 ORACLE_SQL = sql.ORACLE_SQL
