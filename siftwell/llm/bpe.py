@@ -39,6 +39,17 @@ CHUNK = 8 << 20
 REMEMBERED = 400_000
 # Fixed value: the pattern of the pieces that merges don't cross.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# Letters and digits that came after Unicode 16, which the vocabulary's classes take for signs.
+LATER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB "
+    "11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 "
+    "1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF "
+    "2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+_LATER = "[" + "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in LATER.split(" ")) + "]"
+HAS_LATER = regex.compile(_LATER)
+#: The same pattern for text with such letters; it is slower.
+PIECES_LATER = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--{_LATER}]+| ?[\p{{N}}--{_LATER}]+| ?(?:[^\s\p{{L}}\p{{N}}]|{_LATER})+|\s+(?!\S)|\s+")
 #: Pieces never go from a word into the white space after it, so units can be encoded alone.
 UNITS = regex.compile(r"\s*\S+|\s+")
 DEAD = -1
@@ -199,7 +210,8 @@ class Encoder:
     def _learn(self) -> None:
         if not self.units.new:
             return
-        found = [PIECES.findall(unit) for unit in self.units.new]
+        cut = PIECES_LATER if HAS_LATER.search("".join(self.units.new)) else PIECES
+        found = [cut.findall(unit) for unit in self.units.new]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         numbers = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum()))
         if self.pieces.new:

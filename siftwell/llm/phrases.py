@@ -8,15 +8,16 @@ belong to a phrase, and every pass sums across shards:
 1. words, by each shard's own counts;
 2. pairs of frequent words: an FM-index of the shard's frequent words (all others are breaks)
    extends the interval of each word to the right;
-3. longer phrases: an FM-index of the runs of frequent pairs extends the intervals of pairs to the
-   right and to the left in turn, up to the longest phrase.
+3. longer phrases: an FM-index of the runs of pairs that may be frequent extends the intervals of pairs to the
+   right and to the left in turn, up to the longest phrase. Which pairs may be is told by a bitmap of fixed
+   size (8 MB) over the hashes of the frequent ones; a pair that only shares a bit costs work, and is counted out.
 
 An index sorts suffixes by no more words than the longest phrase has, which is all that intervals of
 such phrases depend on. Both directions are kept in step: an extension by a word gives the interval in
 the index of the reversed text by its rank in the BWT, and in the other by the number of smaller
 extensions. A phrase with a rare part is never frequent, so nothing is lost.
 
-Nothing is kept in one place: shards are rows in the shared folder, the frequent words and pairs
+Nothing else is kept in one place: shards are rows in the shared folder, frequent words
 go back only to shards that have them. Hot words have one row for each shard.
 
 Edge cases: null and empty texts have no words; a null lang is `other`, together with texts of that
@@ -41,6 +42,8 @@ SHARD_WORDS = 2_000_000
 #: A-Z in lower case, what ends a piece as a line feed, and the tab as a space.
 PLAIN = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\r\t", bytes(range(97, 123)) + b"\n" * 9 + b" ")
 BREAK = 0
+#: Bits of the map of frequent pairs: its size, whatever the corpus.
+PAIR_BITS = 1 << 26
 
 
 class _Words(dict):
@@ -54,9 +57,42 @@ class _Words(dict):
         return number
 
 
+def _packed(places: np.ndarray) -> bytes:
+    """Numbers of 32 bits, their first bytes first, compressed: most are small."""
+    return pa.compress(np.ascontiguousarray(places.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * size, "zstd", asbytes=True), np.uint8).reshape(4, size)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
+def _bit(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    """The place of each pair in a map of `bits` (a power of two) bits."""
+    mixed = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(32)) & np.uint64(bits - 1)
+
+
+def _bitmap(pairs: DataFrame, bits: int) -> np.ndarray:
+    """The bits of all pairs, as 64-bit words: bits / 8 bytes at most come to the driver."""
+
+    def run(batches):
+        for batch in batches:
+            place = np.sort(_bit(batch.column("first").to_numpy(), batch.column("second").to_numpy(), bits))
+            word, begins = np.unique(place >> np.uint64(6), return_index=True)
+            set_ = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), begins) if len(place) else place
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(set_.view(np.int64))], names=["word", "bits"])
+
+    words = pairs.select("first", "second").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(max(1, bits // 64), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def _shards(docs: DataFrame, other: str, shard_words: int) -> DataFrame:
-    """shard, lang, words, counts, places (the shard's texts as numbers of its words, 32 bits each)."""
-    names = ["shard", "lang", "words", "counts", "places"]
+    """shard, lang, words, counts, size, places (the shard's texts as `size` numbers of its words, packed)."""
+    names = ["shard", "lang", "words", "counts", "size", "places"]
 
     def run(batches):
         open_: dict[str, tuple[_Words, list[np.ndarray]]] = {}
@@ -69,8 +105,8 @@ def _shards(docs: DataFrame, other: str, shard_words: int) -> DataFrame:
             places = np.concatenate(parts).astype(np.int32)
             counts = np.bincount(places, minlength=len(words) - 1)[1:]
             made += 1
-            row = [[made], [lang], [[w.decode() for w, number in words.items() if number > 0]], [counts.tolist()], [places.astype("<i4").tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()))], names=names)
+            row = [[made], [lang], [[w.decode() for w, number in words.items() if number > 0]], [counts.tolist()], [len(places)], [_packed(places)]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.binary()))], names=names)
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
@@ -86,7 +122,7 @@ def _shards(docs: DataFrame, other: str, shard_words: int) -> DataFrame:
             yield closed(lang)
 
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit(other)).alias("lang"))
-    return texts.mapInArrow(run, "shard long, lang string, words array<string>, counts array<long>, places binary")
+    return texts.mapInArrow(run, "shard long, lang string, words array<string>, counts array<long>, size long, places binary")
 
 
 class FmIndex:
@@ -138,7 +174,7 @@ class FmIndex:
 
 def _texts(shard: pa.Table, known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """A shard's text in symbols of its frequent words, breaks run together, and the id of each symbol (from 1)."""
-    places = np.concatenate([np.frombuffer(x.as_py(), "<i4") for x in shard.column("places")])
+    places = _unpacked(shard.column("places")[0].as_py(), shard.column("size")[0].as_py())
     number, ids = known.column("number").to_numpy(), known.column("id").to_numpy()
     order = np.argsort(ids)
     symbol_of = np.zeros(max(int(places.max(initial=0)), int(number.max(initial=0))) + 1, np.int64)
@@ -148,40 +184,34 @@ def _texts(shard: pa.Table, known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(shard: pa.Table, known: pa.Table) -> pa.Table:
-    names = ["shard", "first", "second", "n"]
+    names = ["first", "second", "n"]
     if not shard.num_rows or not known.num_rows:
         return pa.table({x: pa.array([], pa.int64()) for x in names})
     text, ids = _texts(shard, known)
-    index = FmIndex(text, len(ids) - 1, 2)
-    phrases, _, _, size = index.extend(*index.words(), right=True)
-    return pa.table({"shard": np.full(len(size), shard.column("shard")[0].as_py()), "first": ids[phrases[:, 0]], "second": ids[phrases[:, 1]], "n": size})
+    phrases, _, _, size = (index := FmIndex(text, len(ids) - 1, 2)).extend(*index.words(), right=True)
+    return pa.table({"first": ids[phrases[:, 0]], "second": ids[phrases[:, 1]], "n": size})
 
 
-def _longer(shard: pa.Table, known: pa.Table, max_words: int) -> pa.Table:
+def _longer(shard: pa.Table, known: pa.Table, bitmap: np.ndarray, max_words: int) -> pa.Table:
     out = [], []
-    is_pair = np.asarray(known.column("number").is_null())
-    if shard.num_rows and is_pair.any():
-        text, ids = _texts(shard, known.filter(pa.array(~is_pair)))
-        pairs = known.filter(pa.array(is_pair))
-        symbols = [np.searchsorted(ids, pairs.column(x).to_numpy()) for x in ("id", "second")]
-        frequent = np.sort(symbols[0] * len(ids) + symbols[1])
-        keys = text[:-1] * len(ids) + text[1:]
-        linked = frequent[np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)] == keys
-        # a break wherever neighbours aren't a frequent pair; a word without one goes
+    if shard.num_rows and known.num_rows:
+        text, ids = _texts(shard, known)
+        place = _bit(ids[text[:-1]], ids[text[1:]], 64 * len(bitmap))
+        linked = (bitmap[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1) > 0) & (text[:-1] != BREAK) & (text[1:] != BREAK)
+        # a break wherever neighbours aren't such a pair; a word without one goes
         stays = np.append(linked, False) | np.append(False, linked)
-        text = np.where(stays, text, BREAK)
-        text = np.insert(text, np.flatnonzero(~linked) + 1, BREAK)
+        text = np.insert(np.where(stays, text, BREAK), np.flatnonzero(~linked) + 1, BREAK)
         text = text[np.append(True, (text[1:] != BREAK) | (text[:-1] != BREAK))]
         index = FmIndex(text, len(ids) - 1, max_words)
         found = index.extend(*index.words(), right=True)
         for words in range(3, max_words + 1):
             found = index.extend(*found, right=words % 2 == 1)
-            out[0].extend(ids[found[0]].tolist())
+            out[0].append(pa.ListArray.from_arrays(np.arange(0, found[0].size + 1, words, dtype=np.int32), ids[found[0].ravel()]))
             out[1].append(found[3])
-    return pa.table({"phrase": pa.array(out[0], pa.list_(pa.int64())), "n": np.concatenate(out[1]) if out[1] else np.zeros(0, np.int64)})
+    return pa.table({"phrase": pa.chunked_array(out[0], pa.list_(pa.int64())), "n": np.concatenate(out[1]) if out[1] else np.zeros(0, np.int64)})
 
 
-def counts(docs: DataFrame, min_count: int = 30, max_words: int = 4, other: str = "und", shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def counts(docs: DataFrame, min_count: int = 30, max_words: int = 4, other: str = "und", shard_words: int = SHARD_WORDS, pair_bits: int = PAIR_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, n: words), (id, lang, word) of frequent words, and (phrase: array of ids, f) of the phrases of 1 to
     max_words words with f >= min_count occurrences."""
     shards = stored(_shards(docs, other, shard_words), "shards")
@@ -190,28 +220,27 @@ def counts(docs: DataFrame, min_count: int = 30, max_words: int = 4, other: str
     places = F.collect_list(F.struct("shard", (F.col("at") + 1).alias("number"))).alias("places")
     frequent = words.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f"), places).where(F.col("f") >= min_count)
     frequent = stored(frequent.withColumn("id", F.monotonically_increasing_id()), "words")
-    of_words = frequent.select("id", F.explode("places").alias("p")).select("p.shard", "id", F.lit(None).cast("long").alias("second"), F.col("p.number").cast("long").alias("number"))
-    texts = shards.select("shard", "places").groupBy("shard")
+    of_words = frequent.select("id", F.explode("places").alias("p")).select("p.shard", "id", F.col("p.number").cast("long").alias("number")).groupBy("shard")
+    texts = shards.select("shard", "size", "places").groupBy("shard")
 
-    pairs = texts.cogroup(of_words.groupBy("shard")).applyInArrow(_pairs, "shard long, first long, second long, n long")
-    pairs = pairs.groupBy("first", "second").agg(F.sum("n").alias("f"), F.collect_list("shard").alias("shards")).where(F.col("f") >= min_count)
-    pairs = stored(pairs, "pairs")
-    of_pairs = pairs.select(F.explode("shards").alias("shard"), F.col("first").alias("id"), "second", F.lit(None).cast("long").alias("number"))
+    pairs = texts.cogroup(of_words).applyInArrow(_pairs, "first long, second long, n long")
+    pairs = stored(pairs.groupBy("first", "second").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count), "pairs")
     found = frequent.select(F.array("id").alias("phrase"), "f").unionByName(pairs.select(F.array("first", "second").alias("phrase"), "f"))
     if max_words > 2:
-        longer = texts.cogroup(of_words.unionByName(of_pairs).groupBy("shard")).applyInArrow(lambda a, b: _longer(a, b, max_words), "phrase array<long>, n long")
+        bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs, pair_bits))
+        longer = texts.cogroup(of_words).applyInArrow(lambda a, b: _longer(a, b, bitmap.value, max_words), "phrase array<long>, n long")
         longer = longer.groupBy("phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
         found = found.unionByName(stored(longer, "phrases"))
     return totals, frequent.select("id", "lang", "word"), found
 
 
-def mine(docs: DataFrame, min_count: int = 30, max_words: int = 4, held: int = 80, most: int = 2000, other: str = "und", shard_words: int = SHARD_WORDS) -> DataFrame:
+def mine(docs: DataFrame, min_count: int = 30, max_words: int = 4, held: int = 80, most: int = 2000, other: str = "und", shard_words: int = SHARD_WORDS, pair_bits: int = PAIR_BITS) -> DataFrame:
     """The first `most` phrases of each lang: lang, rank, phrase, a, l, r, n, score.
 
     A phrase is cut where it scores lowest: floor(2 000 000 a / (l + r)) with l and r the counts of its parts.
     Phrases inside a longer one that has at least `held` per cent of their occurrences are dropped.
     """
-    totals, words, found = counts(docs, min_count, max_words, other, shard_words)
+    totals, words, found = counts(docs, min_count, max_words, other, shard_words, pair_bits)
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     candidates = found.where(F.size("phrase") > 1).withColumnRenamed("f", "a")
     inside = candidates.where(F.size("phrase") > 2).select("a", F.explode(F.expr(

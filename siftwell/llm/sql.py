@@ -196,4 +196,32 @@ ORACLE_SQL = {
                case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
                case when n >= 100 and page_id <> first then first end as refers_to
         from q""",
+    "op12_negatives": """
+        with e as (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                          list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+                   from embeddings where vec_id is not null and label is not null and embedding is not null
+                     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+             s as (select a.r as anchor, a.vec_id as anchor_id, a.label = e.label as same, e.r, e.vec_id, cast(list_dot_product(a.v, e.v) as bigint) as score
+                   from e as a join e on a.r <> e.r where a.vec_id % 100 = 0),
+             p as (select *, row_number() over (partition by anchor order by score desc, vec_id, r) as k from s where same),
+             n as (select p.anchor_id, p.vec_id as positive_id, row_number() over (partition by p.anchor, p.r order by s.score desc, s.vec_id, s.r) as rank,
+                          s.vec_id as negative_id, p.score as positive_score, s.score as negative_score
+                   from p join s on s.anchor = p.anchor and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score where p.k <= 5)
+        select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 10""",
+    "op13_phrases": f"""
+        with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(text, '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents where text is not null),
+             w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from p),
+             t as (select lang, sum(len(w)) as n from w group by lang),
+             i as (select lang, w, unnest(range(1, len(w) + 1)) as i from w where len(w) > 0),
+             g as (select lang, array_to_string(w[i : i + k - 1], ' ') as phrase, k from i, (select unnest(range(1, 5)) as k) where i + k - 1 <= len(w)),
+             f as (select lang, phrase, k as words, count(*) as f from g group by all having count(*) >= 30),
+             c as (select lang, phrase, words, f as a, string_split(phrase, ' ') as w from f where words > 1),
+             o as (select lang, unnest(flatten(list_transform(range(2, words), lambda m: list_transform(range(1, words - m + 2), lambda s: array_to_string(w[s : s + m - 1], ' '))))) as phrase, a as longer from c where words > 2),
+             m as (select lang, phrase, max(longer) as longer from o group by all),
+             x as (select c.lang, phrase, w, words, a, unnest(range(1, words)) as k from c left join m using (lang, phrase) where longer is null or 100 * longer < 80 * a),
+             y as (select x.lang, x.phrase, a, k, b.f as l, e.f as r, cast(2000000 * cast(a as hugeint) // (b.f + e.f) as bigint) as score
+                   from x join f b on b.lang = x.lang and b.phrase = array_to_string(x.w[1 : k], ' ') join f e on e.lang = x.lang and e.phrase = array_to_string(x.w[k + 1 : x.words], ' ')),
+             z as (select *, row_number() over (partition by lang, phrase order by score, k) as best from y),
+             r as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from z where best = 1)
+        select lang, rank, phrase, a, l, r, cast(n as bigint) as n, score from r join t using (lang) where rank <= 2000""",
 }
