@@ -268,39 +268,47 @@ def j3_known_keys(spark, sf):
 
 
 def _greedy(free: str) -> str:
-    """CTEs that settle the rows (seq, link, key) of a table in arrival order, one after the other: settled(seq, outcome).
+    """CTEs that settle the rows (seq, link, key, owner_link) of a table in arrival order, one after the other: settled(seq, outcome, upgrade).
 
-    Only rows that share a link or a key with another one are walked through; the state are the kept links and keys.
+    Only rows that share a link or a key with another one are walked through. The state are the blocked links, the keys that
+    the batch owns, those of them whose owner has a wrapper for a link, and the keys whose owner got a direct one.
     """
-    return f"""f as (select seq, case when link = '' then 'seq:' || seq else link end as link, key from {free}),
+    blocked, held = "list_contains(links, link)", "list_contains(keys, key)"
+    keep = f"not {blocked} and not owned and not {held}"
+    upgrade = f"not {blocked} and direct and not list_contains(freed, key) and (wrapped or list_contains(wrapping, key))"
+    return f"""f as (select seq, case when link = '' then 'seq:' || seq else link end as link, key, owner_link is not null as owned, coalesce(contains(owner_link, 'simplify.jobs'), false) as wrapped,
+                  link <> '' and not contains(link, 'simplify.jobs') as direct, contains(link, 'simplify.jobs') as wraps from {free}),
         m as (select *, count(*) over (partition by link) > 1 or count(*) over (partition by key) > 1 as met from f),
         o as (select *, row_number() over (order by seq) as n from m where met),
-        g as (select cast(0 as bigint) as n, cast(null as bigint) as seq, cast(null as varchar) as outcome, cast([] as varchar[]) as links, cast([] as varchar[]) as keys
+        g as (select cast(0 as bigint) as n, cast(null as bigint) as seq, cast(null as varchar) as outcome, false as upgrade, cast([] as varchar[]) as links, cast([] as varchar[]) as keys, cast([] as varchar[]) as wrapping, cast([] as varchar[]) as freed
               union all
-              select o.n, o.seq, case when list_contains(links, link) then 'same_link' when list_contains(keys, key) then 'same_key' else 'keep' end,
-                     case when list_contains(links, link) or list_contains(keys, key) then links else list_append(links, link) end,
-                     case when list_contains(links, link) or list_contains(keys, key) then keys else list_append(keys, key) end
+              select o.n, o.seq, case when {blocked} then 'same_link' when owned then 'known_key' when {held} then 'same_key' else 'keep' end, {upgrade},
+                     case when ({keep}) or ({upgrade}) then list_append(links, link) else links end,
+                     case when {keep} then list_append(keys, key) else keys end,
+                     case when {keep} and wraps then list_append(wrapping, key) else wrapping end,
+                     case when {upgrade} then list_append(freed, key) else freed end
               from g join o on o.n = g.n + 1),
-        settled as (select seq, outcome from g where n > 0 union all select seq, 'keep' from m where not met)"""
+        settled as (select seq, outcome, upgrade from g where n > 0 union all select seq, case when owned then 'known_key' else 'keep' end, wrapped and direct from m where not met)"""
 
 
 K_ALL = "with recursive " + K.removeprefix("with ")
 
 
-@query(f"{K_ALL}, free as (select seq, stripped as link, normalized_key as key from inc), {_greedy('free')} select * from settled")
+@query(f"{K_ALL}, free as (select seq, stripped as link, normalized_key as key, cast(null as varchar) as owner_link from inc), {_greedy('free')} select seq, outcome from settled")
 def j4_batch_outcome(spark, sf):
     """Greedy over two keys in arrival order; tested against a sequential version."""
     _, inc = split(spark, sf)
     return dedup.batch_outcome(inc)
 
 
-@query(f"""{K_ALL}, owner as (select distinct normalized_key from st where not archived), w as (
-        select seq, stripped as link, normalized_key as key,
+SETTLED = f"""{K_ALL}, owner as (select normalized_key, min(id) as owner_id, arg_min(link, id) as owner_link from st where not archived group by 1), w as (
+        select seq, inc.id, stripped, inc.normalized_key, owner_id, owner_link,
                case when exclusion_reason is not null then exclusion_reason when exists(select 1 from st where st.id = inc.id) then 'refresh'
-                    when stripped <> '' and exists(select 1 from st where st.stripped = inc.stripped and not st.archived) then 'known_link'
-                    when normalized_key in (select normalized_key from owner) then 'known_key' end as outcome from inc),
-    free as (select seq, link, key from w where outcome is null), {_greedy('free')}
-    select seq, outcome from w where outcome is not null union all select * from settled""")
+                    when stripped <> '' and exists(select 1 from st where st.stripped = inc.stripped and not st.archived) then 'known_link' end as outcome from inc left join owner on owner.normalized_key = inc.normalized_key),
+    free as (select seq, stripped as link, normalized_key as key, owner_link from w where outcome is null), {_greedy('free')}"""
+
+
+@query(f"{SETTLED} select seq, outcome from w where outcome is not null union all select seq, outcome from settled")
 def j1_j4_ingest_outcomes(spark, sf):
     st, inc = split(spark, sf, whole=True)
     return ingest.ingest(st, inc, AS_OF)[0]
@@ -376,10 +384,14 @@ def m1_backfill(spark, sf):
     return dedup.backfill(st, inc).select("seq", when("seen_at"), "score", "archived")
 
 
-@query(f"{K}, o as (select normalized_key, min(id) as owner_id from st where not archived group by 1), a as (select o.owner_id, inc.link, inc.seq, row_number() over (partition by o.owner_id order by inc.seq) as rn from inc join o using (normalized_key) join st on st.id = o.owner_id where contains(st.link, 'simplify.jobs') and not contains(inc.link, 'simplify.jobs')) select owner_id, link from a where rn = 1")
+@query(f"""{SETTLED}, own as (select normalized_key, id from settled join w using (seq) where settled.outcome = 'keep')
+    select coalesce(owner_id, own.id) as owner_id, stripped as link from settled join w using (seq) left join own using (normalized_key) where upgrade""")
 def m2_link_upgrades(spark, sf):
-    st, inc = split(spark, sf)
-    return dedup.link_upgrades(dedup.known_keys(inc, st), st)
+    """The new links of owners, stored ones and those of the batch, where a link that was brought blocks later rows."""
+    st, inc = split(spark, sf, whole=True)
+    passed = rules.hard_filtered(inc, AS_OF).where("passed").select("seq", "id", "stripped", "normalized_key")
+    fate = ingest.fates(st.select(*ingest.NARROW), passed)
+    return fate.where("new_link is not null").select(F.col("target").alias("owner_id"), F.col("new_link").alias("link"))
 
 
 @query(f"""{R}, ch as (select 'p' || cast(user_id * 3 as varchar) as id, event_type, ts, event_id from events where event_type in ('purchase', 'error')), l as (select id, max(case when event_type = 'purchase' then 1 end) as bought, max(case when event_type = 'error' then 1 end) as failed from ch group by id)

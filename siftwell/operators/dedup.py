@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import canonical_company, normalized_key, strip_tracking
+from siftwell.operators.settle import settle
 
 
 def with_keys(df: DataFrame) -> DataFrame:
@@ -39,50 +37,9 @@ def known_keys(incoming: DataFrame, store: DataFrame) -> DataFrame:
     return incoming.join(key_owners(store), "normalized_key")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a new folder on a single machine, an error on a cluster."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftwell-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written once to the session's shared folder, so that rounds don't stack up lineage."""
-    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def batch_outcome(rows: DataFrame) -> DataFrame:
-    """For new rows (seq, stripped, normalized_key): outcome keep, same_link or same_key, in arrival order.
-
-    A kept row blocks its link and its key for later rows; a dropped row blocks neither. Each
-    round keeps the rows that come first in both their link and their key, and settles those
-    that share either with a kept row. An empty link blocks nothing.
-    """
-    link = F.when(F.col("stripped") == "", F.concat(F.lit("seq:"), F.col("seq").cast("string"))).otherwise(F.col("stripped"))
-    all_ = stored(rows.select("seq", link.alias("link"), F.col("normalized_key").alias("key")))
-    open_, chosen = all_, None
-    while True:  # the first open row is kept in each round, so this ends
-        by_link, by_key = open_.groupBy("link").agg(F.min("seq").alias("first_link")), open_.groupBy("key").agg(F.min("seq").alias("first_key"))
-        ranked = open_.join(by_link, "link").join(by_key, "key")
-        kept = stored(ranked.where("seq = first_link and seq = first_key").select("seq", "link", "key"))
-        chosen = kept if chosen is None else chosen.unionByName(kept)
-        links, keys = kept.select("link", F.col("seq").alias("link_by")), kept.select("key", F.col("seq").alias("key_by"))
-        left = open_.join(kept.select("seq"), "seq", "left_anti").join(links, "link", "left").join(keys, "key", "left")
-        # a row behind a kept one of its link or key is out; one that came before it stays open
-        out = F.coalesce(F.col("link_by") < F.col("seq"), F.lit(False)) | F.coalesce(F.col("key_by") < F.col("seq"), F.lit(False))
-        open_ = stored(left.where(~out).select("seq", "link", "key"))
-        if open_.isEmpty():
-            break
-    # a link has one kept row at most: it explains those behind it, the key explains the rest
-    owners = chosen.select("link", F.col("seq").alias("owner"))
-    explained = all_.join(owners, "link", "left")
-    return explained.select("seq", F.when(F.col("owner") == F.col("seq"), "keep").when(F.col("owner") < F.col("seq"), "same_link").otherwise("same_key").alias("outcome"))
+    """For new rows (seq, stripped, normalized_key): outcome keep, same_link or same_key, in arrival order (see settle)."""
+    return settle(rows.select("seq", "stripped", "normalized_key")).select("seq", "outcome")
 
 
 REPLACED = ("seen_at", "score", "score_label", "matched_keywords")
@@ -113,13 +70,6 @@ def backfill(store: DataFrame, incoming: DataFrame, replaced=REPLACED, filled=FI
     return joined.withColumns(values).select(*store.columns)
 
 
-def link_upgrades(absorbed: DataFrame, store: DataFrame, wrapper: str = "simplify.jobs") -> DataFrame:
-    """owner_id, link: the first direct link (by seq) that came for an owner whose own link is a wrapper."""
-    owners = store.where(F.contains("link", F.lit(wrapper))).select(F.col("id").alias("owner_id"))
-    direct = absorbed.where(~F.contains("link", F.lit(wrapper)) & (F.col("link") != ""))
-    return direct.join(owners, "owner_id", "left_semi").groupBy("owner_id").agg(F.min_by("link", "seq").alias("link"))
-
-
 def first_seen(df: DataFrame, key: list[str], last: bool = False) -> DataFrame:
     """The first (or last) row of each key in arrival order."""
     pick = F.max_by if last else F.min_by

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import extract, text
-from siftwell.operators import dedup, rules, scoring
+from siftwell.operators import dedup, rules, scoring, settle, shared
 
 #: Sources whose pay isn't read from the text.
 UNPARSED = ["Handshake"]
@@ -25,25 +25,55 @@ def enriched(df: DataFrame, as_of: datetime.datetime, described: str | None = No
     return rows.withColumns({"season": season, "stripped": text.strip_tracking(F.col("link")), "normalized_key": text.normalized_key(F.col("company"), F.col("title"))})
 
 
-def ingest(store: DataFrame, incoming: DataFrame, as_of: datetime.datetime) -> tuple[DataFrame, DataFrame]:
-    """(outcomes: seq, outcome; store after the batch). Both sides are enriched."""
-    # both sides are worked out once, not in every branch that uses them
-    store, passed = dedup.stored(store), dedup.stored(rules.hard_filtered(incoming, as_of))
-    refreshed, new = dedup.known_ids(passed.where("passed"), store)
+NARROW = ["id", "stripped", "normalized_key", "archived", "link"]
+
+
+def fates(store: DataFrame, passed: DataFrame) -> DataFrame:
+    """What becomes of the rows of a batch that passed the filter: seq, outcome, target (the id of the row that they refresh
+    or that absorbs them) and new_link (the link that an absorbed row brings its owner).
+
+    store: id, stripped, normalized_key, archived, link; passed: seq, id, stripped, normalized_key. An id that the
+    store has, or an earlier kept row of the batch, is a refresh; then links are tested before keys.
+    """
+    refreshed, new = dedup.known_ids(passed, store)
     linked = dedup.unseen_links(new, store)
-    owned = dedup.known_keys(linked, store)
-    free = linked.join(dedup.key_owners(store).select("normalized_key"), "normalized_key", "left_anti")
-    settled = dedup.batch_outcome(free)
-    outcomes = (
-        passed.where("not passed").select("seq", F.col("exclusion_reason").alias("outcome"))
-        .unionByName(refreshed.select("seq", F.lit("refresh").alias("outcome")))
-        .unionByName(new.join(linked.select("seq"), "seq", "left_anti").select("seq", F.lit("known_link").alias("outcome")))
-        .unionByName(owned.select("seq", F.lit("known_key").alias("outcome")))
-        .unionByName(settled)
+    owners = store.where(~F.col("archived")).groupBy("normalized_key").agg(F.min_by(F.struct("id", "link"), "id").alias("o"))
+    owners = owners.select("normalized_key", F.col("o.id").alias("owner_id"), F.coalesce("o.link", F.lit("")).alias("owner_link"))
+    met = shared.stored(linked.select("seq", "id", "stripped", "normalized_key").join(owners, "normalized_key", "left"))
+    settled = settle.settle(met).join(met.select("seq", "id", "stripped", "owner_id"), "seq")
+    settled = settled.join(met.select(F.col("seq").alias("by"), F.col("id").alias("by_id")), "by", "left")
+    again = F.col("outcome").isin("same_link", "same_key") & (F.col("by_id") == F.col("id"))
+    target = F.when(again, F.col("id")).when(F.col("outcome") == "known_key", F.col("owner_id")).when(F.col("outcome") == "same_key", F.col("by_id"))
+    none = F.lit(None).cast("string")
+    return (
+        settled.select("seq", F.when(again, "refresh").otherwise(F.col("outcome")).alias("outcome"), target.alias("target"), F.when(F.col("upgrade"), F.col("stripped")).alias("new_link"))
+        .unionByName(refreshed.select("seq", F.lit("refresh").alias("outcome"), F.col("id").alias("target"), none.alias("new_link")))
+        .unionByName(new.join(linked.select("seq"), "seq", "left_anti").select("seq", F.lit("known_link").alias("outcome"), none.alias("target"), none.alias("new_link")))
     )
-    touched = refreshed.unionByName(owned.withColumn("id", F.col("owner_id")).drop("owner_id"))
-    kept = free.join(settled.where("outcome = 'keep'").select("seq"), "seq", "left_semi")
-    return outcomes, dedup.backfill(store, touched).unionByName(kept.select(*store.columns))
+
+
+def changed_rows(store: DataFrame, incoming: DataFrame, fate: DataFrame) -> DataFrame:
+    """The rows of the store that a batch adds or changes, whole: kept rows, and rows that were refreshed or got a new link."""
+    wide = incoming.join(fate, "seq")
+    kept = wide.where("outcome = 'keep'").withColumn("link", F.when(F.col("stripped") != "", F.col("stripped")).otherwise(F.col("link")))
+    touched = wide.where("target is not null").withColumn("id", F.col("target"))
+    hit = touched.select("id").distinct()
+    rows = store.join(hit, "id", "left_semi").unionByName(kept.select(*store.columns))
+    links = fate.where("new_link is not null").select(F.col("target").alias("id"), "new_link")
+    done = dedup.backfill(rows, touched.select(*incoming.columns)).join(links, "id", "left")
+    return done.withColumns({c: F.coalesce("new_link", c) for c in ("link", "stripped")}).select(*store.columns)
+
+
+def ingest(store: DataFrame, incoming: DataFrame, as_of: datetime.datetime) -> tuple[DataFrame, DataFrame]:
+    """(outcomes: seq, outcome; store after the batch). Both sides are enriched."""
+    # what decides is narrow and worked out once; whole rows are only joined at the end
+    known = shared.stored(store.select(*NARROW))
+    passed = shared.stored(rules.hard_filtered(incoming, as_of).select("seq", "id", "stripped", "normalized_key", "passed", "exclusion_reason"))
+    fate = shared.stored(fates(known, passed.where("passed").drop("passed", "exclusion_reason")))
+    outcomes = passed.where("not passed").select("seq", F.col("exclusion_reason").alias("outcome")).unionByName(fate.select("seq", "outcome"))
+    changed = changed_rows(store, incoming, fate)
+    hit = fate.select(F.col("target").alias("id")).where("id is not null").distinct()
+    return outcomes, store.join(hit, "id", "left_anti").unionByName(changed)
 
 
 def alerts(df: DataFrame, spec: rules.FilterSpec, most: int = 10) -> DataFrame:
