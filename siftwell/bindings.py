@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from siftwell import oracles as O
 from siftwell.functions import extract, text
-from siftwell.operators import dedup, facets, rules, scoring, state
+from siftwell.operators import dedup, facets, rules, scoring, shared, state
 from siftwell.operators.location import with_location_class
 from siftwell.plans import ingest
 from siftwell.sources import payloads
-from siftwell.sources.fixtures import postings, table
+from siftwell.sources.fixtures import postings, postings_of, table
 from siftwell.streaming import jobs
+from siftwell.streaming.store import PartedTable
 
 AS_OF = datetime.datetime(2026, 6, 5, tzinfo=datetime.timezone.utc)
 #: The events' clock.
@@ -796,7 +797,7 @@ def s14_table_rows(spark, sf):
 
 
 def scratch(spark) -> str:
-    return f"{dedup.shared_folder(spark)}/{uuid.uuid4().hex}"
+    return f"{shared.shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query(f"{R}, u as (select *, row_number() over (partition by id order by stored, seq desc) as rn from p) select id, seq from u where rn = 1")
@@ -824,6 +825,31 @@ def t1_t2_stream_into_store(spark, sf):
     return store.read().select("id", "seq")
 
 
+SLOW = "source in ('Indeed', 'Linkedin', 'Handshake')"
+
+
+@query(f"""{SETTLED.replace("inc as (select * from e where not stored)", f"inc as (select * replace (seq + case when {SLOW} then 1000000000000 else 0 end as seq, false as archived) from e where not stored)")},
+    own as (select normalized_key, id from settled join w using (seq) where settled.outcome = 'keep'),
+    up as (select coalesce(owner_id, own.id) as id, stripped as new_link from settled join w using (seq) left join own using (normalized_key) where upgrade),
+    rows_ as (select id, link from st union all select id, case when stripped <> '' then stripped else link end from settled join inc using (seq) where settled.outcome = 'keep')
+    select id, coalesce(new_link, link) as link from rows_ left join up using (id)""")
+def t1_two_cadences(spark, sf):
+    """The write path by two streams of orders into one parted table: fast sources, then slow ones, then the fast stream again from its beginning, which changes nothing."""
+    folder, schema = scratch(spark), table(spark, sf, "orders").schema
+    store = PartedTable(spark, f"{folder}/store", parts=16)
+    store.commit("seed", 0, lambda now: enriched(spark, sf).where("stored"))
+
+    def run(checkpoint, writer, which):
+        enrich = lambda orders: ingest.enriched(postings_of(orders).where("not stored").where(which).withColumn("archived", F.lit(False)), AS_OF)
+        stream = jobs.file_stream(spark, sf, schema, "orders.parquet")
+        jobs.into_parts(stream, store, writer, f"{folder}/{checkpoint}", jobs.ingested(AS_OF, enrich)).awaitTermination()
+
+    run("fast", "fast", f"not ({SLOW})")
+    run("slow", "slow", SLOW)
+    run("fast-again", "fast", f"not ({SLOW})")
+    return store.read().select("id", "link")
+
+
 @query("""with f as (select user_id as source, max(ts) as last from events group by 1), a as (select user_id as source from events group by 1 having user_id % 2 = 0),
     g as (select f.*, date_diff('second', last, timestamp '2024-01-30 00:00:00') as age, a.source is not null as alerted from f left join a using (source))
     select source, case when age > 86400 and age <= 604800 and not alerted then 'down' when age <= 86400 and alerted then 'recovered' end as transition from g where (age > 86400 and age <= 604800 and not alerted) or (age <= 86400 and alerted)""")
@@ -833,6 +859,21 @@ def t3_quiet_sources(spark, sf):
     return state.quiet_transitions(log, alerts, EVENTS_AS_OF).select("source", "transition")
 
 
+@query("""with f as (select user_id as source, max(ts) as last from events group by 1), a as (select user_id as source from events group by 1 having user_id % 2 = 0),
+    g as (select f.*, date_diff('second', last, timestamp '2024-01-30 00:00:00') as age, a.source is not null as alerted from f left join a using (source))
+    select source, case when age > 86400 and age <= 604800 and not alerted then 'down' when age <= 86400 and alerted then 'recovered' end as transition from g where (age > 86400 and age <= 604800 and not alerted) or (age <= 86400 and alerted)""")
+def t3_stream_of_health(spark, sf):
+    """The same as a stream of fetches and of delivered alerts, with state by source, in one micro-batch (timers on processing time never run out of batches)."""
+    folder, as_of = scratch(spark), int(EVENTS_AS_OF.timestamp())
+    rows = jobs.file_stream(spark, sf, table(spark, sf, "events").schema, "events.parquet").select(F.col("user_id").alias("source"), F.col("ts").cast("timestamp").cast("long").alias("at"))
+    kinds = F.when(F.col("source") % 2 == 0, F.array(F.lit("fetched"), F.lit("delivered"))).otherwise(F.array(F.lit("fetched")))
+    changes = jobs.health_changes(rows.withColumn("kind", F.explode(kinds)), now=lambda: as_of)
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
+    changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(once=True).start().awaitTermination()
+    last = spark.read.parquet(f"{folder}/changes").groupBy("source").agg(F.max_by("transition", "batch").alias("transition"))
+    return last.select("source", "transition")
+
+
 @query("""with d as (select event_type as source, ts from events), w as (select source, cast(date_trunc('day', ts) as timestamp) - k * interval 1 day as b from d, (select unnest(range(7)) as k))
     select source, cast(b as varchar) as "start", cast(b + interval 7 day as varchar) as "end", count(*) as n from w group by source, b""")
 def t6_activity_windows(spark, sf):

@@ -64,16 +64,20 @@ def changed_rows(store: DataFrame, incoming: DataFrame, fate: DataFrame) -> Data
     return done.withColumns({c: F.coalesce("new_link", c) for c in ("link", "stripped")}).select(*store.columns)
 
 
-def ingest(store: DataFrame, incoming: DataFrame, as_of: datetime.datetime) -> tuple[DataFrame, DataFrame]:
-    """(outcomes: seq, outcome; store after the batch). Both sides are enriched."""
+def changes(store: DataFrame, incoming: DataFrame, as_of: datetime.datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(outcomes: seq, outcome; the rows that the batch adds to the store or changes there; their ids). Both sides are enriched."""
     # what decides is narrow and worked out once; whole rows are only joined at the end
     known = shared.stored(store.select(*NARROW))
     passed = shared.stored(rules.hard_filtered(incoming, as_of).select("seq", "id", "stripped", "normalized_key", "passed", "exclusion_reason"))
     fate = shared.stored(fates(known, passed.where("passed").drop("passed", "exclusion_reason")))
     outcomes = passed.where("not passed").select("seq", F.col("exclusion_reason").alias("outcome")).unionByName(fate.select("seq", "outcome"))
-    changed = changed_rows(store, incoming, fate)
-    hit = fate.select(F.col("target").alias("id")).where("id is not null").distinct()
-    return outcomes, store.join(hit, "id", "left_anti").unionByName(changed)
+    return outcomes, changed_rows(store, incoming, fate), fate.select(F.col("target").alias("id")).where("id is not null").distinct()
+
+
+def ingest(store: DataFrame, incoming: DataFrame, as_of: datetime.datetime) -> tuple[DataFrame, DataFrame]:
+    """(outcomes: seq, outcome; store after the batch). Both sides are enriched."""
+    outcomes, changed, ids = changes(store, incoming, as_of)
+    return outcomes, store.join(ids, "id", "left_anti").unionByName(changed)
 
 
 def alerts(df: DataFrame, spec: rules.FilterSpec, most: int = 10) -> DataFrame:

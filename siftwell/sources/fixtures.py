@@ -74,5 +74,10 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     if orders.rdd.getNumPartitions() < cores:
         orders = orders.repartition(cores, "o_orderkey")
+    return postings_of(orders)
+
+
+def postings_of(orders: DataFrame) -> DataFrame:
+    """The postings of these orders."""
     text = postings_cte(spark=True).replace("from orders)", "from {orders})")
-    return spark.sql(f"with {text} select * from postings", orders=orders)
+    return orders.sparkSession.sql(f"with {text} select * from postings", orders=orders)
