@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch handed to a Python worker; keeps a batch of long texts small.
 ROWS_PER_BATCH = 512
@@ -42,6 +43,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """Each row as one struct, whatever its columns are called."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
+def schema_with(kept: StructType, more: str) -> StructType:
+    """The fields of `kept`, and more of them by their DDL."""
+    return StructType(kept.fields + StructType.fromDDL(more).fields)
+
+
 def same_text(text: str = "text") -> Column:
     """A fingerprint of the whole text that tells rows with a repeated id apart."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())

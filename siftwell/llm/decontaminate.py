@@ -12,7 +12,7 @@ position, moves by its own shift and stops at its own end.
 
 Edge cases: a null or empty text has no words, is not contaminated and hits no item; a null
 benchmark text or one without words has no window; an item shorter than `width` is one
-window; very long texts are searched whole; repeated documents are judged one by one, repeated items each count and
+window; very long texts are searched whole; repeated documents are judged one by one, rows with the same item_id are one item and
 share their tables; a share that equals the limit is contaminated; an empty benchmark leaves every document clean. Extra columns are kept by `decontaminate`, dropped by
 `benchmark_hits`.
 """
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import byte_view, row_slices, small_batches, stored
+from siftwell.llm.common import byte_view, row_slices, schema_with, small_batches, stored, whole_row
 
 WIDTH = 13
 #: Normalised bytes searched at a time in a worker.
@@ -252,7 +252,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, ke
     for k in range(passes):  # written before the next part of the benchmark is read
         part = stored(_one_pass(docs, _of_pass(texts, k, passes), width, ["_row"], merge=True), "hits")
         parts = part if parts is None else parts.unionByName(part)
-    merged = parts.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
+    merged = parts.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
     start = F.array_sort("runs")
     union = F.aggregate(start, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0), r["first"] + r["n"] - F.greatest(r["first"], a["end"]))).alias("n"), F.greatest(a["end"], r["first"] + r["n"]).alias("end")))
     merged = merged.select("_row", "n_words", union["n"].cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
@@ -261,7 +261,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, ke
 
 def _one_pass(docs: DataFrame, rows: list, width: int, keep: list[str], merge: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(rows)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [RAW if merge else HITS])
+    schema = schema_with(docs.select(*keep).schema, RAW if merge else HITS)
     key = uuid.uuid4().hex
     names = [*keep, "n_words", *(["runs"] if merge else ["n_hit", "n_items"]), "item_ids"]
 
@@ -270,7 +270,7 @@ def _one_pass(docs: DataFrame, rows: list, width: int, keep: list[str], merge: b
         for batch in batches:
             data, offsets = byte_view(batch.column("_bytes"))
             found = list(judge(data, offsets, bench))
-            ids = [sorted(i for owner in owners.tolist() for i in bench.ids[owner]) for _, _, owners in found]
+            ids = [sorted({i for owner in owners.tolist() for i in bench.ids[owner]}) for _, _, owners in found]
             words = pa.array([n for n, _, _ in found], pa.int64())
             if merge:
                 more = [words, pa.array([[{"first": a, "n": n} for a, n in r] for _, r, _ in found], pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())])))]
@@ -290,7 +290,7 @@ def contaminated(hits: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    rows = docs.select("text", F.struct(*docs.columns).alias("_doc"))
+    rows = docs.select("text", whole_row(docs).alias("_doc"))
     found = contaminated(benchmark_hits(rows, benchmark, width, keep=["_doc"]))
     return found.where(~F.col("contaminated")).select("_doc.*")
 

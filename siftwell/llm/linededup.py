@@ -1,22 +1,23 @@
 """Line dedup over content-defined chunks of lines.
 
-A text is cut into lines at "\\n". A line of `long_line` (40) bytes or more is a chunk of its own. Runs of shorter lines
-are cut by a rolling hash over the hashes of two lines: a chunk begins before a line where the hash of the line
-and its next is 0 modulo `spread`, and ends behind a line where the hash of the line before and itself is. So a
-passage's own lines choose both of its cuts, wherever it stands. One such cut misses many short
-passages, so there are `layers` of chunks, each cut by its own rolling hash; a whole text is a
-chunk too, so that an equal text goes as a whole. A chunk of short lines counts if two of them
-aren't blank, a whole text also if it has a long line.
+A text is cut into lines at "\\n". A rolling hash over the hashes of two neighbouring lines marks boundaries: where
+it is 0 modulo `spread`, a chunk begins before its two lines and ends behind them, wherever they stand in a text. The chunks are
+what lies between neighbouring boundaries, and at each mark the two lines of the hash themselves, the
+shortest chunk. Lines of any length take part. One such cut misses short passages whose lines give no mark,
+so there are `layers` of chunks, each by its own rolling hash; a whole text is a chunk too, so that an equal text goes as a
+whole, and so is a line of over `passage` (50) words, which is a passage by itself. All other chunks count if two of
+their lines aren't blank.
 
 A chunk that occurs again, in another document or in the same one, is removed everywhere but in its first place: the
 document with the smallest doc_id, and there its first occurrence. What is removed always has an earlier copy, so the
 first copy of every line stays. Chunks that share a 128-bit hash are candidates; the bytes of the candidates are
 then compared in groups, and only equal bytes count as repeated.
 
-Edge cases: null texts stay null and empty ones empty; very long texts are read whole; a short line by itself is never
+Edge cases: null texts stay null and empty ones empty; very long texts are read whole; a line of 50 words or fewer by itself is never
 removed; rows with the same doc_id count as one document (what they share stays in each, what occurs twice within one
 goes); a null doc_id comes before all others; blank lines belong to chunks like others; an empty table gives no
-row. Extra columns are kept; n_lines, n_removed and removed_chunks replace columns of those names. doc_id is a number.
+row. Extra columns are kept, whatever their names; n_lines, n_removed and removed_chunks replace columns of those names (`cut` gives
+the whole row beside them). doc_id is a number, or else is taken as a text.
 """
 
 from __future__ import annotations
@@ -26,16 +27,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, NumericType, StringType, StructField, StructType
 
-from siftwell.llm.common import same_text, small_batches, stored
+from siftwell.llm.common import same_text, small_batches, stored, whole_row
 
-LONG_LINE, SPREAD, LAYERS = 40, 3, 8
+PASSAGE, SPREAD, LAYERS = 50, 2, 6
 FACTOR = 0x9E3779B97F4A7C15
 STEP = np.uint64(FACTOR)
 FIRST = -(1 << 63)
 
 
-def chunks_of(texts: list[bytes], long_line: int = LONG_LINE, spread: int = SPREAD, layers: int = LAYERS):
+def chunks_of(texts: list[bytes], passage: int = PASSAGE, spread: int = SPREAD, layers: int = LAYERS):
     """For each text its chunks in order, each once: (first line, end line, first byte, end byte)."""
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     if not texts:
@@ -49,31 +51,28 @@ def chunks_of(texts: list[bytes], long_line: int = LONG_LINE, spread: int = SPRE
     # rows of empty texts have a line of their own, as "" has
     lines = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, n)
-    long = ends - starts >= long_line
     filled = np.append(0, np.cumsum(np.fromiter((line.strip() != b"" for line in lines), np.int64, n)))
     head = np.append(True, doc[1:] != doc[:-1])
     tail = np.append(head[1:], True)
-    own = np.flatnonzero(long & (filled[1:] > filled[:-1]))
-    ranges = [np.stack([own, own + 1])]
-    if not long.all():
-        pair = hashes * STEP + np.append(hashes[1:], np.uint64(0))  # the hash of each line and its next
-        for layer in range(layers):
-            mixed = (pair ^ (pair >> np.uint64(31))) * np.uint64(FACTOR * (2 * layer + 1) % (1 << 64))
-            cut = (mixed >> np.uint64(33)) % np.uint64(spread) == 0
-            other = (mixed >> np.uint64(12)) % np.uint64(spread) == 0
-            before = head | long | (cut & ~tail)  # a chunk begins with this line
-            behind = tail | long
-            behind[1:] |= other[:-1] & ~head[1:]  # a chunk ends with this line
-            before[1:] |= behind[:-1]
-            a = np.flatnonzero(before)
-            ranges.append(np.stack([a, np.append(a[1:], n)]))
-        short = np.concatenate(ranges[1:], axis=1)
-        a = np.flatnonzero(head)
-        whole = np.stack([a, np.append(a[1:], n)])
-        some = np.append(0, np.cumsum(long & (filled[1:] > filled[:-1])))
-        ranges = [ranges[0], short[:, filled[short[1]] - filled[short[0]] > 1], whole[:, (filled[whole[1]] - filled[whole[0]] > 1) | (some[whole[1]] > some[whole[0]])]]
+    pair = hashes * STEP + np.append(hashes[1:], np.uint64(0))  # the hash of each line and its next
+    mixed = (pair ^ (pair >> np.uint64(31))) * STEP
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    ranges = []
+    for layer in range(layers):
+        mark = ((mixed >> np.uint64(63 - 8 * layer - 7)) % np.uint64(spread) == 0) & ~tail  # other bits for each layer
+        begins = head | mark
+        begins[2:] |= mark[:-2]  # what comes behind the two lines
+        a, at = np.flatnonzero(begins), np.flatnonzero(mark)
+        ranges += [np.stack([a, np.append(a[1:], n)]), np.stack([at, at + 2])]
+    several = np.concatenate(ranges, axis=1)
+    a = np.flatnonzero(head)
+    whole = np.stack([a, np.append(a[1:], n)])
+    alone = np.array([k for k in np.flatnonzero(ends - starts > 2 * passage).tolist() if len(lines[k].split()) > passage], np.int64)
+    ranges = [several[:, filled[several[1]] - filled[several[0]] > 1], whole[:, filled[whole[1]] - filled[whole[0]] > 0], np.stack([alone, alone + 1])]
     a, b = np.concatenate(ranges, axis=1)
-    a, b = np.divmod(np.unique(a * (n + 1) + b), n + 1)
+    # of a text of one line the whole counts only as a passage
+    keep = (b - a > 1) | np.isin(a, alone)
+    a, b = np.divmod(np.unique(a[keep] * (n + 1) + b[keep]), n + 1)
     base = np.flatnonzero(head)[doc[a]]
     for d, x, y, lo, hi in zip(doc[a].tolist(), (a - base).tolist(), (b - base).tolist(), (starts[a] - begin_of[doc[a]]).tolist(), (ends[b - 1] - begin_of[doc[a]]).tolist()):
         out[d].append((x, y, lo, hi))
@@ -101,17 +100,24 @@ def cut_text(text: bytes, chunks, gone: set[bytes]) -> tuple[bytes, int, int]:
 
 def remove_repeated(docs: DataFrame, **shape) -> DataFrame:
     """docs with the repeated chunks taken out of text, and n_lines, n_removed (lines) and removed_chunks."""
+    counts = ["n_lines", "n_removed", "removed_chunks"]
+    own = [c for c in docs.columns if c not in counts]
+    return cut(docs, **shape).select(*[F.col("text") if c == "text" else F.col("_doc")[c].alias(c) for c in own], *counts)
+
+
+def cut(docs: DataFrame, **shape) -> DataFrame:
+    """_doc (each row of docs as a struct), text without the repeated chunks, n_lines, n_removed (lines) and removed_chunks."""
     small_batches(docs.sparkSession)
-    columns = docs.columns
-    own = [c for c in columns if c not in ("text", "n_lines", "n_removed", "removed_chunks")]
-    rows = docs.select(F.struct(*own).alias("_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("_id"), same_text().alias("_same"), F.col("text").cast("binary").alias("_bytes"))
+    number = isinstance(docs.select("doc_id").schema["doc_id"].dataType, NumericType)
+    kind, first = ("long", F.lit(FIRST)) if number else ("string", F.lit(""))
+    place = F.col("doc_id").cast("long") if number else F.concat(F.lit("i"), F.col("doc_id").cast("string"))
+    rows = docs.select(whole_row(docs).alias("_doc"), F.coalesce(place, first).alias("_id"), same_text().alias("_same"), F.col("text").cast("binary").alias("_bytes"))
 
     def places(batches):
         for batch in batches:
-            ids, same, texts = (batch.column(c).to_pylist() for c in ("_id", "_same", "_bytes"))
-            each = [{c[4] for c in found} for found in _hashed(texts, **shape)]
-            sizes = [len(e) for e in each]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(x, np.int64), sizes)) for x in (ids, same)] + [pa.array([h for e in each for h in e], pa.binary())], names=["_id", "_same", "hash"])
+            each = [{c[4] for c in found} for found in _hashed(batch.column("_bytes").to_pylist(), **shape)]
+            of = pa.array(np.repeat(np.arange(len(each)), [len(e) for e in each]))
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(of), batch.column("_same").take(of), pa.array([h for e in each for h in e], pa.binary())], names=["_id", "_same", "hash"])
 
     def bodies(batches):
         for batch in batches:
@@ -124,21 +130,21 @@ def remove_repeated(docs: DataFrame, **shape) -> DataFrame:
                         asked.discard(h)
                         for column, value in zip(out, (i, h, text[lo:hi])):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["_id", "hash", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field("_id").type), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["_id", "hash", "body"])
 
     some = rows.where("octet_length(_bytes) > 0")
-    found = stored(some.select("_id", "_same", "_bytes").mapInArrow(places, "_id long, _same long, hash binary"), "chunk-places")
+    found = stored(some.select("_id", "_same", "_bytes").mapInArrow(places, f"_id {kind}, _same long, hash binary"), "chunk-places")
     shared = found.groupBy("hash").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").select("hash")
     asked = found.join(shared, "hash").groupBy("_id", "_same").agg(F.collect_list("hash").alias("_asked"))
     joined = stored(rows.join(asked, ["_id", "_same"], "left"), "line-candidates")
     held = joined.where("_asked is not null")
     # equal bytes meet in one group; a hash that stands for different bytes, should there be one, is left alone
-    equal = held.select("_id", "_bytes", "_asked").mapInArrow(bodies, "_id long, hash binary, body binary").groupBy("hash", "body").agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
+    equal = held.select("_id", "_bytes", "_asked").mapInArrow(bodies, f"_id {kind}, hash binary, body binary").groupBy("hash", "body").agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
     repeated = equal.groupBy("hash").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count(F.lit(1)).alias("bodies")).where("bodies = 1 and first < last").select("hash", "first")
     gone = held.select("_id", "_same", F.explode("_asked").alias("hash")).join(repeated, "hash").where("_id > first").groupBy("_id", "_same").agg(F.collect_set("hash").alias("_gone"))
     none = F.lit(None).cast("array<binary>").alias("_gone")
     both = held.join(gone, ["_id", "_same"], "left").select("_doc", "_bytes", "_gone").unionByName(joined.where("_asked is null").select("_doc", "_bytes", none))
-    inner = f"_doc {rows.schema['_doc'].dataType.simpleString()}, text string, n_lines long, n_removed long, removed_chunks long"
+    inner = StructType([rows.schema["_doc"], StructField("text", StringType())] + [StructField(c, LongType()) for c in ("n_lines", "n_removed", "removed_chunks")])
 
     def apply(batches):
         for batch in batches:
@@ -151,8 +157,7 @@ def remove_repeated(docs: DataFrame, **shape) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(out[0], pa.binary()).cast(pa.string())] + [pa.array(c, pa.int64()) for c in out[1:]], names=["_doc", "text", "n_lines", "n_removed", "removed_chunks"])
 
-    done = both.mapInArrow(apply, inner)
-    return done.select(*[F.col("text") if c == "text" else F.col("_doc")[c].alias(c) for c in columns if c == "text" or c in own], "n_lines", "n_removed", "removed_chunks")
+    return both.mapInArrow(apply, inner)
 
 
 def digest(found: DataFrame) -> DataFrame:

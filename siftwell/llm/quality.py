@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.common import whole_row
+
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -96,7 +98,7 @@ def judged(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
 
 def passing(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """The documents that break no rule, with their own columns."""
-    rows = docs.select("text", F.struct(*docs.columns).alias("_doc"))
+    rows = docs.select("text", whole_row(docs).alias("_doc"))
     return judged(rows, thresholds).where("kept").select("_doc.*")
 
 
