@@ -315,12 +315,12 @@ def j1_j4_ingest_outcomes(spark, sf):
     return ingest.ingest(st, inc, AS_OF)[0]
 
 
-@query(f"""{R}, scan as (select distinct source, location as target, id as job_id from p where seq % 4 <> 0 and location <> '' and location not like 'Remote%'),
+@query(f"""{R}, scan as (select distinct source, location as target, id as job_id from p where seq % 5 <> 0 and location <> '' and location not like 'Remote%'),
     t as (select distinct source, target from scan)
     select distinct seq from p join t on p.source = t.source and p.location = t.target where not archived and not exists(select 1 from scan where scan.source = p.source and scan.target = p.location and scan.job_id = p.id)""")
 def j5_disappeared(spark, sf):
     rows = postings(spark, sf).withColumns({"target": F.col("location"), "job_id": F.col("id")})
-    scan = rows.where("seq % 4 <> 0 and location <> '' and location not like 'Remote%'").select("source", "target", "job_id")
+    scan = rows.where("seq % 5 <> 0 and location <> '' and location not like 'Remote%'").select("source", "target", "job_id")
     return state.disappeared(rows, scan).select("seq")
 
 
@@ -355,9 +355,9 @@ def j11_discovered_targets(spark, sf):
     return state.discovered_targets(known, found, denied).select("slug", "ats", "status")
 
 
-@query("select distinct 'lever' as ats, 's' || cast(p_partkey % 90 as varchar) as slug from part where 's' || cast(p_partkey % 90 as varchar) not in (select 's' || cast(s_suppkey as varchar) from supplier)")
+@query("select distinct 'lever' as ats, 's' || cast(p_partkey % 900 as varchar) as slug from part where 's' || cast(p_partkey % 900 as varchar) not in (select 's' || cast(s_suppkey as varchar) from supplier)")
 def j12_new_candidates(spark, sf):
-    mined = table(spark, sf, "part").select(F.lit("lever").alias("ats"), F.concat(F.lit("s"), (F.col("p_partkey") % 90).cast("string")).alias("slug"))
+    mined = table(spark, sf, "part").select(F.lit("lever").alias("ats"), F.concat(F.lit("s"), (F.col("p_partkey") % 900).cast("string")).alias("slug"))
     return state.new_candidates(mined, table(spark, sf, "supplier").select(F.lit("lever").alias("ats"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("slug")))
 
 
@@ -584,8 +584,8 @@ def w4_page_numbers(spark, sf):
 @query("""with d as (select event_type as target, date_trunc('day', ts) as day, list(distinct cast(user_id as varchar)) as ids from events group by 1, 2), l as (select *, coalesce(lag(ids) over (partition by target order by day), []) as b from d)
     select target, cast(day as varchar) as ts, len(list_intersect(ids, b)) as kept, len(list_filter(b, lambda x: not list_contains(ids, x))) as gone, len(list_filter(ids, lambda x: not list_contains(b, x))) as added from l""")
 def w5_snapshot_changes(spark, sf):
-    snaps = events(spark, sf).groupBy(F.col("event_type").alias("target"), F.date_trunc("day", "ts").alias("ts")).agg(F.collect_set(F.col("user_id").cast("string")).alias("job_ids"))
-    return facets.snapshot_changes(snaps).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    rows = events(spark, sf).select(F.col("event_type").alias("target"), F.date_trunc("day", "ts").alias("ts"), F.col("user_id").cast("string").alias("job_id"))
+    return facets.snapshot_changes(rows).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(f"{E} select seq, score from e where not archived")
@@ -1063,3 +1063,98 @@ def t6_stream_of_activity(spark, sf):
     rows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     last = spark.read.parquet(f"{folder}/windows").groupBy("source", "start", "end").agg(F.max_by("n", "batch").alias("n"))
     return last.select("source", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n")
+
+
+# --- facets in one pass, large dictionaries and domain lists, outbox ------------------------------
+
+
+WANTED = {"score": "score >= 25", "season": "list_has_any(tokens, ['summer-2026', 'fall-2026'])", "applied": "not applied", "hidden": "not hidden", "source": "source in ('Greenhouse', 'Lever', 'Indeed')"}
+
+
+def _all_but(own: str | None) -> str:
+    return " and ".join(test for name, test in WANTED.items() if name != own)
+
+
+@query(f"""{E} select 'season' as facet, value, count(*) as n from (select unnest(tokens) as value from e where {_all_but('season')}) group by 2
+    union all select 'tab', value, count(*) from (select unnest(['all', case when applied then 'applied' else 'open' end]) as value from e where {_all_but('applied')}) group by 2
+    union all select 'source', source, count(*) from e where {_all_but('source')} group by 2
+    union all select 'hidden', 'hidden', count(*) from e where hidden and {_all_but('hidden')} group by 2
+    union all select 'label', score_label, count(*) from e where {_all_but(None)} group by 2""")
+def a5_a6_leave_one_out(spark, sf):
+    """Season, tab, source and hidden counts, each under all filters but its own, and labels under all: one pass."""
+    tokens = extract.season_tokens(F.col("title"))
+    filters = {"score": F.col("score") >= 25, "season": F.arrays_overlap(tokens, F.array(F.lit("summer-2026"), F.lit("fall-2026"))), "applied": ~F.col("applied"), "hidden": ~F.col("hidden"), "source": F.col("source").isin("Greenhouse", "Lever", "Indeed")}
+    return facets.leave_one_out(enriched(spark, sf), filters, {
+        "season": ("season", tokens), "tab": ("applied", F.array(F.lit("all"), F.when(F.col("applied"), "applied").otherwise("open"))), "source": ("source", F.array("source")),
+        "hidden": ("hidden", F.when(F.col("hidden"), F.array(F.lit("hidden")))), "label": (None, F.array("score_label")),
+    })
+
+
+@query(f"{R} select source, count(*) as n from p group by 1")
+def a9_dynamic_sources(spark, sf):
+    return facets.dynamic_sources(postings(spark, sf))
+
+
+@query(f"""{E}, cs as (select seq, role_points, location_points, case when seq % 2 = 1 then company_points when o_custkey % 3 <> 0 then 5 else 0 end as company_points from e join orders on o_orderkey = seq)
+    select *, least(role_points + company_points + location_points, 100) as score from cs""")
+def s18_dictionary_index(spark, sf):
+    """Scores by a dictionary table written as JSON and read again, with two thirds of all customers as a tier of their own; every other posting is a customer's."""
+    folder = scratch(spark)
+    names = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.lit("company").alias("component"), F.lit("listed").alias("tier"), F.lit(9).alias("tier_ord"), F.lit(5).alias("points"), F.col("c_custkey").cast("int").alias("kw_ord"), F.lower(F.concat(F.lit("customer#"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))).alias("keyword"))
+    scoring.dictionary_rows(spark).unionByName(names).write.json(f"{folder}/dictionary")
+    owners = table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("seq"), F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("owner"))
+    rows = postings(spark, sf).join(owners, "seq").withColumn("company", F.when(F.col("seq") % 2 == 0, F.col("owner")).otherwise(text.canonical_company(F.col("company"))))
+    dictionary = spark.read.schema(scoring.DICTIONARY).json(f"{folder}/dictionary")
+    return scoring.scored_by(rows, dictionary).select("seq", "role_points", "company_points", "location_points", "score")
+
+
+@query(f"{E} select seq, role_points, company_points, location_points, score, score_label, array_to_string(list_sort(matched), ',') as keywords from e")
+def j7b_loaded_dictionary(spark, sf):
+    """The scores by tiers that were read from a dictionary file."""
+    folder = scratch(spark)
+    scoring.dictionary_rows(spark).write.json(f"{folder}/dictionary")
+    tiers = scoring.load_dictionary(spark, f"{folder}/dictionary")
+    rows = postings(spark, sf).withColumn("company", text.canonical_company(F.col("company")))
+    return scoring.scored(rows, **tiers).select("seq", "role_points", "company_points", "location_points", "score", "score_label", F.array_join(F.array_sort("matched_keywords"), ",").alias("keywords"))
+
+
+@query("""with h as (select page_id, lower(regexp_extract(url, '://([^/?#:]+)', 1)) as host from pages), d as (select distinct case when page_id % 2 = 0 then host else regexp_replace(host, '^[^.]+[.]', '') end as domain from h where page_id % 5 = 0),
+    l as (select host from (select distinct host from h) join d on host = domain or ends_with(host, '.' || domain)) select page_id, host = '' or host in (select host from l) as aggregator from h""")
+def f9a_domain_table(spark, sf):
+    """Hosts of every fifth page as a table of domains, every other one without its first label."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    host = F.lower(F.try_parse_url("url", F.lit("HOST")))
+    domains = pages.where("page_id % 5 = 0").select(F.when(F.col("page_id") % 2 == 0, host).otherwise(F.regexp_replace(host, "^[^.]+[.]", "")).alias("domain"))
+    return rules.aggregator_links(pages, domains).select("page_id", "aggregator")
+
+
+@query(f"""{E} select 'written' as reason, count(*) as n from e where exclusion_reason is null union all select 'passed', count(*) from e where exclusion_reason is null
+    union all select r, count(exclusion_reason) from (select unnest({rules.REASONS}) as r) left join e on exclusion_reason = r group by r""")
+def f3_counts_while_writing(spark, sf):
+    """The rows that pass are written, and the reasons of the others counted in that pass."""
+    folder = scratch(spark)
+    counts = rules.write_passing(postings(spark, sf), AS_OF, folder)
+    told = spark.createDataFrame(list(counts.items()), "reason string, n long")
+    return told.unionByName(spark.read.parquet(folder).agg(F.lit("written").alias("reason"), F.count(F.lit(1)).alias("n")))
+
+
+ALERTS = f"""{E}, z as (select id, title, company, score, seq from e where not stored and location_class <> 'non_us' and score >= 75 and not exists(select 1 from (select 'p' || cast(event_id as varchar) as id, {STATUS} as status from events) k where k.id = e.id and status in (404, 410))),
+    a as (select *, row_number() over (order by score desc, id, seq) as rank from z where seq % 2 = 1), b as (select *, row_number() over (order by score desc, id, seq) as rank from z)"""
+
+
+def _digest(rows: str) -> str:
+    return f"(select count(*) || ' new postings: ' || (select string_agg(title || ' @ ' || company, '; ' order by rank) from {rows} where rank <= 5) || case when count(*) > 5 then ' +' || (count(*) - 5) || ' more' else '' end from {rows} where rank <= 10)"
+
+
+@query(f"""{ALERTS} select 'first' as run, id, title, score, {_digest('a')} as digest from a where rank <= 10
+    union all select 'second', id, title, score, {_digest('b')} from b where rank <= 10 and id not in (select id from a where rank <= 10)""")
+def s22_outbox_of_two_runs(spark, sf):
+    """Two alert runs into an outbox, and the first again: what one run has delivered no other repeats, and a replay adds nothing."""
+    folder = f"{scratch(spark)}/outbox"
+    rows = enriched(spark, sf).where("not stored").where(rules.alert_filter(rules.FilterSpec(least_score=75)))
+    live = shared.stored(state.live_links(rows, checks(spark, sf)).select("id", "title", "company", "score", "seq"))
+    for run, some in (("first", live.where("seq % 2 = 1")), ("second", live), ("first", live)):
+        best = some.orderBy(F.desc("score"), "id", "seq").limit(10)
+        line = facets.digest_line(best.select("title", "company", F.struct(-F.col("score"), "id", "seq").alias("place")))
+        state.outbox_append(spark, folder, run, best, line)
+    return spark.read.parquet(folder).select("run", "id", "title", "score", "digest")

@@ -111,12 +111,15 @@ def decode_entities(text: Column) -> Column:
         text = F.replace(text, F.lit(name), F.lit(char))
     char = lambda hexed: F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
 
-    def folded(t: Column, pattern: str, before: str, to_hex) -> Column:
-        codes = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)))
+    # a code point that isn't one (over 10FFFF, or half of a pair) stays a reference
+    valid = lambda n: (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+
+    def folded(t: Column, pattern: str, before: str, to_hex, number) -> Column:
+        codes = lambda x: F.filter(F.array_distinct(F.regexp_extract_all(x, F.lit(pattern), F.lit(1))), lambda c: valid(number(c)))
         return let(t, lambda x: F.when(F.contains(x, F.lit(before)), F.aggregate(codes(x), x, lambda acc, c: F.replace(acc, F.concat(F.lit(before), c, F.lit(";")), char(to_hex(c))))).otherwise(x))
 
-    text = folded(text, r"&#([0-9]{1,7});", "&#", lambda c: F.hex(c.cast("bigint")))
-    text = folded(text, r"&#x([0-9A-Fa-f]{1,6});", "&#x", lambda c: c)
+    text = folded(text, r"&#([0-9]{1,7});", "&#", lambda c: F.hex(c.cast("bigint")), lambda c: c.cast("bigint"))
+    text = folded(text, r"&#x([0-9A-Fa-f]{1,6});", "&#x", lambda c: c, lambda c: F.conv(c, 16, 10).cast("bigint"))
     return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 

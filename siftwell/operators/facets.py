@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.extract import season_sort_key, season_tokens
+from siftwell.operators import shared
 from siftwell.operators.rules import ROLES, in_role
 
 LIST_FIELDS = ["id", "title", "company", "location", "link", "source", "posted_at", "seen_at", "score", "score_label", "matched_keywords", "applied", "hidden", "archived", "is_new"]
@@ -72,6 +74,28 @@ def hidden_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count_if("hidden").alias("hidden_rows"))
 
 
+def dynamic_sources(df: DataFrame) -> DataFrame:
+    """The sources that have rows, with how many, in order."""
+    return df.where("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy("source")
+
+
+def leave_one_out(df: DataFrame, filters: dict[str, Column], facets: dict[str, tuple[str | None, Column]]) -> DataFrame:
+    """facet, value, n of several facets in one pass: each counts the rows that pass all filters but its own.
+
+    filters: the test of each; facets: the filter of its own (None: none) and the array of values that a row counts for. A
+    row keeps the filters that it fails as bits, so each is tested once.
+    """
+    bit = {name: 1 << k for k, name in enumerate(filters)}
+    failed = reduce(lambda a, b: a + b, [F.when(F.coalesce(test, F.lit(False)), 0).otherwise(bit[name]) for name, test in filters.items()], F.lit(0))
+    values = {f"_v{k}": F.transform(F.coalesce(v, F.array().cast("array<string>")), lambda x: x.cast("string")) for k, (_, v) in enumerate(facets.values())}
+    rows = df.select(failed.alias("_failed"), *[v.alias(c) for c, v in values.items()])
+    counted = []
+    for (facet, (own, _)), c in zip(facets.items(), values):
+        passes = F.col("_failed").bitwiseAND(F.lit(~bit[own] if own else -1)) == 0
+        counted.append(F.when(passes, F.transform(c, lambda v: F.struct(F.lit(facet).alias("facet"), v.alias("value")))).otherwise(F.array()))  # noqa: B023
+    return rows.select(F.explode(F.concat(*counted)).alias("f")).groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def company_groups(df: DataFrame) -> DataFrame:
     """One row per company whatever its casing: shown name, postings, rounded mean score, applied, newest.
 
@@ -152,9 +176,20 @@ def paged(df: DataFrame, order: list, size: int, page: int) -> DataFrame:
     return df.orderBy(*order).offset((min(max(page, 1), last) - 1) * size).limit(size)
 
 
-def page_numbers(df: DataFrame, group: str, order: list, size: int) -> DataFrame:
-    """Rows of each group with their place and page."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).withColumn("page", F.ceil(F.col("place") / size).cast("int"))
+def page_numbers(df: DataFrame, group: str, order: list, size: int, parts: int | None = None) -> DataFrame:
+    """Rows of each group with their place and page, whatever the size of a group.
+
+    The rows are dealt by range of group and order, so that a large group lies in several parts; each part is numbered on its
+    own, and the rows of the same group in the parts before it are added. `order` must tell all rows of a group apart.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = shared.stored(df.repartitionByRange(parts, F.col(group), *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    rows = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)))
+    same = [rows[group].eqNullSafe(offsets[group]), rows["_part"] == offsets["_part"]]
+    placed = rows.join(offsets, same).select(*[rows[c] for c in df.columns], (F.col("_place") + F.col("_before")).alias("place"))
+    return placed.withColumn("page", F.ceil(F.col("place") / size).cast("int"))
 
 
 def sample_by(df: DataFrame, label: str, n: int, seed: int = 7) -> DataFrame:
@@ -175,11 +210,22 @@ def error_streaks(df: DataFrame, bail: int = 15) -> DataFrame:
     return rows.withColumn("unchecked", F.coalesce(F.col("seq") > bailed, F.lit(False))).drop("error", "island")
 
 
-def snapshot_changes(df: DataFrame) -> DataFrame:
-    """Of (target, ts, job_ids): ids kept, gone and new against the target's snapshot before."""
-    before = F.coalesce(F.lag("job_ids").over(Window.partitionBy("target").orderBy("ts")), F.array().cast("array<string>"))
-    rows = df.withColumn("before", before)
-    return rows.select("target", "ts", F.size(F.array_intersect("job_ids", "before")).alias("kept"), F.size(F.array_except("before", "job_ids")).alias("gone"), F.size(F.array_except("job_ids", "before")).alias("added"))
+def snapshot_changes(rows: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
+    """Of presence rows (target, ts, job_id): ids kept, gone and new against the target's snapshot before.
+
+    Each id's snapshots are joined to intervals of presence: it is new where one begins, kept inside, and gone at the
+    snapshot after its end. No row holds more than one id. snapshots: target, ts, where some have no id at all.
+    """
+    taken = (snapshots if snapshots is not None else rows).select("target", "ts").distinct()
+    numbered = taken.withColumn("n", F.row_number().over(Window.partitionBy("target").orderBy("ts")))
+    seen = rows.select("target", "ts", "job_id").distinct().join(numbered, ["target", "ts"])
+    by_id = Window.partitionBy("target", "job_id").orderBy("n")
+    kept, ends = F.lag("n").over(by_id) == F.col("n") - 1, F.coalesce(F.lead("n").over(by_id) != F.col("n") + 1, F.lit(True))
+    marks = seen.select("target", "n", F.coalesce(kept, F.lit(False)).alias("kept"), ends.alias("ends"))
+    here = marks.groupBy("target", "n").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("added"), F.count_if("ends").alias("ended"))
+    gone = here.select("target", (F.col("n") + 1).alias("n"), F.col("ended").alias("gone"))
+    all_ = numbered.join(here.drop("ended"), ["target", "n"], "left").join(gone, ["target", "n"], "left")
+    return all_.select("target", "ts", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("kept", "gone", "added")])
 
 
 def activity_windows(df: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def location_class(location: Column, countries=COUNTRIES) -> Column:
     def steps(text, parts, words):
         inside = lambda values: text.rlike("|".join(v.replace(".", "\\.") for v in values))
         first, second, n = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.size(parts)
-        leading = (n >= 2) & first.isin(codes) & (some(F.slice(parts, 2, 100), FOREIGN_CITIES) | ((n >= 3) & (F.length(first) <= 3) & (F.length(second) <= 3)))
+        leading = (n >= 2) & first.isin(codes) & (some(F.slice(parts, F.lit(2), F.greatest(n, F.lit(1))), FOREIGN_CITIES) | ((n >= 3) & (F.length(first) <= 3) & (F.length(second) <= 3)))
         return (
             F.when(text == "", "unknown")
             .when(some(parts, US_NAMES + STATE_NAMES) | some(words, US_NAMES + STATE_NAMES) | text.rlike(r"(?<![a-z0-9_])united states(?![a-z0-9_])"), "us")

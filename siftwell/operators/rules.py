@@ -6,7 +6,7 @@ import datetime
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siftwell.functions import extract
@@ -160,6 +160,32 @@ def aggregator_link(url: Column, domains: list[str] = AGGREGATORS) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [(host == d) | host.endswith(f".{d}") for d in domains]), F.lit(True))
 
 
+def aggregator_links(df: DataFrame, domains: DataFrame, url: str = "url") -> DataFrame:
+    """df with `aggregator`, the verdict of `aggregator_link`, for a table of domains (domain) of any size.
+
+    Each distinct host is expanded to its suffixes at dots, which meet the domains in a semi join; nothing is tested one by one.
+    """
+    host = F.lower(F.try_parse_url(F.col(url), F.lit("HOST")))
+    rows = df.withColumn("_host", host)
+    hosts = rows.where("_host is not null").select("_host").distinct()
+    labels = hosts.withColumn("_labels", F.split("_host", r"\."))
+    suffixes = labels.select("_host", F.explode(F.expr("transform(sequence(1, size(_labels)), k -> array_join(slice(_labels, k, size(_labels)), '.'))")).alias("domain"))
+    listed = suffixes.join(domains.select(F.lower("domain").alias("domain")).distinct(), "domain", "left_semi").select("_host").distinct().withColumn("_listed", F.lit(True))
+    return rows.join(listed, "_host", "left").withColumn("aggregator", F.col("_host").isNull() | F.coalesce("_listed", F.lit(False))).select(*df.columns, "aggregator")
+
+
+REASONS = ["non_us", "not_intern", "non_swe", "phd_required", "closed", "expired_season"]
+
+
+def write_passing(df: DataFrame, as_of: datetime.datetime, path: str) -> dict[str, int]:
+    """Writes the rows that pass the hard filter, and gives how many each reason rejects: counted in the same pass."""
+    seen = Observation()
+    rows = hard_filtered(df, as_of)
+    counts = [F.count_if(F.col("exclusion_reason") == r).alias(r) for r in REASONS] + [F.count_if("passed").alias("passed")]
+    rows.observe(seen, *counts).where("passed").drop("passed", "exclusion_reason").write.parquet(path)
+    return dict(seen.get)
+
+
 def redirect_link(url: Column, domains: list[str] = AGGREGATORS) -> Column:
     """The scrape's looser test: a domain anywhere, a redirect parameter, or a click counter."""
     low = F.lower(url)

@@ -66,6 +66,42 @@ def scored(df: DataFrame, role=ROLE, company=COMPANY, location=LOCATION, ceiling
     return rows.withColumns({"score_label": label(F.col("score")), "matched_keywords": matched}).drop("_t", "_c", "_l", "_role", "_company", "_location")
 
 
+DICTIONARY = "component string, tier string, tier_ord int, points int, kw_ord int, keyword string"
+
+
+def dictionary_rows(spark: SparkSession, role=ROLE, company=COMPANY, location=LOCATION) -> DataFrame:
+    """The tiers as rows of a dictionary table."""
+    rows = [(component, tier, n, points, k, kw) for component, tiers in (("role", role), ("company", company), ("location", location)) for n, (tier, points, kws) in enumerate(tiers) for k, kw in enumerate(kws)]
+    return spark.createDataFrame(rows, DICTIONARY)
+
+
+def scored_by(df: DataFrame, dictionary: DataFrame, key: str = "seq", ceiling: int = CEILING) -> DataFrame:
+    """What `scored` gives, for a dictionary of any size: an inverted index on the first token of its keywords.
+
+    dictionary: component (role, company, location), tier, tier_ord, points, kw_ord, keyword. The tokens of a posting meet
+    the keywords that begin with them, and those that go on alike are hits; Spark broadcasts the index where its size
+    allows. Only distinct texts are looked up. key: a column that identifies a row.
+    """
+    texts = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.coalesce(F.col(f), F.lit("")).alias("text")) for c, f in (("role", "title"), ("company", "company"), ("location", "location"))])).alias("t")).select(key, "t.*")
+    index = dictionary.withColumn("words", tokens(F.col("keyword"))).where(F.size("words") > 0)
+    index = index.select("component", F.get("words", F.lit(0)).alias("word"), "words", "tier_ord", "kw_ord", "points", "keyword")
+    places = texts.select("component", "text").distinct().withColumn("all", tokens(F.col("text"))).select("component", "text", "all", F.posexplode("all").alias("at", "word"))
+    hits = places.join(index, ["component", "word"]).where("slice(all, at + 1, size(words)) = words")
+    # a company of one word must begin the name
+    hits = hits.where("component <> 'company' or size(words) > 1 or at = 0")
+    # the best tier of a location, else the first keyword in order
+    order = F.struct(F.when(F.col("component") == "location", -F.col("points")).otherwise(0), "tier_ord", "kw_ord")
+    best = hits.groupBy("component", "text").agg(F.min_by(F.struct("points", "keyword"), order).alias("hit"))
+    found = texts.join(best, ["component", "text"])
+    of = lambda c: F.max(F.when(F.col("component") == c, F.col("hit")))
+    wide = found.groupBy(key).agg(*[of(c).alias(f"_{c}") for c in ("role", "company", "location")])
+    rows = df.join(wide, key, "left")
+    points = {f"{c}_points": F.coalesce(F.col(f"_{c}")["points"], F.lit(0)) for c in ("role", "company", "location")}
+    rows = rows.withColumns(points).withColumn("score", F.greatest(F.lit(0), F.least(F.col("role_points") + F.col("company_points") + F.col("location_points"), F.lit(ceiling))))
+    matched = F.array_distinct(F.array_compact(F.array(*[F.col(f"_{c}")["keyword"] for c in ("role", "company", "location")])))
+    return rows.withColumns({"score_label": label(F.col("score")), "matched_keywords": matched}).drop("_role", "_company", "_location")
+
+
 def label(score: Column) -> Column:
     return F.coalesce(*[F.when(score >= least, F.lit(name)) for name, least in LABELS])
 

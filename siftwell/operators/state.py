@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import extract, text
 from siftwell.operators.rules import aggregator_link, link_verdict, placeholder_reason
+from siftwell.operators.shared import Files
 
 
 class VersionedTable:
@@ -125,6 +126,24 @@ def live_links(rows: DataFrame, checks: DataFrame) -> DataFrame:
     return rows.join(last, "id", "left").where(~F.coalesce(F.col("_status").isin(404, 410), F.lit(False)) & (F.coalesce("link", F.lit("")) != "")).drop("_status")
 
 
+def outbox_append(spark: SparkSession, path: str, run: str, rows: DataFrame, digest: DataFrame | None = None) -> DataFrame:
+    """Puts the alert rows (id and more) of a run into an outbox, without those that another run has delivered; gives the run's rows as stored.
+
+    A run has a folder of its own and is written once: a replay finds it and changes nothing. digest: one row (line), its text.
+    """
+    files = Files(spark, path)
+    if not any(name == "_SUCCESS" for name, _, _ in files.names(f"run={run}")):
+        others = [name for name, _, _ in files.names("") if name.startswith("run=") and name != f"run={run}"]
+        new = rows
+        if others:
+            done = spark.read.option("basePath", path).parquet(*[f"{path}/{name}" for name in others])
+            new = rows.join(done.select("id").distinct(), "id", "left_anti")
+        if digest is not None:
+            new = new.crossJoin(F.broadcast(digest.limit(1).select(F.col("line").alias("digest"))))  # one row
+        new.write.mode("overwrite").parquet(f"{path}/run={run}")
+    return spark.read.parquet(f"{path}/run={run}")
+
+
 def link_plan(store: DataFrame) -> DataFrame:
     """id, before, after of links that cleaning changes."""
     return store.select("id", F.col("link").alias("before"), text.strip_tracking(F.col("link")).alias("after")).where("before <> after")

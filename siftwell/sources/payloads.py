@@ -22,6 +22,11 @@ YC = "struct<props:struct<jobs:array<struct<id:bigint,title:string,jobType:strin
 FACETS = "struct<facets:array<struct<facetParameter:string,values:array<struct<descriptor:string,id:string>>>>>"
 
 
+def _body(text: Column, most: int | None) -> Column:
+    """A landed description, cut at `most` characters; None keeps it whole."""
+    return text if most is None else F.left(text, F.lit(most))
+
+
 def _intern(title: Column) -> Column:
     return F.coalesce(title, F.lit("")).rlike(INTERN)
 
@@ -39,16 +44,16 @@ def _seed(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("source", "target_slug", F.col("fetched_at").alias("seen_at"), *[c.alias(n) for n, c in columns.items()])
 
 
-def greenhouse(payloads: DataFrame) -> DataFrame:
+def greenhouse(payloads: DataFrame, most: int | None = MOST_BODY) -> DataFrame:
     rows = _rows(payloads, GREENHOUSE, "jobs").where(_intern(F.col("j.title")))
     link = F.coalesce("j.absolute_url", F.concat(F.lit("https://boards.greenhouse.io/"), "target_slug", F.lit("/jobs/"), F.col("j.id").cast("string")))
-    return _seed(rows, title=text.decode_entities(F.col("j.title")), location=F.coalesce("j.location.name", F.lit("")), link=link, job_id=F.col("j.id").cast("string"), posted=F.col("j.updated_at"), description_html=F.left(F.col("j.content"), F.lit(MOST_BODY)))
+    return _seed(rows, title=text.decode_entities(F.col("j.title")), location=F.coalesce("j.location.name", F.lit("")), link=link, job_id=F.col("j.id").cast("string"), posted=F.col("j.updated_at"), description_html=_body(F.col("j.content"), most))
 
 
-def lever(payloads: DataFrame) -> DataFrame:
+def lever(payloads: DataFrame, most: int | None = MOST_BODY) -> DataFrame:
     rows = _rows(payloads, LEVER, None).where(_intern(F.col("j.text")) | (F.lower("j.categories.commitment") == "internship"))
     place = F.coalesce(F.nullif(F.col("j.categories.location"), F.lit("")), F.when(F.lower("j.workplaceType") == "remote", "Remote"), F.lit(""))
-    return _seed(rows, title=F.col("j.text"), location=place, link=F.col("j.hostedUrl"), job_id=F.col("j.id"), posted=F.timestamp_millis("j.createdAt").cast("string"), description=F.left(F.col("j.descriptionPlain"), F.lit(MOST_BODY)))
+    return _seed(rows, title=F.col("j.text"), location=place, link=F.col("j.hostedUrl"), job_id=F.col("j.id"), posted=F.timestamp_millis("j.createdAt").cast("string"), description=_body(F.col("j.descriptionPlain"), most))
 
 
 def ashby(payloads: DataFrame) -> DataFrame:
@@ -144,10 +149,10 @@ def table_rows(payloads: DataFrame) -> DataFrame:
     return _seed(rows, company=text.without_emoji(F.col("company")), title=text.strip_html(F.get("td", F.lit(1))), location=F.coalesce(F.get(places, F.lit(0)), F.lit("")), multi_location=F.when(F.size(places) > 1, places), link=apply_link(F.element_at("td", -2)), season=F.when(F.size("td") >= 6, text.strip_html(F.get("td", F.lit(3)))))
 
 
-def scraped(rows: DataFrame) -> DataFrame:
+def scraped(rows: DataFrame, most: int | None = MOST_BODY) -> DataFrame:
     """Job-board scrape rows (seq, site, title, company, location, job_url, date_posted, description): usable ones, each once."""
     clean = lambda c: F.when(F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("nan", "none"), "").otherwise(F.trim(F.coalesce(c, F.lit(""))))
-    r = rows.select("seq", F.initcap(clean("site")).alias("source"), *[clean(c).alias(n) for c, n in (("title", "title"), ("company", "company"), ("location", "location"), ("job_url", "link"))], F.try_to_timestamp("date_posted").alias("posted_at"), F.left(clean("description"), F.lit(MOST_BODY)).alias("description"))
+    r = rows.select("seq", F.initcap(clean("site")).alias("source"), *[clean(c).alias(n) for c, n in (("title", "title"), ("company", "company"), ("location", "location"), ("job_url", "link"))], F.try_to_timestamp("date_posted").alias("posted_at"), _body(clean("description"), most).alias("description"))
     r = r.where((F.col("title") != "") & (F.col("company") != "") & (F.col("link") != "") & ~redirect_link(F.col("link"), ["glassdoor.com", "ziprecruiter.com"]) & _intern(F.col("title")))
     r = r.withColumn("row_id", text.posting_id(F.col("company"), F.col("title"), F.col("link")))
     return r.groupBy("row_id").agg(F.min_by(F.struct(*r.columns), "seq").alias("_r")).select("_r.*")
