@@ -10,7 +10,7 @@ their lines aren't blank.
 
 A chunk that occurs again, in another document or in the same one, is removed everywhere but in its first place: the
 document with the smallest doc_id, and there its first occurrence. What is removed always has an earlier copy, so the
-first copy of every line stays. Chunks that share a 128-bit hash are candidates; the bytes of the candidates are
+first copy of every line stays. Chunks that share the first 64 bits of a 128-bit hash are candidates; the bytes of the candidates are
 then compared in groups, and only equal bytes count as repeated.
 
 Edge cases: null texts stay null and empty ones empty; very long texts are read whole; a line of 50 words or fewer by itself is never
@@ -115,33 +115,34 @@ def cut(docs: DataFrame, **shape) -> DataFrame:
 
     def places(batches):
         for batch in batches:
-            each = [{c[4] for c in found} for found in _hashed(batch.column("_bytes").to_pylist(), **shape)]
+            each = [{c[4][:8] for c in found} for found in _hashed(batch.column("_bytes").to_pylist(), **shape)]
             of = pa.array(np.repeat(np.arange(len(each)), [len(e) for e in each]))
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(of), batch.column("_same").take(of), pa.array([h for e in each for h in e], pa.binary())], names=["_id", "_same", "hash"])
+            parts = np.frombuffer(b"".join(h for e in each for h in e), "<i8")
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(of), batch.column("_same").take(of), pa.array(parts)], names=["_id", "_same", "part"])
 
     def bodies(batches):
         for batch in batches:
-            out = [[], [], []]
+            out = [[], [], [], []]
             texts = batch.column("_bytes").to_pylist()
             for i, text, asked, found in zip(batch.column("_id").to_pylist(), texts, batch.column("_asked").to_pylist(), _hashed(texts, **shape)):
-                asked = set(asked)
+                asked, met = {a.to_bytes(8, "little", signed=True) for a in asked}, set()
                 for _, _, lo, hi, h in found:
-                    if h in asked:
-                        asked.discard(h)
-                        for column, value in zip(out, (i, h, text[lo:hi])):
+                    if h[:8] in asked and h not in met:
+                        met.add(h)
+                        for column, value in zip(out, (i, int.from_bytes(h[:8], "little", signed=True), h, text[lo:hi])):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field("_id").type), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["_id", "hash", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field("_id").type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["_id", "part", "hash", "body"])
 
     some = rows.where("octet_length(_bytes) > 0")
-    found = stored(some.select("_id", "_same", "_bytes").mapInArrow(places, f"_id {kind}, _same long, hash binary"), "chunk-places")
-    shared = found.groupBy("hash").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").select("hash")
-    asked = found.join(shared, "hash").groupBy("_id", "_same").agg(F.collect_list("hash").alias("_asked"))
+    found = stored(some.select("_id", "_same", "_bytes").mapInArrow(places, f"_id {kind}, _same long, part long"), "chunk-places")
+    shared = found.groupBy("part").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").select("part")
+    asked = found.join(shared, "part").groupBy("_id", "_same").agg(F.collect_list("part").alias("_asked"))
     joined = stored(rows.join(asked, ["_id", "_same"], "left"), "line-candidates")
     held = joined.where("_asked is not null")
     # equal bytes meet in one group; a hash that stands for different bytes, should there be one, is left alone
-    equal = held.select("_id", "_bytes", "_asked").mapInArrow(bodies, f"_id {kind}, hash binary, body binary").groupBy("hash", "body").agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
-    repeated = equal.groupBy("hash").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count(F.lit(1)).alias("bodies")).where("bodies = 1 and first < last").select("hash", "first")
-    gone = held.select("_id", "_same", F.explode("_asked").alias("hash")).join(repeated, "hash").where("_id > first").groupBy("_id", "_same").agg(F.collect_set("hash").alias("_gone"))
+    equal = held.select("_id", "_bytes", "_asked").mapInArrow(bodies, f"_id {kind}, part long, hash binary, body binary").groupBy("part", "hash", "body").agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
+    repeated = equal.groupBy("part", "hash").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count(F.lit(1)).alias("bodies")).where("bodies = 1 and first < last").select("part", "hash", "first")
+    gone = held.select("_id", "_same", F.explode("_asked").alias("part")).join(repeated, "part").where("_id > first").groupBy("_id", "_same").agg(F.collect_set("hash").alias("_gone"))
     none = F.lit(None).cast("array<binary>").alias("_gone")
     both = held.join(gone, ["_id", "_same"], "left").select("_doc", "_bytes", "_gone").unionByName(joined.where("_asked is null").select("_doc", "_bytes", none))
     inner = StructType([rows.schema["_doc"], StructField("text", StringType())] + [StructField(c, LongType()) for c in ("n_lines", "n_removed", "removed_chunks")])
