@@ -450,9 +450,9 @@ def m12_fixpoint(spark, sf):
 # --- aggregations -------------------------------------------------------------------------
 
 
-@query(f"{E}, l as (select *, case when seq % 5 = 0 then 'unscored' else score_label end as lab from e) select 'total' as kind, '' as name, count(*) as n from l union all select 'source', source, count(*) from l group by source union all select 'label', lab, count(*) from l group by lab")
+@query(f"{E}, l as (select *, case when seq % 5 = 0 then 'unscored' else score_label end as lab from e) select 'total' as kind, '' as name, count(*) as n, cast(max(seen_at) as varchar) as newest from l union all select 'source', source, count(*), cast(max(seen_at) as varchar) from l group by source union all select 'label', lab, count(*), cast(max(seen_at) as varchar) from l group by lab")
 def a1_stats(spark, sf):
-    return facets.stats(enriched(spark, sf).withColumn("score_label", F.when(F.col("seq") % 5 != 0, F.col("score_label"))))
+    return facets.stats(enriched(spark, sf).withColumn("score_label", F.when(F.col("seq") % 5 != 0, F.col("score_label")))).withColumn("newest", F.date_format("newest", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(f"{R} select source, count(*) as raw, count(*) filter (not stored) as net_new from p group by 1")
@@ -716,8 +716,8 @@ def x16_mined_references(spark, sf):
 
 
 def landed(spark, sf, source: str, body, *more):
-    """Postings of a source as one payload for each team: the body is made by Spark from its rows."""
-    rows = postings(spark, sf).where(F.col("source") == source).withColumns({"target_slug": F.concat(F.lit("team"), (F.col("seq") % 97).cast("string")), "fetched_at": F.lit(AS_OF)})
+    """Postings of a source as one payload for each hundred of its rows: the body is made by Spark from them."""
+    rows = postings(spark, sf).where(F.col("source") == source).withColumns({"target_slug": F.expr("'team' || cast(seq div 800 as string)"), "fetched_at": F.lit(AS_OF)})
     return rows.groupBy("source", "target_slug", "fetched_at").agg(body.alias("body"))
 
 
@@ -763,7 +763,7 @@ def s9_smartrecruiters(spark, sf):
 
 @query(f"{R} select cast(seq as varchar) as job_id, title, location, case when location = '' then null else 2 end as places from p where source = 'SimplifyJobs' and {O.intern('title')}".replace("title, location, case", "title, case when location = '' then 'Remote' else location end as location, case"))
 def s10_rippling(spark, sf):
-    rows = postings(spark, sf).where("source = 'SimplifyJobs'").withColumns({"target_slug": F.concat(F.lit("team"), (F.col("seq") % 97).cast("string")), "fetched_at": F.lit(AS_OF), "label": F.explode(F.array("location", F.lit("Remote Hub"), "location"))})
+    rows = postings(spark, sf).where("source = 'SimplifyJobs'").withColumns({"target_slug": F.expr("'team' || cast(seq div 800 as string)"), "fetched_at": F.lit(AS_OF), "label": F.explode(F.array("location", F.lit("Remote Hub"), "location"))})
     rows = rows.withColumn("label", F.when(F.col("location") == "", F.lit("Remote")).otherwise(F.col("label")))
     jobs_ = F.collect_list(F.struct(F.col("seq").cast("string").alias("uuid"), F.col("title").alias("name"), F.col("link").alias("url"), F.struct("label").alias("workLocation")))
     found = payloads.rippling(rows.groupBy("source", "target_slug", "fetched_at").agg(F.to_json(jobs_).alias("body")))
@@ -789,7 +789,7 @@ def s14_table_rows(spark, sf):
     cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
     links = F.concat(F.lit('<a href="'), F.col("link"), F.lit('">A</a>'), F.when(F.col("seq") % 3 == 0, F.concat(F.lit('<a href="https://boards.greenhouse.io/x/jobs/'), F.col("seq").cast("string"), F.lit('">B</a>'))).otherwise(""))
     tr = F.concat(F.lit("<tr>"), cell(F.col("seq").cast("string")), cell(F.col("title")), cell(F.col("location")), cell(links), cell(F.lit("1d")), F.lit("</tr>"))
-    page = rows.groupBy("source", (F.col("seq") % 97).cast("string").alias("target_slug")).agg(F.concat(F.lit("<table><tr><th>Company</th></tr>"), F.array_join(F.collect_list(tr), ""), F.lit("</table>")).alias("body")).withColumn("fetched_at", F.lit(AS_OF))
+    page = rows.groupBy("source", F.expr("cast(seq div 800 as string)").alias("target_slug")).agg(F.concat(F.lit("<table><tr><th>Company</th></tr>"), F.array_join(F.collect_list(tr), ""), F.lit("</table>")).alias("body")).withColumn("fetched_at", F.lit(AS_OF))
     return payloads.table_rows(page).select(F.col("company").cast("long").alias("seq"), "link")
 
 
@@ -1158,3 +1158,121 @@ def s22_outbox_of_two_runs(spark, sf):
         line = facets.digest_line(best.select("title", "company", F.struct(-F.col("score"), "id", "seq").alias("place")))
         state.outbox_append(spark, folder, run, best, line)
     return spark.read.parquet(folder).select("run", "id", "title", "score", "digest")
+
+
+# --- measures and rows of the smaller reports -----------------------------------------------------
+
+
+@query(f"{E} select score_label as label, count(*) as n, round(avg(score), 4) as mean, max(score) as most from e group by 1 union all select 'all', count(*), round(avg(score), 4), max(score) from e")
+def a12_score_summary(spark, sf):
+    return facets.score_summary(enriched(spark, sf))
+
+
+BUCKET = "case when n <= 250 then '250' when n <= 500 then '500' when n <= 1000 then '1000' when n <= 2000 then '2000' when n <= 4000 then '4000' else 'over 4000' end"
+#: Every other document with an opener, a heading and a tail about it, so that all parts of the trim have work.
+FRAMED = "case when doc_id % 2 = 0 then 'Who we are: ' || repeat('we like our work ', 20) || 'Job description: ' || text || ' Equal opportunity for all.' else text end"
+TRIMMED = f"with s as (select doc_id as id, {FRAMED} as before, {FRAMED} as t from documents where coalesce(text, '') <> ''), " + _trimmed("s", "id, before")
+
+
+def framed(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.expr(FRAMED).alias("text"))
+
+
+@query(f"{TRIMMED}, l as (select 'before' as stage, length(before) as n from trimmed union all select 'after', length(after) from trimmed) select stage, {BUCKET} as bucket, count(*) as n, cast(sum(n) as bigint) as chars from l group by 1, 2")
+def a13_trim_report(spark, sf):
+    return facets.trim_report(framed(spark, sf))
+
+
+@query(f"{TRIMMED} select id, length(before) as before, length(after) as after from trimmed order by length(before) - length(after) desc, id limit 5")
+def o6_most_trimmed(spark, sf):
+    return facets.most_trimmed(framed(spark, sf))
+
+
+@query(f"{TRIMMED} select id, after from trimmed")
+def x13_trimmed_frames(spark, sf):
+    """Trimming of texts that have an opener, a heading and a tail."""
+    return framed(spark, sf).where("coalesce(text, '') <> ''").select("id", text.trimmed_description(F.col("text")).alias("after"))
+
+
+@query(f"""{R}, {CHECKS}, d as (select id from p where not archived and source = 'Linkedin'), v as (select d.id, case when status is null then null when status = -1 then 'error' when status in (401, 404, 410, 451) then 'permanent' when status >= 400 then 'transient' else 'ok' end as v from d left join k using (id))
+    select count(*) as eligible, count(v) as checked, count(*) filter (v = 'permanent') as closed, count(*) filter (v = 'ok') as open, count(*) filter (v in ('error', 'transient')) as failed from v""")
+def a17_check_counts(spark, sf):
+    due = postings(spark, sf).where("not archived and source = 'Linkedin'")
+    return facets.check_counts(due, checks(spark, sf).select("id", rules.link_verdict(F.col("status")).alias("verdict")))
+
+
+APPLICATION = "case when seq % 4 <> 0 then 'https://apply.example/' || cast(seq as varchar(20)) end"
+
+
+@query(f"""{E}, a as (select *, {APPLICATION} as url, case when seq % 3 = 0 then 'sent' else 'draft' end as status from e), r as (select *, row_number() over (partition by normalized_key order by url is null, not applied, id, seq) as rn from a)
+    select normalized_key, case when url is not null then url end as application_url, case when url is not null then status end as application_status from r where rn = 1""")
+def a19_merged_application(spark, sf):
+    rows = dedup.first_seen(dedup.with_keys(postings(spark, sf)).withColumn("id", F.format_string("%s-%012d", "id", "seq")), ["id"])
+    rows = rows.withColumns({"application_url": F.expr(APPLICATION), "application_status": F.when(F.col("seq") % 3 == 0, "sent").otherwise("draft")})
+    return dedup.merged_state(rows).select("normalized_key", "application_url", "application_status")
+
+
+FOUND = "with f as (select p_brand as strategy, 'lever' as ats, 's' || cast(p_partkey % 900 as varchar) as slug from part), k as (select distinct 's' || cast(s_suppkey as varchar) as slug from supplier)"
+
+
+def found_slugs(spark, sf):
+    found = table(spark, sf, "part").select(F.col("p_brand").alias("strategy"), F.lit("lever").alias("ats"), F.concat(F.lit("s"), (F.col("p_partkey") % 900).cast("string")).alias("slug"))
+    return found, table(spark, sf, "supplier").select(F.lit("lever").alias("ats"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("slug"))
+
+
+@query(f"{FOUND}, c as (select p_brand as strategy, count(distinct p_size) as calls from part group by 1) select strategy, count(*) as raw, count(distinct slug) as unique_found, count(distinct case when slug not in (select slug from k) then slug end) as new_found, calls, round(count(distinct case when slug not in (select slug from k) then slug end) / calls, 2) as per_call from f join c using (strategy) group by strategy, calls")
+def a20_yield_per_call(spark, sf):
+    calls = table(spark, sf, "part").groupBy(F.col("p_brand").alias("strategy")).agg(F.count_distinct("p_size").alias("calls"))
+    return facets.yield_per_call(*found_slugs(spark, sf), calls)
+
+
+@query(f"{FOUND} select ats, slug, count(distinct strategy) as strategies from f where slug not in (select slug from k) group by 1, 2")
+def a20_union_of_new(spark, sf):
+    return facets.union_of_new(*found_slugs(spark, sf))
+
+
+@query(f"{R} select seq, case when seq % 4 < 2 then 'https://www.linkedin.com/jobs/search/?currentJobId=' || cast(seq as varchar) when seq % 4 = 2 then 'https://linkedin.com/jobs/view/a-' || cast(seq as varchar) else link end as stable from p")
+def x12_stable_links(spark, sf):
+    n = F.col("seq").cast("string")
+    url = F.when(F.col("seq") % 4 == 0, F.concat(F.lit("https://uk.LinkedIn.com/jobs/view/"), n, F.lit("/?trk=x"))).when(F.col("seq") % 4 == 1, F.concat(F.lit("http://linkedin.com/jobs/view/"), n)).when(F.col("seq") % 4 == 2, F.concat(F.lit("https://linkedin.com/jobs/view/a-"), n)).otherwise(F.col("link"))
+    return postings(spark, sf).select("seq", extract.stable_linkedin_link(url).alias("stable"))
+
+
+@query(f"""{R} select seq, case seq % 5 when 0 then 'ashby' when 1 then 'icims' when 2 then 'smartrecruiters' when 3 then 'rippling' else 'workable' end as ats, 'team' || cast(seq % 97 as varchar) as slug,
+    case when seq % 5 in (3, 4) then 'AB' || cast(seq as varchar) else cast(seq as varchar) end as job_id from p""")
+def x11_more_boards(spark, sf):
+    n, team = F.col("seq").cast("string"), F.concat(F.lit("team"), (F.col("seq") % 97).cast("string"))
+    shapes = [("https://jobs.ashbyhq.com/{t}/{n}?utm=1"), ("https://careers-{t}.icims.com/jobs/{n}/a-title/job"), ("https://jobs.smartrecruiters.com/{t}/{n}"), ("https://ats.rippling.com/en-US/{t}/jobs/AB{n}"), ("https://apply.workable.com/{t}/j/AB{n}/apply")]
+    url = F.replace(F.replace(F.element_at(F.array(*map(F.lit, shapes)), (F.col("seq") % 5).cast("int") + 1), F.lit("{t}"), team), F.lit("{n}"), n)
+    return postings(spark, sf).select("seq", extract.board_address(url).alias("a")).select("seq", "a.ats", "a.slug", "a.job_id")
+
+
+@query("select distinct p_brand as slug, upper(regexp_extract(lower(p_brand), '^.')) || substring(replace(lower(p_brand), '#', ' '), 2) as name from part")
+def x10_slug_names(spark, sf):
+    """Names of slugs with hyphens and underscores, made from the brands of parts."""
+    slug = F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_-"))
+    return table(spark, sf, "part").select(F.col("p_brand").alias("slug"), text.slug_name(slug).alias("name")).distinct()
+
+
+@query(f"{E} select seq, 'link' as rule from (select seq, row_number() over (partition by stripped order by seq) as rn from e) where rn = 1 union all select seq, 'id' from (select seq, row_number() over (partition by id order by seq desc) as rn from e) where rn = 1")
+def w1_first_by_link_and_last_by_id(spark, sf):
+    rows = dedup.with_keys(postings(spark, sf)).select("seq", "id", "stripped")
+    return dedup.first_seen(rows, ["stripped"]).select("seq", F.lit("link").alias("rule")).unionByName(dedup.first_seen(rows, ["id"], last=True).select("seq", F.lit("id").alias("rule")))
+
+
+@query(f"{R} select seq, case when location = '' then 'Austin, TX' else location end as location, case when location = '' then null else location || '|Austin, TX' end as places from p where source = 'SimplifyJobs'")
+def s14a_multi_locations(spark, sf):
+    """Table rows whose location cell has a second line, pages of a hundred rows."""
+    rows = postings(spark, sf).where("source = 'SimplifyJobs'")
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    tr = F.concat(F.lit("<tr>"), cell(F.col("seq").cast("string")), cell(F.col("title")), cell(F.concat("location", F.lit("</br>Austin, TX"))), cell(F.concat(F.lit('<a href="'), "link", F.lit('">A</a>'))), cell(F.lit("1d")), F.lit("</tr>"))
+    page = rows.groupBy("source", F.expr("cast(seq div 800 as string)").alias("target_slug")).agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list(tr), ""), F.lit("</table>")).alias("body")).withColumn("fetched_at", F.lit(AS_OF))
+    return payloads.table_rows(page).select(F.col("company").cast("long").alias("seq"), "location", F.array_join("multi_location", "|").alias("places"))
+
+
+@query(f"{R} select seq from p where source = 'Handshake' and seq % 4 = 3 and seq % 5 <> 0")
+def s15a_without_company(spark, sf):
+    rows = postings(spark, sf).where("source = 'Handshake'").withColumn("job_id", F.col("seq").cast("string"))
+    cards_ = rows.withColumn("company", F.when(F.col("seq") % 4 != 3, F.col("company")))
+    details = rows.where("seq % 5 = 0").select("job_id", F.concat(F.lit("Detail "), "job_id").alias("company"))
+    return payloads.without_company(cards_, details).select("seq")

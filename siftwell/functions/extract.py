@@ -151,6 +151,12 @@ def linkedin_id(url: Column) -> Column:
     return F.nullif(F.when(query != "", query).otherwise(tail), F.lit(""))
 
 
+def stable_linkedin_link(url: Column) -> Column:
+    """A posting's own page as a search for its id, which stays valid when the posting closes; other links as they are."""
+    number = F.regexp_extract(url, r"(?i)^https?://(?:[a-z]+\.)?linkedin\.com/jobs/view/(\d+)(?:[/?#].*)?$", 1)
+    return F.when(number != "", F.concat(F.lit("https://www.linkedin.com/jobs/search/?currentJobId="), number)).otherwise(url)
+
+
 REFERENCES = [
     ("greenhouse", r"(?:boards|job-boards)\.greenhouse\.io/([A-Za-z0-9_-]+)"),
     ("lever", r"jobs\.lever\.co/([A-Za-z0-9_-]+)"),

@@ -85,8 +85,15 @@ def survivors(df: DataFrame, key: Column | str = "normalized_key") -> DataFrame:
 
 
 def merged_state(df: DataFrame, key: str = "normalized_key") -> DataFrame:
-    """User state of each duplicate group: applied if any is, hidden if any is and none is applied."""
-    return df.groupBy(key).agg(F.bool_or("applied").alias("applied"), (F.bool_or("hidden") & ~F.bool_or("applied")).alias("hidden"), F.min(F.when(F.col("applied"), F.col("seen_at"))).alias("applied_at"), F.count(F.lit(1)).alias("rows"))
+    """User state of each duplicate group: applied if any is, hidden if any is and none is applied.
+
+    With columns application_url and application_status, those of the first row by id that is applied and has a url, else of the first that has one.
+    """
+    more = []
+    if "application_url" in df.columns:
+        first = F.min_by(F.struct("application_url", "application_status"), F.when(F.coalesce("application_url", F.lit("")) != "", F.struct(~F.col("applied"), "id")))
+        more = [first["application_url"].alias("application_url"), first["application_status"].alias("application_status")]
+    return df.groupBy(key).agg(*more, F.bool_or("applied").alias("applied"), (F.bool_or("hidden") & ~F.bool_or("applied")).alias("hidden"), F.min(F.when(F.col("applied"), F.col("seen_at"))).alias("applied_at"), F.count(F.lit(1)).alias("rows"))
 
 
 def collapse_plan(df: DataFrame, allow_empty_title: bool = False) -> DataFrame:

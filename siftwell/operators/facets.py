@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.extract import season_sort_key, season_tokens
+from siftwell.functions.text import trimmed_description
 from siftwell.operators import shared
 from siftwell.operators.rules import ROLES, in_role
 
@@ -20,11 +21,11 @@ def list_fields(df: DataFrame) -> DataFrame:
 
 
 def stats(df: DataFrame) -> DataFrame:
-    """kind (total, source, label), name, n: one pass by grouping sets; rows never scored are `unscored`."""
-    rows = df.select("source", F.coalesce("score_label", F.lit("unscored")).alias("label"))
-    grouped = rows.groupingSets([[F.col("source")], [F.col("label")], []], "source", "label").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    """kind (total, source, label), name, n and newest seen_at: one pass by grouping sets; rows never scored are `unscored`."""
+    rows = df.select("source", F.coalesce("score_label", F.lit("unscored")).alias("label"), "seen_at")
+    grouped = rows.groupingSets([[F.col("source")], [F.col("label")], []], "source", "label").agg(F.count(F.lit(1)).alias("n"), F.max("seen_at").alias("newest"), F.grouping_id().alias("g"))
     kind = F.when(F.col("g") == 3, "total").when(F.col("g") == 1, "source").otherwise("label")
-    return grouped.select(kind.alias("kind"), F.coalesce("source", "label", F.lit("")).alias("name"), "n")
+    return grouped.select(kind.alias("kind"), F.coalesce("source", "label", F.lit("")).alias("name"), "n", "newest")
 
 
 def by_reason(df: DataFrame) -> DataFrame:
@@ -117,12 +118,42 @@ def score_histogram(df: DataFrame) -> DataFrame:
     return df.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def length_histogram(df: DataFrame, text: str = "text") -> DataFrame:
+def score_summary(df: DataFrame) -> DataFrame:
+    """label (null: all), n, mean and greatest score (null as 0)."""
+    rows = df.select("score_label", F.coalesce("score", F.lit(0)).alias("score"))
+    out = rows.rollup("score_label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("mean"), F.max("score").alias("most"), F.grouping("score_label").alias("g"))
+    return out.select(F.when(F.col("g") == 1, "all").otherwise(F.coalesce("score_label", F.lit("unscored"))).alias("label"), "n", "mean", "most")
+
+
+def trim_report(df: DataFrame, text: str = "text") -> DataFrame:
+    """stage (before, after trimming), bucket, n, chars: what trimming does to the lengths of descriptions that aren't empty."""
+    t = F.coalesce(text, F.lit(""))
+    stages = F.array(F.struct(F.lit("before").alias("stage"), t.alias("t")), F.struct(F.lit("after").alias("stage"), trimmed_description(t).alias("t")))
+    rows = df.where(t != "").select(F.explode(stages).alias("s")).select("s.stage", F.col("s.t").alias("text"))
+    return length_histogram(rows, by=["stage"])
+
+
+def most_trimmed(df: DataFrame, most: int = 5, text: str = "text", key: str = "id") -> DataFrame:
+    """The rows that lose most by trimming: key, before, after (lengths)."""
+    t = F.coalesce(text, F.lit(""))
+    rows = df.select(key, F.length(t).alias("before"), F.length(trimmed_description(t)).alias("after"))
+    return rows.orderBy(F.desc(F.col("before") - F.col("after")), key).limit(most)
+
+
+def check_counts(due: DataFrame, checks: DataFrame) -> DataFrame:
+    """eligible, checked, closed, open and failed of the rows that were due: one row. checks: id, verdict (null: open)."""
+    last = due.select("id").join(checks.select("id", F.coalesce("verdict", F.lit("ok")).alias("verdict")), "id", "left")
+    closed, failed = F.col("verdict").isin("permanent", "aggregator"), F.col("verdict").isin("error", "transient")
+    seen = F.col("verdict").isNotNull()
+    return last.agg(F.count(F.lit(1)).alias("eligible"), F.count_if(seen).alias("checked"), F.count_if(closed).alias("closed"), F.count_if(seen & ~closed & ~failed).alias("open"), F.count_if(failed).alias("failed"))
+
+
+def length_histogram(df: DataFrame, text: str = "text", by: list[str] | None = None) -> DataFrame:
     """bucket, n: the first bound that is not below the text's length."""
     n = F.length(F.coalesce(text, F.lit("")))
     bounds = [250, 500, 1000, 2000, 4000]
     bucket = F.coalesce(*[F.when(n <= b, F.lit(str(b))) for b in bounds], F.lit("over 4000"))
-    return df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(n.cast("long")).alias("chars"))
+    return df.groupBy(*(by or []), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(n.cast("long")).alias("chars"))
 
 
 def latest_by_key(df: DataFrame, key: str, at: str) -> DataFrame:
@@ -158,6 +189,18 @@ def strategy_yield(found: DataFrame, known: DataFrame) -> DataFrame:
     return fresh.groupBy("strategy").agg(F.count(F.lit(1)).alias("raw"), F.count_distinct(pair).alias("unique_found"), F.count_distinct(F.when(F.col("_known").isNull(), pair)).alias("new_found"))
 
 
+def yield_per_call(found: DataFrame, known: DataFrame, calls: DataFrame) -> DataFrame:
+    """strategy_yield with calls and new finds per call. calls: strategy, calls."""
+    per_call = F.round(F.col("new_found") / F.greatest("calls", F.lit(1)), 2)
+    return strategy_yield(found, known).join(calls, "strategy").withColumn("per_call", per_call)
+
+
+def union_of_new(found: DataFrame, known: DataFrame) -> DataFrame:
+    """ats, slug, strategies: the new finds of all strategies together, with how many have each."""
+    fresh = found.join(known.select("ats", "slug").distinct(), ["ats", "slug"], "left_anti")
+    return fresh.groupBy("ats", "slug").agg(F.count_distinct("strategy").alias("strategies"))
+
+
 def year_buckets(df: DataFrame, at: str) -> DataFrame:
     year = F.year(at)
     return df.groupBy(F.when(year < 2015, "<2015").otherwise(year.cast("string")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

@@ -176,6 +176,12 @@ def with_company(cards_: DataFrame, details: DataFrame) -> DataFrame:
     return joined.withColumn("company", F.coalesce(F.nullif(F.col("company"), F.lit("")), "_company")).where("company is not null and company <> ''").drop("_company")
 
 
+def without_company(cards_: DataFrame, details: DataFrame) -> DataFrame:
+    """The cards that `with_company` drops."""
+    named = details.where("company is not null and company <> ''").select("job_id").distinct()
+    return cards_.where("company is null or company = ''").join(named, "job_id", "left_anti")
+
+
 def assembled_description(rows: DataFrame) -> DataFrame:
     """Plain text wins; else the HTML with its list sections, each under its heading. rows: plain, html, lists array<struct<text,content>>."""
     sections = F.transform("lists", lambda s: F.concat_ws("\n", s["text"], text.strip_html(s["content"])))
