@@ -106,12 +106,12 @@ def remove_repeated(docs: DataFrame, **shape) -> DataFrame:
 
 
 def cut(docs: DataFrame, **shape) -> DataFrame:
-    """_doc (each row of docs as a struct), text without the repeated chunks, n_lines, n_removed (lines) and removed_chunks."""
+    """_doc (each row of docs as a struct, but for its text), text without the repeated chunks, n_lines, n_removed (lines) and removed_chunks."""
     small_batches(docs.sparkSession)
     number = isinstance(docs.select("doc_id").schema["doc_id"].dataType, NumericType)
     kind, first = ("long", F.lit(FIRST)) if number else ("string", F.lit(""))
     place = F.col("doc_id").cast("long") if number else F.concat(F.lit("i"), F.col("doc_id").cast("string"))
-    rows = docs.select(whole_row(docs).alias("_doc"), F.coalesce(place, first).alias("_id"), same_text().alias("_same"), F.col("text").cast("binary").alias("_bytes"))
+    rows = docs.select(whole_row(docs.drop("text")).alias("_doc"), F.coalesce(place, first).alias("_id"), same_text().alias("_same"), F.col("text").cast("binary").alias("_bytes"))
 
     def places(batches):
         for batch in batches:
