@@ -936,7 +936,7 @@ def j15_score_lookup(spark, sf):
     return enriched(spark, sf).join(ids, "id", "left_semi").select("seq", "role_points", "company_points", "location_points", "score")
 
 
-@query(f"""{R} select seq, 'update' as action, 'https://t' || cast(seq % 5 as varchar) || '.wd5.myworkdayjobs.com/' || case when seq % 7 <= 3 then 'S' || cast(seq % 7 as varchar) else 'G' || cast(seq % 5 as varchar) end || '/job/' || cast(seq as varchar) as link
+@query(f"""{R} select seq, case when seq % 16 = 3 then 'drop' else 'update' end as action, 'https://t' || cast(seq % 5 as varchar) || '.wd5.myworkdayjobs.com/' || case when seq % 7 <= 3 then 'S' || cast(seq % 7 as varchar) else 'G' || cast(seq % 5 as varchar) end || '/job/' || cast(seq as varchar) as link
     from p where source = 'Workday' and seq % 3 = 0""")
 def j10_m10_repair_plan(spark, sf):
     text_of = lambda n: (F.col("seq") % n).cast("string")
@@ -946,17 +946,20 @@ def j10_m10_repair_plan(spark, sf):
     targets = rows.where("seq % 7 <= 3").select(F.concat(F.lit("s"), text_of(7)).alias("slug"), F.lit("no such company").alias("name"), F.concat(F.lit("S"), text_of(7)).alias("board")).distinct()
     board = F.when(F.col("seq") % 7 <= 3, F.concat(F.lit("S"), text_of(7))).otherwise(F.concat(F.lit("G"), text_of(5)))
     checks_ = rows.select(F.concat(F.lit("https://"), "host", F.lit("/"), board, F.lit("/job/"), F.col("seq").cast("string")).alias("link"), F.when(F.col("seq") % 3 == 0, 200).otherwise(404).alias("status"))
-    return state.repair_plan(bad, good, targets, postings(spark, sf), checks_).select(F.col("id").alias("seq"), "action", "link")
+    new_link = F.concat(F.lit("https://"), "host", F.lit("/"), board, F.lit("/job/"), F.col("seq").cast("string"))
+    there = rows.where("seq % 16 = 3").select(text.posting_id(F.col("company"), F.col("title"), new_link).alias("id"))
+    return state.repair_plan(bad, good, targets, postings(spark, sf).select("id").unionByName(there), checks_).select(F.col("id").alias("seq"), "action", "link")
 
 
 @query(f"{R} select source, param, n from (select source, 'jobFamilyGroup' as param, count(*) filter ({O.intern('title')}) as n from p where seq % 2 = 0 group by 1 union all select source, 'workerSubType', count(*) filter ({O.intern('title')}) from p where seq % 2 = 1 group by 1) where n > 0")
 def s7_intern_facets(spark, sf):
-    """A facets response for each source, made from its titles; the number of ids kept for each parameter."""
+    """A facets response for each hundred rows of a source, made from their titles; the number of ids kept for each parameter."""
     param = F.when(F.col("seq") % 2 == 0, "jobFamilyGroup").otherwise("workerSubType")
-    values = postings(spark, sf).groupBy("source", param.alias("facetParameter")).agg(F.collect_list(F.struct(F.col("title").alias("descriptor"), F.col("seq").cast("string").alias("id"))).alias("values"))
-    body = values.groupBy("source").agg(F.to_json(F.struct(F.collect_list(F.struct("facetParameter", "values")).alias("facets"))).alias("body"))
+    values = postings(spark, sf).groupBy("source", F.expr("seq div 800").alias("page"), param.alias("facetParameter")).agg(F.collect_list(F.struct(F.col("title").alias("descriptor"), F.col("seq").cast("string").alias("id"))).alias("values"))
+    body = values.groupBy("source", "page").agg(F.to_json(F.struct(F.collect_list(F.struct("facetParameter", "values")).alias("facets"))).alias("body"))
     found = payloads.intern_facets(body.withColumnRenamed("source", "target_slug"))
-    return found.select(F.col("target_slug").alias("source"), F.explode("facets").alias("param", "ids")).select("source", "param", F.size("ids").cast("long").alias("n"))
+    each = found.select(F.col("target_slug").alias("source"), F.explode("facets").alias("param", "ids"))
+    return each.groupBy("source", "param").agg(F.sum(F.size("ids").cast("long")).alias("n"))
 
 
 @query(f"{E} select id, title, company, score from e where not stored and location_class <> 'non_us' and score >= 75 and not exists(select 1 from (select 'p' || cast(event_id as varchar) as id, {STATUS} as status from events) k where k.id = e.id and status in (404, 410)) order by score desc, id, seq limit 10")
@@ -1017,14 +1020,16 @@ def s8_icims(spark, sf):
 LANDED_PAY = "case when seq % 7 = 0 then '$50/hr' end"
 UNPARSED = O.in_list(ingest.UNPARSED)
 READ_PAY = O.salary("read")
+WORDY = "'Who we are: ' || repeat('we like our work ', 20) || 'Job description: ' || pay || repeat(' we build things.', 20) || ' Equal opportunity for all.'"
+WORDY_AFTER = "'Job description: ' || pay || repeat(' we build things.', 20)"
 
 
-@query(f"""{R}, d as (select *, {LANDED_PAY} as own, title || ' ' || pay as read from p)
+@query(f"""{R}, d as (select *, {LANDED_PAY} as own, title || ' ' || {WORDY} as read from p)
     select seq, case when own is not null or source in {UNPARSED} then null else {READ_PAY[0]} end as read_text, case when own is not null or source in {UNPARSED} then null else {READ_PAY[1]} end as read_min,
-           own as salary_text, pay as description from d""")
+           own as salary_text, {WORDY_AFTER} as description from d""")
 def p3_x7a_described(spark, sf):
     """The enrichment with descriptions: a landed salary wins, one source is never read, the rest by title and description."""
-    rows = postings(spark, sf).withColumns({"description": F.col("pay"), "salary_text": F.when(F.col("seq") % 7 == 0, "$50/hr")})
+    rows = postings(spark, sf).withColumns({"description": F.expr(WORDY), "salary_text": F.when(F.col("seq") % 7 == 0, "$50/hr")})
     done = ingest.enriched(rows, AS_OF, described="description")
     return done.select("seq", "salary_text", "description", F.inline(F.array("salary")).alias("read_text", "read_min", "_most", "_unit")).drop("_most", "_unit")
 
