@@ -17,7 +17,8 @@ exact up to 2^53; where the norms allow more, they are taken in integers of any
 Edge cases: rows with a null id, label or vector, or with a null or non-finite component take no part; an
 empty vector is all zeros, and shorter vectors are filled up with zeros; ties go by the smaller id, rows that
 repeat are rows of their own; an anchor without positives, or without rows in the window, gives no
-row; an empty table gives none; extra columns are ignored, whatever their names. A score beyond a long is an error.
+row; an empty table gives none; extra columns are ignored, whatever their names. A score beyond a long is an error, and
+the squares of components must fit a double.
 """
 
 from __future__ import annotations
