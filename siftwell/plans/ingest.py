@@ -87,6 +87,7 @@ def alerts(df: DataFrame, spec: rules.FilterSpec, most: int = 10) -> DataFrame:
 
 def top_new(df: DataFrame, as_of: datetime.datetime, most: int = 10) -> DataFrame:
     """Ten new in-scope postings by score, one of each key."""
-    rows = rules.hard_filtered(enriched(df, as_of), as_of).where("passed")
+    # the rules read title and location only, so what they reject is never scored
+    rows = enriched(rules.hard_filtered(df, as_of).where("passed"), as_of)
     once = dedup.first_seen(rows.select("seq", "id", "title", "company", "location", "score", "score_label", "normalized_key"), ["normalized_key"])
     return once.orderBy(F.desc("score"), "id").limit(most).select("id", "title", "company", "location", "score", "score_label")
