@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import let
@@ -19,6 +19,8 @@ STATE_NAMES = [
     "south carolina", "south dakota", "tennessee", "texas", "utah", "vermont", "virginia", "washington", "west virginia", "wisconsin", "wyoming",
     "district of columbia", "puerto rico", "guam",
 ]
+#: Countries by ISO 3166 that are places in the United States here.
+TERRITORIES = ["pr", "gu", "vi", "as", "mp", "um"]
 US_CITIES = [
     "nyc", "dmv", "chicago", "boston", "seattle", "philadelphia", "philly", "houston", "dallas", "austin", "atlanta", "denver", "minneapolis", "pittsburgh", "detroit",
     "phoenix", "nashville", "charlotte", "baltimore", "orlando", "tampa", "raleigh", "cleveland", "cincinnati", "indianapolis", "albuquerque", "brooklyn", "manhattan",
@@ -33,7 +35,7 @@ FOREIGN_CITIES = [
     "abu dhabi", "cairo", "jakarta", "manila", "bangkok", "kuala lumpur", "ho chi minh", "toronto", "montreal", "vancouver", "ottawa", "calgary", "edmonton",
     "mexico city", "guadalajara", "monterrey", "sao paulo", "são paulo", "rio de janeiro", "buenos aires", "bogota", "santiago", "lima",
 ]
-#: (two-letter code, three-letter code, names). A default for common origins; pass a whole ISO 3166 table for full coverage.
+#: (two-letter code, three-letter code, names). A default for common origins; `all_countries` gives the whole ISO 3166 table.
 COUNTRIES = [
     ("gb", "gbr", "united kingdom|great britain|uk|england|scotland|wales|northern ireland"), ("tw", "twn", "taiwan"), ("ru", "rus", "russia|russian federation"),
     ("ci", "civ", "ivory coast|côte d'ivoire"), ("de", "deu", "germany"), ("ca", "can", "canada"), ("in", "ind", "india"), ("fr", "fra", "france"), ("pl", "pol", "poland"),
@@ -47,6 +49,21 @@ COUNTRIES = [
 ]
 
 
+def all_countries(spark: SparkSession, more=COUNTRIES) -> list[tuple[str, str, str]]:
+    """ISO 3166 but for the United States and its territories with a state code, by the JVM's own table; names of `more` are further names."""
+    locale = spark._jvm.java.util.Locale
+    names: dict[str, tuple[str, list[str]]] = {}
+    for code in locale.getISOCountries():
+        country = locale("", code)
+        two = code.lower()
+        if two != "us" and two not in TERRITORIES:
+            names[two] = (country.getISO3Country().lower(), [country.getDisplayCountry(locale.ENGLISH).lower()])
+    for two, three, all_ in more:
+        known = names.setdefault(two, (three, []))[1]
+        known += [n for n in all_.split("|") if n not in known]
+    return [(two, three, "|".join(n)) for two, (three, n) in sorted(names.items())]
+
+
 def location_class(location: Column, countries=COUNTRIES) -> Column:
     """us, non_us or unknown."""
     codes = [c for two, three, _ in countries for c in (two, three)]
@@ -76,5 +93,5 @@ def location_class(location: Column, countries=COUNTRIES) -> Column:
     return let(text, lambda t: let(parts_of(t), lambda p: let(words_of(p), lambda w: steps(t, p, w))))
 
 
-def with_location_class(df: DataFrame) -> DataFrame:
-    return df.withColumn("location_class", location_class(F.col("location")))
+def with_location_class(df: DataFrame, countries=COUNTRIES) -> DataFrame:
+    return df.withColumn("location_class", location_class(F.col("location"), countries))

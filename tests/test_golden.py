@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import extract, text
 from siftwell.operators import dedup, facets, rules, scoring, state
-from siftwell.operators.location import location_class
+from siftwell.operators.location import all_countries, location_class
 from siftwell.plans import ingest
 from siftwell.sources import payloads
 
@@ -71,6 +71,18 @@ def test_locations(spark):
         assert values(spark, rows, location_class(F.col("x"))) == [kind] * len(rows)
 
 
+def test_locations_by_all_countries(spark):
+    countries = all_countries(spark)
+    assert len(countries) > 240 and not {"us", "pr", "gu"} & {two for two, _, _ in countries}
+    kinds = {
+        "non_us": ["Nairobi, Kenya", "Tallinn, Estonia", "Office in Kazakhstan", "Reykjavik, Iceland", "Ulaanbaatar, MNG", "LK-Colombo-001", "Hsinchu, Taiwan", "Leeds, England"],
+        "us": ["Atlanta, Georgia", "San Juan, PR", "AZ - Chandler", "New York, NY", "Cambridge, MA USA"], "unknown": ["", "Remote"],
+    }
+    for kind, rows in kinds.items():
+        assert values(spark, rows, location_class(F.col("x"), countries)) == [kind] * len(rows)
+    assert values(spark, ["Office in Kazakhstan"], location_class(F.col("x"))) == ["unknown"]
+
+
 @pytest.mark.parametrize("title,place,reason", [("SWE Intern", "London, UK", "non_us"), ("SWE Intern", "New York, NY", None), ("PhD Intern – Research", "New York, NY", "phd_required"), ("🔒 Backend Engineer Intern", "Remote", "closed"), ("Marketing Intern", "San Francisco, CA", "non_swe"), ("Software Engineer Intern - Summer 2020", "Remote in USA", "expired_season"), ("Software Engineer Intern - Summer 2099", "Remote in USA", None)])
 def test_hard_filter(spark, title, place, reason):
     df = spark.createDataFrame([(title, place)], "title string, location string")
