@@ -8,8 +8,8 @@ order to a depth of `length` bytes; suffixes are never sorted all at once:
   anchor. Equal windows have equal anchors at equal distance, so the suffixes that can tie meet in one
   bucket, that of the anchor's bytes; what stands alone in its bucket can't repeat and is
   left out. Windows in a row with the same anchor form a run; its bytes are its context.
-* Copies. Runs with the same context (by a 128-bit BLAKE2 digest) repeat as a whole; one of them stands for all,
-  so that a passage that is copied often is one context in its bucket.
+* Copies. Runs with the same context (by a 128-bit BLAKE2 digest) are represented by two of them, so that a passage that
+  is copied often is two contexts in its bucket; the sort decides about these, and the others take over what it finds.
 * Sorting. Each bucket's contexts are a text whose suffixes are sorted blockwise with a
   difference-cover sample (`coversort`): the sample's suffixes are ranked first, long ties are
   resolved by their ranks. A task takes buckets up to `SORT_BYTES` at a time.
@@ -29,7 +29,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import byte_view, row_slices, same_text, small_batches, stored
@@ -118,19 +118,23 @@ def _contexts(length: int):
 
     def read(batches):
         for batch in batches:
-            out = [[] for _ in range(8)]
+            out = [[] for _ in range(9)]
             for i, s, text, asked in zip(*(batch.column(c).to_pylist() for c in ("_id", "_same", "_bytes", "_asked"))):
                 for r in asked:
-                    row = (i, s, r["at"], r["first"], r["last"], r["gram"], r["open"], text[r["first"] : r["last"] + length])
+                    row = (i, s, r["at"], r["first"], r["last"], r["gram"], r["role"], r["rank"], text[r["first"] : r["last"] + length])
                     for column, value in zip(out, row):
                         column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["_id", "_same", "at", "first", "last", "key", "open", "context"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["_id", "_same", "at", "first", "last", "key", "role", "rank", "context"])
 
     return read
 
 
-SPANS = "_id long, _same long, begin int, end int"
+#: What a context is in its bucket: alone with its bytes, one of two that stand for all with the same bytes (the first one's
+#: spans are those of the others), or the same for rows that agree in doc_id and text, where it stands for two.
+ALONE, FIRST, BOTH, SECOND = 0, 1, 2, 3
+#: Spans of a text (rank null), or of all contexts of a rank, from their beginning on.
+SPANS = "_id long, _same long, rank binary, begin int, end int"
 
 
 def _sort_buckets(length: int):
@@ -144,25 +148,28 @@ def _sort_buckets(length: int):
         # a run of places ends with its string at the latest, as the last places of a string are no windows
         starts, stops = np.flatnonzero(marks == 1), np.flatnonzero(marks == -1)
         row = np.searchsorted(ends, starts, "right")
-        ids, same, first, open_ = (np.array([r[k] for r in rows]) for k in range(4))
-        shift = first[row] - begins[row]
-        keep = open_[row]
-        columns = [pa.array(ids[row][keep]), pa.array(same[row][keep]), pa.array((starts + shift)[keep].astype(np.int32)), pa.array((stops - 1 + length + shift)[keep].astype(np.int32))]
-        return pa.RecordBatch.from_arrays(columns, names=["_id", "_same", "begin", "end"])
+        ids, same, first, role = (np.array([r[k] for r in rows]) for k in range(4))
+        alone = role[row] == ALONE
+        shift = np.where(alone, first[row], 0) - begins[row]
+        keep = np.flatnonzero(role[row] != SECOND)
+        ranks = [None if alone[k] else rows[row[k]][4] for k in keep.tolist()]
+        columns = [pa.array(ids[row][keep]), pa.array(same[row][keep]), pa.array(ranks, pa.binary()), pa.array((starts + shift)[keep].astype(np.int32)), pa.array((stops - 1 + length + shift)[keep].astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["_id", "_same", "rank", "begin", "end"])
 
     def read(batches):
         # a split bucket's context is in both parts, but only once in a text
         rows, held, key, size = [], set(), None, 0
         for batch in batches:
-            for i, s, first, open_, k, c in zip(*(batch.column(x).to_pylist() for x in ("_id", "_same", "first", "open", "key", "context"))):
+            for i, s, first, role, rank, k, c in zip(*(batch.column(x).to_pylist() for x in ("_id", "_same", "first", "role", "rank", "key", "context"))):
                 if k != key and size >= SORT_BYTES:
                     yield solve(rows)
                     rows, held, size = [], set(), 0
                 key = k
                 if (i, s, first) not in held:
                     held.add((i, s, first))
-                    rows.append((i, s, first, open_, c))
-                    size += len(c)
+                    for r in (FIRST, SECOND) if role == BOTH else (role,):
+                        rows.append((i, s, first, r, rank, c))
+                        size += len(c)
         if rows:
             yield solve(rows)
 
@@ -195,36 +202,50 @@ def _split(rows: DataFrame, length: int) -> DataFrame:
     return rows.withColumn("_part", F.explode(parts)).withColumns({c: F.col(f"_part.{c}") for c in ("low", "high", "key")}).drop("_part")
 
 
+def _merged(windows: DataFrame, length: int) -> DataFrame:
+    """Spans (rank, begin, end) of windows (rank, begin); a context has few of them."""
+    island = F.col("begin") - F.row_number().over(Window.partitionBy("rank").orderBy("begin"))
+    return windows.distinct().withColumn("_island", island).groupBy("rank", "_island").agg(F.min("begin").alias("begin"), (F.max("begin") + length).alias("end")).drop("_island")
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Spans (_id, _same, begin, end) whose bytes go; they may overlap. rows: _id, _same, _bytes."""
     found = stored(rows.where(F.octet_length("_bytes") >= length).mapInArrow(_sample_rows(length, gram), SAMPLES), "samples")
     place = F.xxhash64("_id", "_same", "first")
-    ranks = found.groupBy("gram", "rank").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("pick"))
+    ranks = found.groupBy("gram", "rank").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.max(place).alias("other"))
     several = ranks.groupBy("gram").agg(F.count(F.lit(1)).alias("ranks")).where("ranks > 1")
-    marked = ranks.join(several, "gram", "left").where("n > 1 or ranks > 1").select("rank", "n", "pick", "ranks")
+    marked = ranks.join(several, "gram", "left").where("n > 1 or ranks > 1").select("rank", "n", "one", "other")
     # the contexts that say something, on each run; a run that is alone in its bucket says nothing
-    said = stored(found.join(marked, "rank"), "ranks")
-    whole = said.where("n > 1").select("_id", "_same", F.col("first").alias("begin"), (F.col("last") + length).alias("end"))
-    asked = said.where(F.col("ranks").isNotNull() & ((F.col("n") == 1) | (F.col("pick") == place)))
-    by_text = asked.groupBy("_id", "_same").agg(F.collect_list(F.struct("at", "first", "last", "gram", (F.col("n") == 1).alias("open"))).alias("_asked"))
-    shape = "_id long, _same long, at int, first int, last int, key long, open boolean, context binary"
+    role = F.when(F.col("n") == 1, ALONE).when(place == F.col("one"), F.when(F.col("one") == F.col("other"), BOTH).otherwise(FIRST)).when(place == F.col("other"), SECOND)
+    said = stored(found.join(marked, "rank").withColumn("role", role).drop("n", "one", "other"), "ranks")
+    copies = said.where(f"role is null or role != {ALONE}").select("rank", "_id", "_same", "first")
+    kept_rank = F.when(F.col("role").isin(FIRST, BOTH), F.col("rank")).alias("rank")
+    by_text = said.where("role is not null").groupBy("_id", "_same").agg(F.collect_set(F.struct("at", "first", "last", "gram", "role", kept_rank)).alias("_asked"))
+    shape = "_id long, _same long, at int, first int, last int, key long, role int, rank binary, context binary"
     pulled = stored(rows.join(by_text, ["_id", "_same"]).mapInArrow(_contexts(length), shape), "contexts")
     left, large = _without_large(pulled.withColumns({"low": F.lit(0), "high": F.lit(length - gram)}), bucket_rows)
-    small = left.select("_id", "_same", "first", "open", "key", "context")
+    sortable = ["_id", "_same", "first", "role", "rank", "key", "context"]
+    small = left.select(*sortable)
     counted = None
     while large is not None:  # at most once for each halving of the distance
         parts = stored(_split(large, length), "split-buckets")
         done = parts.where("low = high")
         left, large = _without_large(parts.where("low < high"), bucket_rows)
-        small = small.unionByName(left.select("_id", "_same", "first", "open", "key", "context"))
+        small = small.unionByName(left.select(*sortable))
         window = F.substring(F.col("context"), F.col("at") - F.col("first") - F.col("low") + 1, F.lit(length))
-        ends = done.select("_id", "_same", (F.col("at") - F.col("low")).alias("begin"), "open", window.alias("window"))
+        ends = done.select("_id", "_same", "first", "role", "rank", (F.col("at") - F.col("low")).alias("begin"), window.alias("window"))
         counted = ends if counted is None else counted.unionByName(ends)
-    spans = whole.unionByName(small.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_buckets(length), SPANS))
+    decided = stored(small.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_buckets(length), SPANS), "spans")
+    spans = decided.where("rank is null").drop("rank")
+    shared = decided.where("rank is not null").select("rank", "begin", "end")
     if counted is not None:
-        again = counted.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-        spans = spans.unionByName(counted.where("open").join(again, "window").select("_id", "_same", "begin", (F.col("begin") + length).alias("end")))
-    return spans
+        times = F.sum(F.when(F.col("role") == BOTH, 2).otherwise(1))
+        again = counted.groupBy("window").agg(times.alias("n")).where("n > 1").select("window")
+        tied = stored(counted.where(f"role != {SECOND}").join(again, "window").drop("window"), "counted-windows")
+        spans = spans.unionByName(tied.where(f"role = {ALONE}").select("_id", "_same", "begin", (F.col("begin") + length).alias("end")))
+        shared = shared.unionByName(_merged(tied.where(f"role != {ALONE}").select("rank", (F.col("begin") - F.col("first")).alias("begin")), length))
+    taken = copies.join(shared.distinct(), "rank").select("_id", "_same", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end")).alias("end"))
+    return spans.unionByName(taken)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

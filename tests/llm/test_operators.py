@@ -315,6 +315,21 @@ def test_substrings_small_alphabet(spark, bucket_rows):
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == brute_removed(texts)
 
 
+@pytest.mark.parametrize("bucket_rows", [4096, 1])
+def test_substrings_copies(spark, bucket_rows):
+    """Copies of whole texts and of passages, and rows that are the same in all columns."""
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcdé ") for _ in range(n))
+    whole, passage = [word(n) for n in (450, 900, 2500)], word(1200)
+    rows = [(k, t) for k, t in enumerate([*whole * 5, *(word(300) + passage + word(300) for _ in range(9)), word(2000)])]
+    rows += [(100, own := word(1000)), (100, own), (101, word(1000)), (102, own + "!")]
+    rows += [(103, twice := word(700)), (103, twice)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted((i, *r) for (i, _), r in zip(rows, brute_removed([t for _, t in rows])))
+    got = substrings.digest(substrings.remove_repeats(df, bucket_rows=bucket_rows)).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+
+
 def test_substrings_edges(spark):
     got = substrings.remove_repeats(odd(spark)).collect()
     assert len(got) == 10 and {r["n_removed"] for r in got if r["doc_id"] in (4, 5)} == {len(("word of the house. " * 9000).strip())}
