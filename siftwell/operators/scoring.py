@@ -76,24 +76,28 @@ def dictionary_rows(spark: SparkSession, role=ROLE, company=COMPANY, location=LO
 
 
 def scored_by(df: DataFrame, dictionary: DataFrame, key: str = "seq", ceiling: int = CEILING) -> DataFrame:
-    """What `scored` gives, for a dictionary of any size: an inverted index on the first token of its keywords.
+    """What `scored` gives, for a dictionary of any size: an index on the whole phrases of its keywords.
 
-    dictionary: component (role, company, location), tier, tier_ord, points, kw_ord, keyword. The tokens of a posting meet
-    the keywords that begin with them, and those that go on alike are hits; Spark broadcasts the index where its size
-    allows. Only distinct texts are looked up. key: a column that identifies a row.
+    dictionary: component (role, company, location), tier, tier_ord, points, kw_ord, keyword. The runs of tokens of a posting
+    that are as long as some keyword of the component meet the keywords by equality, so that keywords with words in common
+    aren't tried one by one; Spark broadcasts the index where its size allows. Only distinct texts are looked up. key: a column
+    that identifies a row.
     """
     texts = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.coalesce(F.col(f), F.lit("")).alias("text")) for c, f in (("role", "title"), ("company", "company"), ("location", "location"))])).alias("t")).select(key, "t.*")
+    # the best tier of a location, else the first keyword in order
+    order = F.struct(F.when(F.col("component") == "location", -F.col("points")).otherwise(0).alias("tier_rank"), "tier_ord", "kw_ord", "points", "keyword")
     index = dictionary.withColumn("words", tokens(F.col("keyword"))).where(F.size("words") > 0)
-    index = index.select("component", F.get("words", F.lit(0)).alias("word"), "words", "tier_ord", "kw_ord", "points", "keyword")
-    places = texts.select("component", "text").distinct().withColumn("all", tokens(F.col("text"))).select("component", "text", "all", F.posexplode("all").alias("at", "word"))
-    hits = places.join(index, ["component", "word"]).where("slice(all, at + 1, size(words)) = words")
+    index = index.groupBy("component", F.size("words").alias("length"), F.array_join("words", " ").alias("phrase")).agg(F.min(order).alias("entry"))
+    # a few rows, as long keywords are rare: m distinct lengths take m * m / 2 words of dictionary
+    lengths = F.broadcast(index.select("component", "length").distinct())
+    places = texts.select("component", "text").distinct().withColumn("all", tokens(F.col("text"))).join(lengths, "component").where(F.size("all") >= F.col("length"))
     # a company of one word must begin the name
-    hits = hits.where("component <> 'company' or size(words) > 1 or at = 0")
-    # the best tier of a location, else the first keyword in order
-    order = F.struct(F.when(F.col("component") == "location", -F.col("points")).otherwise(0), "tier_ord", "kw_ord")
-    best = hits.groupBy("component", "text").agg(F.min_by(F.struct("points", "keyword"), order).alias("hit"))
+    last = F.when((F.col("component") == "company") & (F.col("length") == 1), 0).otherwise(F.size("all") - F.col("length"))
+    places = places.withColumn("at", F.explode(F.sequence(F.lit(0), last)))
+    runs = places.select("component", "text", "length", F.array_join(F.slice("all", F.col("at") + 1, F.col("length")), " ").alias("phrase"))
+    best = runs.join(index, ["component", "length", "phrase"]).groupBy("component", "text").agg(F.min("entry").alias("hit"))
     found = texts.join(best, ["component", "text"])
-    of = lambda c: F.max(F.when(F.col("component") == c, F.col("hit")))
+    of = lambda c: F.max(F.when(F.col("component") == c, F.struct("hit.points", "hit.keyword")))
     wide = found.groupBy(key).agg(*[of(c).alias(f"_{c}") for c in ("role", "company", "location")])
     rows = df.join(wide, key, "left")
     points = {f"{c}_points": F.coalesce(F.col(f"_{c}")["points"], F.lit(0)) for c in ("role", "company", "location")}

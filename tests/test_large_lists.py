@@ -1,6 +1,7 @@
 """Operators on large dictionaries, lists and groups against their plain forms."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 from test_golden import values
@@ -22,6 +23,17 @@ def test_scores_by_an_index_equal_the_plain_ones(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_keywords_with_a_word_in_common(spark):
+    """As many companies as keywords, all of one first word: by that word alone they would make 3.6 billion pairs (no end in 80 s)."""
+    n = 60_000
+    listed = spark.range(n).select(F.lit("company").alias("component"), F.lit("listed").alias("tier"), F.lit(9).alias("tier_ord"), F.lit(5).alias("points"), F.col("id").cast("int").alias("kw_ord"), F.concat(F.lit("customer#"), "id").alias("keyword"))
+    rows = spark.range(n + 2).select(F.col("id").alias("seq"), F.lit("intern").alias("title"), F.concat(F.lit("The Customer #"), "id", F.lit(" Ltd")).alias("company"), F.lit(None).cast("string").alias("location"))
+    began = time.monotonic()
+    got = scoring.scored_by(rows, scoring.dictionary_rows(spark).unionByName(listed)).groupBy("company_points").agg(F.count("seq").alias("n"), F.max("seq").alias("last"))
+    assert sorted(map(tuple, got.collect())) == [(0, 2, n + 1), (5, n, n - 1)]
+    assert time.monotonic() - began < 60
+
+
 def test_a_hundred_thousand_domains(spark):
     listed = spark.range(100_000).select(F.concat(F.lit("site"), "id", F.lit(".example.com")).alias("domain")).unionByName(spark.createDataFrame([("Simplify.Jobs",)], "domain string"))
     urls = ["https://site7.example.com/x", "https://a.b.site99999.example.com", "https://site100000.example.com/", "https://example.com/", "https://notsimplify.jobs/", "https://www.simplify.jobs:80/p", "no url", None]
