@@ -1,7 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash and the Jaccard similarity of word shingles.
 
 Words are those of the lower-cased (A-Z) text; a text is the set of its shingles of five words, by XXH64. Two texts are
-linked if their sets have a similarity of 0.8 or more. MinHash picks the texts that can have a partner: `bands` keys
+linked if their sets have a similarity of 0.8 or more. First come the links of `simhash` (four bands, bit planes, at most 3
+differing bits) over the fingerprints of the sets, each held against the sets. A pair at 0.8 can differ in more, so
+what is left is looked for without it: MinHash picks the texts that can have a partner: `bands` keys
 of `rows` minima each, of which a pair at 0.8 shares one with a chance of 1 - (1 - 0.8^5)^20 =
 0.9996, and a closer pair sooner. Among those, sets meet by their rarest shingles, of which two similar sets must share one, and
 only where the places of that shingle in both leave the similarity possible; both tests are exact. Every candidate
@@ -25,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm import simhash
 from siftwell.llm.common import schema_with, small_batches, stored, whole_row
 from siftwell.llm.graph import components
 
@@ -61,18 +64,19 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """doc_id, _doc, node (what stands for the set) and keys."""
+    """doc_id, _doc, node (what stands for the set), fp (its SimHash fingerprint) and keys."""
     small_batches(docs.sparkSession)
     packed = docs.select("doc_id", whole_row(docs).alias("_doc"), F.col("text").alias("_text"))
-    schema = schema_with(packed.drop("_text").schema, "node long, keys array<long>")
+    schema = schema_with(packed.drop("_text").schema, "node long, fp long, keys array<long>")
 
     def read(batches):
         for batch in batches:
             sets = [shingles(t) for t in batch.column("_text").to_pylist()]
             nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            fps = np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
             keys = np.concatenate([band_keys(s) for s in sets]) if sets else np.zeros(0, np.int64)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_doc"), pa.array(nodes), listed], names=["doc_id", "_doc", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_doc"), pa.array(nodes), pa.array(fps), listed], names=["doc_id", "_doc", "node", "fp", "keys"])
 
     return packed.mapInArrow(read, schema)
 
@@ -137,20 +141,33 @@ def _may_link(at: Column, n: Column, other_at: Column, other_n: Column) -> Colum
     return OVER * (at + other_at) <= (UNDER - OVER) * F.least(n - at, other_n - other_at)
 
 
+def _near_fingerprints(rows: DataFrame) -> DataFrame:
+    """Pairs u, v of nodes by SimHash: those of equal fingerprints, and the links of fingerprints at most 3 bits apart, by the least node of each."""
+    nodes = rows.select("node", "fp").distinct()
+    least = stored(nodes.groupBy("fp").agg(F.min("node").alias("least")), "distinct-fingerprints")
+    equal = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    end = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node"))
+    linked = simhash.links(least.select("fp")).join(end("u"), "u").join(end("v"), "v")
+    return stored(equal.unionByName(linked.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v"))).distinct(), "near-fingerprints")
+
+
 def _roots(rows: DataFrame, stars: int = STARS) -> DataFrame | None:
     """node and root for each node that has a link; None if there is no candidate."""
     keyed = rows.select("node", F.explode("keys").alias("key"))
     several = lambda df: df.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    met = stored(keyed.join(several(keyed), "key").select("node").distinct(), "candidate-nodes")
+    near = _near_fingerprints(rows)
+    by_minima, by_bits = keyed.join(several(keyed), "key").select("node"), near.select(F.explode(F.array("u", "v")).alias("node"))
+    met = stored(by_minima.unionByName(by_bits).distinct(), "candidate-nodes")
     if met.isEmpty():
         return None
     one = rows.join(met, "node", "left_semi").groupBy("node").agg(F.min("_row").alias("_row"))
     sets = stored(_sets(rows.join(one.select("_row"), "_row", "left_semi").select("node", F.col("_doc.text").alias("text"))), "candidate-sets")
     prefixes = stored(_prefixes(sets), "prefixes")
     members = stored(prefixes.join(several(prefixes), "key"), "buckets")
-    links, roots = None, None
+    links = stored(_similar(near, sets), "similar")
+    roots = components(links)
     for k in range(stars + 1):
-        now = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         # first the set with the fewest rare shingles, likely what the others were made of, then any
         turn = F.col("at").cast("long") if k == 0 else F.xxhash64("node", F.lit(k))
         centre = F.min(F.struct(turn.alias("turn"), "node", "root", "at", "n")).alias("centre")
@@ -166,8 +183,7 @@ def _roots(rows: DataFrame, stars: int = STARS) -> DataFrame | None:
         pairs = stored(found.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct(), "candidates")
         if pairs.isEmpty():
             break
-        new = stored(_similar(pairs, sets), "similar")
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(stored(_similar(pairs, sets), "similar"))
         roots = components(links)
     return roots
 

@@ -45,11 +45,15 @@ def fingerprint(text: str | None) -> int:
     n = max(1, len(words) - SHINGLE + 1)
     last = ends[SHINGLE - 1 :] if len(words) >= SHINGLE else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())], np.uint64)
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes; zero for none."""
     counts = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 14):
+    for k in range(0, len(hashes), 1 << 14):
         counts += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -274,6 +274,18 @@ def test_near_dedup_reaches_similarity(spark, stars):
         assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, SMALL).collect()} == want
 
 
+def test_near_dedup_links_by_simhash(spark):
+    """Without any MinHash key the bit planes alone link long texts with a changed word, and a pair of different texts not."""
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{rnd.randint(0, 9999)}" for _ in range(3000)) for _ in range(20)]
+    edited = [t.replace(t.split()[1500], "other", 1) for t in texts]
+    rows = nearsets.stored(nearsets._marked(docs(spark, texts + edited)).withColumn("_row", F.monotonically_increasing_id()), "marked-sets")
+    node = {r["doc_id"]: r["node"] for r in rows.select("doc_id", "node").collect()}
+    root = {r["node"]: r["root"] for r in nearsets._roots(rows.withColumn("keys", F.array().cast("array<long>"))).collect()}
+    assert sum(node[n] in root and root[node[n]] == root.get(node[n + 20]) for n in range(20)) >= 18
+    assert len(set(root.values())) >= 18
+
+
 def test_near_dedup_edges(spark):
     df = odd(spark)
     one = nearsets.one_of_each(df)
