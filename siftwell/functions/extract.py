@@ -43,17 +43,26 @@ def salary(text: Column) -> Column:
             regex = f"(?i){pattern}"
             least, most = PLAUSIBLE[unit]
 
-            def one(m, regex=regex, two=two, unit=unit, factor=factor):
+            def amounts(m, regex=regex, two=two):
                 low = number(F.regexp_extract(m, regex, 1))
-                high = F.coalesce(number(F.regexp_extract(m, regex, 2)), low) if two else low
-                return F.struct(F.trim(m).alias("text"), (F.least(low, high) * factor).alias("min"), (F.greatest(low, high) * factor).alias("max"), F.lit(unit).alias("unit"))
+                high = number(F.regexp_extract(m, regex, 2)) if two else F.lit(None).cast("double")
+                return F.struct(m.alias("m"), low.alias("low"), high.alias("high"))
 
-            made = let(F.regexp_extract(flat, regex, 0), one_argument(one))
-            found.append(let(made, plausible(least, most)))
+            def one(p, unit=unit, factor=factor):
+                high = F.coalesce(p["high"], p["low"])
+                return F.struct(F.trim(p["m"]).alias("text"), (F.least(p["low"], high) * factor).alias("min"), (F.greatest(p["low"], high) * factor).alias("max"), F.lit(unit).alias("unit"))
+
+            # numbers are only read where the pattern matched: a cast that fails costs more than the pattern
+            read = let(F.regexp_extract(flat, regex, 0), one_argument(lambda m, amounts=amounts: F.when(m != "", amounts(m))))
+            found.append(let(let(read, one_argument(one)), plausible(least, most)))
         return F.coalesce(*found)
 
-    flat = F.regexp_replace(text, r"[\s\u00A0]+", " ")
-    return F.when(text.rlike(UNPAID), None).when(F.contains(text, F.lit("$")), let(flat, first))
+    # every pattern begins with the sign, so what comes before the first one is never read
+    # a single blank is left as it is
+    flat = F.regexp_replace(F.substring(text, F.instr(text, "$"), F.length(text)), r"[\s\u00A0&&[^ ]][\s\u00A0]*| [\s\u00A0]+", " ")
+    low = F.lower(text)
+    unpaid = (F.contains(low, F.lit("unpaid")) | F.contains(low, F.lit("compensation")) | F.contains(low, F.lit("volunteer")) | F.contains(low, F.lit("bono"))) & text.rlike(UNPAID)
+    return F.when(F.contains(text, F.lit("$")) & ~unpaid, let(flat, first))
 
 
 def one_argument(f):

@@ -6,8 +6,8 @@ import time
 from pyspark.sql import functions as F
 from test_golden import values
 
-from siftwell.functions import text
-from siftwell.operators import facets, rules, scoring
+from siftwell.functions import extract, text
+from siftwell.operators import facets, rules, scoring, state
 
 
 def test_scores_by_an_index_equal_the_plain_ones(spark):
@@ -82,3 +82,24 @@ def test_references_that_are_no_characters(spark):
     got = values(spark, rows, text.strip_html(F.col("x")))
     assert got == ["&#9999999;", "&#x110000;", "&#xD800; &#55296;", "\U0010ffff|A", "a A \U0001f600"]
     assert values(spark, rows, text.strip_markdown(F.col("x")))[:3] == rows[:3]
+
+
+# --- costly expressions are worked out once ------------------------------------------------------
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pay_without_figures_is_fast(spark):
+    """Numbers that aren't there aren't cast: it took a failed cast for each pattern and field."""
+    rows = spark.range(200_000).select(F.concat(F.lit("a $ sign in row "), "id").alias("x"))
+    began = time.monotonic()
+    assert rows.where(extract.salary(F.col("x")).isNotNull()).count() == 0
+    assert time.monotonic() - began < 15
+
+
+def test_pay_and_white_space(spark):
+    texts = ["a\u00a0 b $25\t-\n\n30 / hr", "$ 25\u00a0- $30/hr", "x\ty 12 $95k", "$95 \t k", "Unpaid $95k", "no   compensation; $95k", "uNpAiD, $95k", "compensation of $95k", "pro\u00a0bono $95k"]
+    got = [r and (r["text"], r["min"], r["max"], r["unit"]) for r in values(spark, texts, extract.salary(F.col("x")))]
+    assert got == [("$25 - 30 / hr", 25, 30, "hourly"), ("$ 25 - $30/hr", 25, 30, "hourly"), ("$95k", 95_000, 95_000, "yearly"), ("$95 k", 95_000, 95_000, "yearly"), None, None, None, ("$95k", 95_000, 95_000, "yearly"), ("$95k", 95_000, 95_000, "yearly")]
