@@ -170,16 +170,17 @@ def trimmed_description(text: Column, most: int = 2000) -> Column:
 
     def without_opener(t):
         opener = F.left(t, F.lit(250)).rlike(r"(?i)\b(who we are|about (us|the company|the team)|our (mission|story|company)|company overview|founded in|we are a)\b")
-        heading = F.regexp_instr(t, F.lit(r"(?i)(the role|about the role|job (summary|description)|position (summary|overview)|team overview|responsibilities|what you.ll do|your role)\s*:?"))
-        return F.when(opener & heading.between(201, 1801), F.substring(t, heading, F.length(t))).otherwise(t)
+        heading = F.regexp_instr(t, F.lit(r"(?i)(?=[tajprwy])(the role|about the role|job (summary|description)|position (summary|overview)|team overview|responsibilities|what you.ll do|your role)\s*:?"))
+        return F.when(opener, let(heading, lambda h: F.when(h.between(201, 1801), F.substring(t, h, F.length(t))).otherwise(t))).otherwise(t)
 
     def without_tail(t):
-        end = F.regexp_instr(t, F.lit(r"(?s)(?i:equal opportunity|eeo statement|reasonable accommodation|benefits include)|WHAT WE OFFER|COMPENSATION|BENEFITS"))
+        # the first letters are tested before the alternatives
+        end = F.regexp_instr(t, F.lit(r"(?s)(?=[eErRbBWC])(?:(?i:equal opportunity|eeo statement|reasonable accommodation|benefits include)|WHAT WE OFFER|COMPENSATION|BENEFITS)"))
         return let(end, lambda e: F.when(e > 300, F.rtrim(F.substring(t, F.lit(1), e - 1))).otherwise(F.trim(t)))
 
     def capped(t):
         head = F.left(t, F.lit(most))
         sentence = F.length(F.regexp_extract(F.right(head, F.lit(200)), r"(?s)^(.*[.!?])(\s|$)", 1))
-        return F.when(F.length(t) <= most, t).when(sentence > 0, F.substring(t, F.lit(1), most - 200 + sentence)).otherwise(head)
+        return F.when(F.length(t) <= most, t).otherwise(let(sentence, lambda n: F.when(n > 0, F.substring(t, F.lit(1), most - 200 + n)).otherwise(head)))
 
     return let(let(let(F.coalesce(text, F.lit("")), without_opener), without_tail), capped)

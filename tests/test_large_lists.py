@@ -103,3 +103,8 @@ def test_pay_and_white_space(spark):
     texts = ["a\u00a0 b $25\t-\n\n30 / hr", "$ 25\u00a0- $30/hr", "x\ty 12 $95k", "$95 \t k", "Unpaid $95k", "no   compensation; $95k", "uNpAiD, $95k", "compensation of $95k", "pro\u00a0bono $95k"]
     got = [r and (r["text"], r["min"], r["max"], r["unit"]) for r in values(spark, texts, extract.salary(F.col("x")))]
     assert got == [("$25 - 30 / hr", 25, 30, "hourly"), ("$ 25 - $30/hr", 25, 30, "hourly"), ("$95k", 95_000, 95_000, "yearly"), ("$95 k", 95_000, 95_000, "yearly"), None, None, None, ("$95k", 95_000, 95_000, "yearly"), ("$95k", 95_000, 95_000, "yearly")]
+
+
+def test_described_rows_look_for_their_heading_once(spark):
+    plan = plan_of(spark.createDataFrame([("a",)], "x string").select(text.trimmed_description(F.col("x")).alias("t")))
+    assert plan.count("your role") == 1
