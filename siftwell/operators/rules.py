@@ -133,13 +133,15 @@ class FilterSpec:
         if self.exclude_keywords:
             tests.append(~F.arrays_overlap(tags, F.array(*[F.lit(k.lower()) for k in self.exclude_keywords])))
         if self.roles:
-            tests.append(reduce(lambda a, b: a | b, [in_role(F.col("matched_keywords"), r) for r in self.roles]))
+            tests.append(in_role(F.col("matched_keywords"), *self.roles))
         return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def in_role(tags: Column, role: str) -> Column:
-    """Some tag equals, contains or is part of a keyword of the role."""
-    return F.coalesce(F.exists(tags, lambda t: reduce(lambda a, b: a | b, [F.contains(F.lower(t), F.lit(k)) | F.contains(F.lit(k), F.lower(t)) for k in ROLES[role]])), F.lit(False))
+def in_role(tags: Column, *roles: str) -> Column:
+    """Some tag equals, contains or is part of a keyword of one of the roles."""
+    keywords = list(dict.fromkeys(k for r in roles for k in ROLES[r]))
+    named = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(k)) | F.contains(F.lit(k), t) for k in keywords])
+    return F.coalesce(F.exists(F.transform(tags, lambda t: F.lower(t)), named), F.lit(False))
 
 
 def free_text(query: str | None, chips: tuple[str, ...] = ()) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import padded, stems, tokens
+from siftwell.functions.text import let, padded, stems, tokens
 
 # Tiers in order, their points, keywords in order. The company tiers here are a default;
 # a whole dictionary is read by `load_dictionary`.
@@ -56,14 +56,14 @@ def _best_tier(text: Column, tiers: list) -> Column:
 
 def scored(df: DataFrame, role=ROLE, company=COMPANY, location=LOCATION, ceiling: int = CEILING) -> DataFrame:
     """df with role_points, company_points, location_points, score, score_label and matched_keywords."""
-    text = lambda c: padded(tokens(F.coalesce(F.col(c), F.lit(""))))
-    rows = df.withColumns({"_t": text("title"), "_c": text("company"), "_l": text("location")})
-    rows = rows.withColumns({"_role": _first_hit(F.col("_t"), role), "_company": _first_hit(F.col("_c"), company, True), "_location": _best_tier(F.col("_l"), location)})
+    # the tokens are worked out once for all keywords, also where Spark moves these columns into a filter
+    hit = lambda c, first: let(padded(tokens(F.coalesce(F.col(c), F.lit("")))), first)
+    rows = df.withColumns({"_role": hit("title", lambda t: _first_hit(t, role)), "_company": hit("company", lambda t: _first_hit(t, company, True)), "_location": hit("location", lambda t: _best_tier(t, location))})
     points = lambda c: F.coalesce(F.col(c)["points"], F.lit(0))
     rows = rows.withColumns({"role_points": points("_role"), "company_points": points("_company"), "location_points": points("_location")})
     rows = rows.withColumn("score", F.greatest(F.lit(0), F.least(F.col("role_points") + F.col("company_points") + F.col("location_points"), F.lit(ceiling))))
     matched = F.array_distinct(F.array_compact(F.array(F.col("_role")["keyword"], F.col("_company")["keyword"], F.col("_location")["keyword"])))
-    return rows.withColumns({"score_label": label(F.col("score")), "matched_keywords": matched}).drop("_t", "_c", "_l", "_role", "_company", "_location")
+    return rows.withColumns({"score_label": label(F.col("score")), "matched_keywords": matched}).drop("_role", "_company", "_location")
 
 
 DICTIONARY = "component string, tier string, tier_ord int, points int, kw_ord int, keyword string"
@@ -112,5 +112,5 @@ def label(score: Column) -> Column:
 
 def tier_rank(company: Column, tiers=COMPANY) -> Column:
     """1 for the first tier, 2 for the second, and so on; null outside all."""
-    text = padded(tokens(F.coalesce(company, F.lit(""))))
-    return F.coalesce(*[F.when(_first_hit(text, [t], True).isNotNull(), F.lit(n + 1)) for n, t in enumerate(tiers)])
+    ranks = lambda text: F.coalesce(*[F.when(_first_hit(text, [t], True).isNotNull(), F.lit(n + 1)) for n, t in enumerate(tiers)])
+    return let(padded(tokens(F.coalesce(company, F.lit("")))), ranks)

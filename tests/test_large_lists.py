@@ -108,3 +108,11 @@ def test_pay_and_white_space(spark):
 def test_described_rows_look_for_their_heading_once(spark):
     plan = plan_of(spark.createDataFrame([("a",)], "x string").select(text.trimmed_description(F.col("x")).alias("t")))
     assert plan.count("your role") == 1
+
+
+def test_tokens_are_made_once_for_all_keywords(spark):
+    from conftest import SMALL
+    from siftwell import bindings
+
+    plan = plan_of(bindings.QUERIES["f11_roles"](spark, SMALL))
+    assert plan.count("[^a-z0-9]+") <= 6
