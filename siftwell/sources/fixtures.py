@@ -69,11 +69,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived postings: five broadcast dimensions of fixed size on one scan of orders."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    # a few splits of a small file are dealt out to all cores before the costly expressions; by a number of
-    # partitions, as adaptive execution would join them again. A table with splits enough isn't shuffled.
-    cores = spark.sparkContext.defaultParallelism
-    if orders.rdd.getNumPartitions() < cores:
-        orders = orders.repartition(cores, "o_orderkey")
+    # narrow rows are dealt out evenly before the costly expressions, as splits of a file differ in rows: a small table to
+    # all cores, one with splits enough to four tasks for each. By a number of partitions, as adaptive execution would join them again.
+    cores, splits = spark.sparkContext.defaultParallelism, orders.rdd.getNumPartitions()
+    orders = orders.repartition(cores if splits < cores else 4 * splits, "o_orderkey")
     return postings_of(orders)
 
 

@@ -116,3 +116,20 @@ def test_tokens_are_made_once_for_all_keywords(spark):
 
     plan = plan_of(bindings.QUERIES["f11_roles"](spark, SMALL))
     assert plan.count("[^a-z0-9]+") <= 6
+
+
+def test_rows_of_a_table_with_many_splits_are_dealt_out(spark):
+    from siftwell.sources.fixtures import postings
+
+    path = "/root/testdata/sf0.01"
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "32k")
+        splits = spark.read.parquet(f"{path}/orders.parquet").rdd.getNumPartitions()
+        assert splits >= spark.sparkContext.defaultParallelism
+        assert postings(spark, path).rdd.getNumPartitions() == 4 * splits
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
