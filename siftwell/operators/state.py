@@ -152,9 +152,14 @@ def link_plan(store: DataFrame) -> DataFrame:
 def description_plan(store: DataFrame) -> DataFrame:
     """id, action (delete, clear, update), after: what cleaning does to descriptions."""
     clean = text.trimmed_description(text.strip_markdown(F.coalesce("description", F.lit(""))))
-    rows = store.withColumns({"reason": placeholder_reason(), "after": clean})
-    action = F.when(F.col("reason").isNotNull(), "delete").when(F.col("description").isNull(), None).when(F.length("after") < 50, "clear").when(F.col("after") != F.col("description"), "update")
-    return rows.withColumn("action", action).where("action is not null").select("id", "action", F.when(F.col("action") == "update", F.col("after")).alias("after"))
+
+    def planned(after):
+        action = F.when(F.col("reason").isNotNull(), "delete").when(F.col("description").isNull(), None).when(F.length(after) < 50, "clear").when(after != F.col("description"), "update")
+        return F.struct(action.alias("action"), after.alias("after"))
+
+    # as a generated row the text is cleaned once, not again for the filter and for each column
+    rows = store.withColumn("reason", placeholder_reason()).select("id", F.inline(F.array(text.let(clean, planned))))
+    return rows.where("action is not null").select("id", "action", F.when(F.col("action") == "update", F.col("after")).alias("after"))
 
 
 def repair_plan(bad: DataFrame, good: DataFrame, targets: DataFrame, store: DataFrame, checks: DataFrame) -> DataFrame:

@@ -133,3 +133,8 @@ def test_rows_of_a_table_with_many_splits_are_dealt_out(spark):
     finally:
         for n, v in before.items():
             spark.conf.set(n, v)
+
+
+def test_descriptions_are_cleaned_once(spark):
+    rows = spark.createDataFrame([(1, "a", "x", "c")], "id int, description string, source string, company string")
+    assert plan_of(state.description_plan(rows)).count("WHAT WE OFFER") == 1
