@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siftwell.functions import extract
+from siftwell.functions.text import let
 from siftwell.operators.location import location_class
 from siftwell.operators.scoring import tier_rank
 
@@ -57,15 +58,18 @@ def exclusion_reason(as_of: datetime.datetime, season: Column | None = None) ->
     both = F.concat(title, F.lit(" "), F.lower(F.coalesce("location", F.lit(""))))
     tokens = extract.season_with_default(extract.season_tokens(F.col("title")), as_of)
     tokens = tokens if season is None else F.coalesce(season, tokens)
-    return (
-        F.when(location_class(F.col("location")) == "non_us", "non_us")
-        .when(~F.coalesce("title", F.lit("")).rlike(INTERN), "not_intern")
-        .when(any_of(title, RESEARCH) | any_of(title, NON_SWE), "non_swe")
-        .when(any_of(both, DEGREE), "phd_required")
-        .when(~any_of(title, CS_STEMS) & ~title.rlike(CS_ACRONYMS), "non_swe")
-        .when(any_of(both, CLOSED), "closed")
-        .when(extract.expired(tokens, as_of), "expired_season")
-    )
+
+    # the lower-cased texts are worked out once for all fragments
+    def by_texts(t):
+        return (
+            F.when(any_of(t["title"], RESEARCH) | any_of(t["title"], NON_SWE), "non_swe")
+            .when(any_of(t["both"], DEGREE), "phd_required")
+            .when(~any_of(t["title"], CS_STEMS) & ~t["title"].rlike(CS_ACRONYMS), "non_swe")
+            .when(any_of(t["both"], CLOSED), "closed")
+        )
+
+    by_title = F.coalesce(let(F.struct(title.alias("title"), both.alias("both")), by_texts), F.when(extract.expired(tokens, as_of), "expired_season"))
+    return F.when(location_class(F.col("location")) == "non_us", "non_us").when(~F.coalesce("title", F.lit("")).rlike(INTERN), "not_intern").otherwise(by_title)
 
 
 def hard_filtered(df: DataFrame, as_of: datetime.datetime) -> DataFrame:

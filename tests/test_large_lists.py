@@ -138,3 +138,10 @@ def test_rows_of_a_table_with_many_splits_are_dealt_out(spark):
 def test_descriptions_are_cleaned_once(spark):
     rows = spark.createDataFrame([(1, "a", "x", "c")], "id int, description string, source string, company string")
     assert plan_of(state.description_plan(rows)).count("WHAT WE OFFER") == 1
+
+
+def test_the_hard_filter_lowers_a_title_once_for_all_fragments(spark):
+    from conftest import SMALL
+    from siftwell import bindings
+
+    assert plan_of(bindings.QUERIES["a15_digest_line"](spark, SMALL)).lower().count("contains(lower(") == 0
